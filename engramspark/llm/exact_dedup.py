@@ -6,8 +6,8 @@
 3. Global: the winners of the salts (at most ``salts`` rows a text) are combined.
 
 The normalised text itself is a grouping key at every stage, so equal digests of different texts never
-merge.  To bring the result back to the rows, only digest and salt are joined, unless some digest really
-stands for more than one text: then the text is part of that join too.
+merge.  The winners are written without their texts.  To bring the result back to the rows, digest and salt
+are joined, unless some digest really stands for more than one text: then the text is part of that join too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, read_documents
+from .common import SPACES, fresh, materialize, read_documents
 
 SALTS = 32
 
@@ -43,12 +43,14 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Cal
     salted = rows.groupBy(hx, salt, norm).agg(F.min(f"`{id_col}`").alias(keep), F.count(F.lit(1)).alias(size))
     whole = salted.groupBy(hx, norm).agg(F.min(keep).alias(keep), F.sum(size).alias(size), F.expr(f"bit_or(shiftleft(1L, {salt}))").alias("xd_mask"))
 
-    clash = whole.groupBy(hx).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("c")).scalar()
-    compared = F.when(clash, F.col(norm))
-    winners = whole.select(
-        F.col(hx).alias("w_digest"), compared.alias("w_norm"), F.col(keep), F.col(size),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.expr("xd_mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)).alias("w_salt"),
-    )
+    def narrow(text: Column) -> DataFrame:
+        return whole.select(F.col(hx).alias("w_digest"), text.alias("w_norm"), F.col(keep), F.col(size), "xd_mask")
+
+    winners, compared = materialize(narrow(F.lit(None).cast("string")), "dedup-winners"), F.lit(None).cast("string")
+    if not winners.groupBy("w_digest").count().filter("count > 1").isEmpty():
+        winners, compared = narrow(F.col(norm)), F.col(norm)
+    one = F.lit(1).cast("long")
+    winners = winners.withColumn("w_salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.col("xd_mask").bitwiseAND(F.call_function("shiftleft", one, i)) != 0))).drop("xd_mask")
     left = rows.withColumn(norm, compared)
     out = left.join(winners, (F.col(hx) == F.col("w_digest")) & (F.col(salt) == F.col("w_salt")) & F.col(norm).eqNullSafe(F.col("w_norm")))
     return out.withColumn(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(keep))).drop(norm, salt, "w_digest", "w_salt", "w_norm"), [hx, keep, size, kept]
