@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fertility, packing, pieces, secrets
+from . import exact_dedup, fertility, packing, pieces, secrets, warc
 
 QUERIES = {
+    "op2_seekable_warc": warc.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op7_fertility_rules": fertility.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_seekable_warc": warc.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }
