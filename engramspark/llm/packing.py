@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -40,30 +41,53 @@ def _tokenizer(vocabulary: str):
     return Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
 
 
-class Encoder:
-    """Ids as little-endian bytes.
+def _byte_chars() -> list[str]:
+    """Byte-level vocabularies write bytes as characters: printable Latin-1 as itself, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+class Encoder(dict):
+    """word -> its ids as little-endian bytes.
 
     The tokenizer drops white space and never merges over it, so a text's ids are those of its words in
-    turn; words seen before are kept, up to ``most``, then all are forgotten.
+    turn.  It lower-cases too; doing so first (A-Z only, and not where a text might spell a special token)
+    and parting a full stop or comma from an ASCII letter or digit before it leaves fewer words to encode.
+    Words are kept in two generations of ``most / 2`` each: when the young one is full it becomes the old.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 500_000):
-        self.vocabulary, self.most, self.ids = vocabulary, most, {}
+    def __init__(self, vocabulary: str = VOCABULARY, most: int = 400_000):
+        super().__init__()
+        self.vocabulary, self.most, self.old = vocabulary, most, {}
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if len(word) > 1 and word[-1] in b".," and word[-2] in b"abcdefghijklmnopqrstuvwxyz0123456789":
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = array("I", self.split(word.decode("utf-8", "replace"))).tobytes()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def split(self, word: str) -> list[int]:
+        """Lower-case Latin letters alone are one unit for the merges; anything else takes the whole way."""
         tokenizer = _tokenizer(self.vocabulary)
+        if word.isalpha() and word.islower() and max(word) < "\u0250":
+            return [t.id for t in tokenizer.model.tokenize(word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode())))]
+        return tokenizer.encode(word, add_special_tokens=False).ids
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
-            words, ids = text.split(), self.ids
-            try:
-                yield b"".join([ids[w] for w in words])
-                continue
-            except KeyError:
-                if len(ids) > self.most:
-                    ids.clear()
-            new = [w for w in set(words) if w not in ids]
-            got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True)}
-            yield b"".join([ids[w] if w in ids else got[w] for w in words])
-            ids.update((w, x) for w, x in got.items() if len(w) <= 64)
+            if len(self) > self.most // 2:
+                self.old = dict(self)
+                self.clear()
+            yield b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
