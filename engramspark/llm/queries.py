@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fertility, packing, pieces, secrets, warc
+from . import exact_dedup, fertility, packing, pieces, quality, secrets, warc
 
 QUERIES = {
     "op2_seekable_warc": warc.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
+    "op5_fourier_quality": quality.query,
     "op7_fertility_rules": fertility.query,
     "op9_suffix_array_pieces": pieces.query,
     "op10_secret_scans": secrets.query,
