@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fertility, packing, pieces, quality, secrets, warc
+from . import exact_dedup, fertility, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op2_seekable_warc": warc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_fourier_quality": quality.query,
     "op7_fertility_rules": fertility.query,
+    "op8_noisy_channel_toxicity": toxicity.query,
     "op9_suffix_array_pieces": pieces.query,
     "op10_secret_scans": secrets.query,
 }
