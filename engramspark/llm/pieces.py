@@ -58,8 +58,14 @@ class Codec:
         self.piece_ids, self.piece_chars = np.array(reached), chars
         self.piece_len = (chars > 0).sum(1)
         self.alphabet = np.unique(chars)[1:]
+        # No merge reaches over two characters that no piece holds side by side, so texts part there: around
+        # line ends and tabs, and before marks that follow letters.
+        beside = {x for i in reached for x in zip(self.text[i], self.text[i][1:], strict=False)}
         bars = "".join(c for c in "\n\t" if ord(c) not in set(self.alphabet.tolist()))
-        self.split = re.compile(f"{MARK}*[^{MARK}{bars}]+|{MARK}+" + (f"|[{bars}]+" if bars else "")).findall
+        stops = "".join(c for c in ",.;:!?" if not any(b == c and a != MARK and a not in ",.;:!?" for a, b in beside))
+        some = f"{MARK}*[^{MARK}{bars}{stops}]+" + (f"|{MARK}*[{stops}][^{MARK}{bars}]*" if stops else "")
+        self.split = re.compile(f"{some}|{MARK}+" + (f"|[{bars}]+" if bars else "")).findall
+        self.shift = n.bit_length()
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -108,12 +114,13 @@ class Codec:
         b = np.searchsorted(index, high.view(f"S{width}").ravel(), "right")
         many = b - a
         at = np.repeat(a - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        place, which = starts[suffixes[at]], np.repeat(np.flatnonzero(here), many)
-        order = np.argsort(place, kind="stable")
-        return place[order], self.piece_ids[which[order]], self.piece_len[which[order]]
+        which = np.repeat(np.flatnonzero(here), many)
+        edge = np.sort(starts[suffixes[at]] << self.shift | which)
+        which = edge & ((1 << self.shift) - 1)
+        return edge >> self.shift, self.piece_ids[which], self.piece_len[which]
 
     def stands(self, p: int, t: int) -> bool:
-        key = p << 32 | t
+        key = p << self.shift | t
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > 2 * self.most:
@@ -126,7 +133,7 @@ class Codec:
         """The ids of each segment."""
         bar = "\x00"
         place, piece, length = (x.tolist() for x in self.edges(bar.join(segments)))
-        pairs, e, base, m = self.pairs, 0, 0, len(place)
+        pairs, shift, e, base, m = self.pairs, self.shift, 0, 0, len(place)
         for s in segments:
             n, end = len(s), base + len(s)
             last: list = [None] * (n + 1)
@@ -136,7 +143,7 @@ class Codec:
                 while e < m and place[e] == base + i:
                     t, to = piece[e], i + length[e]
                     if last[to] is None:
-                        ok = p < 0 or pairs.get(p << 32 | t)
+                        ok = p < 0 or pairs.get(p << shift | t)
                         if ok is None:
                             ok = self.stands(p, t)
                         if ok:

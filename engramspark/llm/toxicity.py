@@ -7,7 +7,7 @@
    letters, repeat the one before, or stand for nothing, at a cost.  Viterbi decoding under the character
    model picks the reading.
 3. Words of the restored text and their first 4 to 6 letters are weighed by how much more often toxic
-   training documents hold them; a logistic model on a document's strongest weights gives the score.
+   training documents hold them; a logistic model on a document's strongest weight gives the score.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ _HIDDEN = re.compile("[­​-‏⁠﻿̶]")
 _ANY = frozenset("*#")
 _SPELL, _REPEAT, _NOTHING, _WILD = 1.2, 0.7, 1.0, 4.5
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”‘’…–—¿"
+_OUTER = "".join(c for c in _EDGES if c not in STANDS_FOR)
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1+")
 _BEAM = 24
@@ -110,7 +111,7 @@ class Restorer:
             elif c.isalpha():
                 arcs.append((c, 0, 0.0))
             else:
-                arcs.append(("", 0, _NOTHING if not arcs else 2.5 * _NOTHING))
+                arcs.append(("", 0, _NOTHING if not arcs else 6 * _NOTHING))
             if c in _ANY:
                 arcs += [(chr(96 + k), k, _WILD) for k in range(1, 27)]
             if c == before:
@@ -119,8 +120,8 @@ class Restorer:
             before = c
         return out
 
-    def decode(self, word: str) -> str:
-        """The cheapest reading; the beam keeps the best states of three letters."""
+    def decode(self, word: str, best: int = 3) -> list[str]:
+        """The cheapest readings, best first; the beam keeps the best states of three letters."""
         costs, states = self.costs, {(0, 0, 0): (0.0, "")}
         for arcs in self.lattice(word):
             after: dict[tuple[int, int, int], tuple[float, str]] = {}
@@ -134,26 +135,26 @@ class Restorer:
                     if key not in after or new < after[key][0]:
                         after[key] = (new, text + letter)
             states = dict(sorted(after.items(), key=lambda x: x[1][0])[:_BEAM]) if len(after) > _BEAM else after
-        return min((total + costs[((a * LETTERS + b) * LETTERS + c) * LETTERS], text) for (a, b, c), (total, text) in states.items())[1]
+        ends = sorted((total + costs[((a * LETTERS + b) * LETTERS + c) * LETTERS], text) for (a, b, c), (total, text) in states.items())
+        return list(dict.fromkeys(text for _, text in ends))[:best]
 
     def readings(self, word: str) -> list[str]:
         """The restored words that a lower-case word may count as; its plain form unless it looks written around."""
         core = word.strip(_EDGES)
         if core.isascii() and core.isalpha():
-            odd = word[0] in "@$" or _TRIPLE.search(core)
+            odd = word[0] in "@$|!" or _TRIPLE.search(core)
         else:
             plain = unicodedata.normalize("NFKC", _HIDDEN.sub("", word))
             if any("Ͱ" <= c <= "ԯ" for c in plain) and any("a" <= c <= "z" for c in plain):
                 plain = plain.translate(LOOK_ALIKE)
             core = plain.strip(_EDGES)
-            odd = (not core.isalpha() or _TRIPLE.search(core) or plain[:1] in tuple("@$")) and any(map(fold, core))
+            odd = (not core.isalpha() or _TRIPLE.search(core) or plain[:1] in tuple("@$|!")) and any(map(fold, core))
             word = plain
         out = [core]
         if odd:
             # Marks around the word are cut unless they may be letters of it.
-            lattice = word.rstrip(_EDGES).lstrip("".join(c for c in _EDGES if c not in "@$"))
-            out.append(self.decode(lattice))
-            out.append(_DOUBLE.sub(r"\1", out[-1]))
+            out += self.decode(word.strip(_OUTER))
+            out += [_DOUBLE.sub(r"\1", x) for x in out[1:]]
         elif _DOUBLE.search(core):
             out.append(_DOUBLE.sub(r"\1", core))
         return out
@@ -221,10 +222,8 @@ class Scorer:
 
 
 def summary(logits: np.ndarray, n_words: int) -> np.ndarray:
-    """What the logistic model sees of a document: its three strongest weights, how many are strong, its length."""
-    top = np.sort(logits)[::-1][:3]
-    top = np.r_[top, np.full(3 - len(top), -4.0)]
-    return np.array([1.0, *np.clip(top, -4, 6), np.log1p((logits > 0).sum()), np.log1p(n_words)])
+    """What the logistic model sees of a document: its strongest weight and its length; one word is enough."""
+    return np.array([1.0, np.clip(logits.max(initial=-4.0), -4, 6), np.log1p(n_words)])
 
 
 def _logit(pos: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
@@ -260,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     counted = {int(r.y): r["count"] for r in rows.groupBy("y").count().collect()}
     total, positive = sum(counted.values()), counted.get(1, 0)
     prior = (positive + 1) / (total + 2)
-    flat = np.array([np.log(prior / (1 - prior)), 0, 0, 0, 0, 0])
+    flat = np.array([np.log(prior / (1 - prior)), 0, 0])
     if not 0 < positive < total:
         return costs, {}, np.zeros(0), flat
     seen = rows.filter("y = 1").select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "f").limit(features_bound)
