@@ -59,12 +59,12 @@ class Codec:
         self.piece_len = (chars > 0).sum(1)
         self.alphabet = np.unique(chars)[1:]
         # No merge reaches over two characters that no piece holds side by side, so texts part there: around
-        # line ends and tabs, and before marks that follow letters.
+        # line ends and tabs, and between a letter and a mark after it.
         beside = {x for i in reached for x in zip(self.text[i], self.text[i][1:], strict=False)}
+        letter = r"[^\W\d_²³¹]"
         bars = "".join(c for c in "\n\t" if ord(c) not in set(self.alphabet.tolist()))
-        stops = "".join(c for c in ",.;:!?" if not any(b == c and a != MARK and a not in ",.;:!?" for a, b in beside))
-        some = f"{MARK}*[^{MARK}{bars}{stops}]+" + (f"|{MARK}*[{stops}][^{MARK}{bars}]*" if stops else "")
-        self.split = re.compile(f"{some}|{MARK}+" + (f"|[{bars}]+" if bars else "")).findall
+        stops = "".join(c for c in ",.;:!?" if not any(b == c and re.match(letter, a) for a, b in beside))
+        self.split = re.compile((f"{MARK}*{letter}+(?=[{stops}])|" if stops else "") + f"{MARK}*[^{MARK}{bars}]+|{MARK}+" + (f"|[{bars}]+" if bars else "")).findall
         self.shift = n.bit_length()
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
