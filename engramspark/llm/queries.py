@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fertility, packing, pieces, quality, secrets, toxicity, warc
+from . import exact_dedup, fertility, hmm, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op2_seekable_warc": warc.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op5_fourier_quality": quality.query,
+    "op6_hmm_scoring": hmm.query,
     "op7_fertility_rules": fertility.query,
     "op8_noisy_channel_toxicity": toxicity.query,
     "op9_suffix_array_pieces": pieces.query,
