@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fertility, hmm, packing, pieces, quality, secrets, toxicity, warc
+from . import exact_dedup, fertility, hmm, ngram_join, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_signature_tree_join": ngram_join.query,
     "op2_seekable_warc": warc.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
