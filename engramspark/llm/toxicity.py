@@ -266,37 +266,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     index = {r.f: k for k, r in enumerate(seen.select("f").collect())}
     m = max(1, len(index))
 
-    def held(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        for y, n, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            yield y, n, np.array([index[x] for x in f if x in index], np.int64)
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [np.array([index[x] for x in f if x in index], "<i4").tobytes() for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary())], names=["y", "n", "f"])
+
+    rows = materialize(rows.mapInArrow(indexed, "y int, n int, f binary"), "toxicity-indexed")
 
     def per_feature(batches) -> np.ndarray:
         out = np.zeros((2, m))
         for b in batches:
-            for y, _, f in held(b):
-                out[y, f] += 1
+            for y, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out[y, np.frombuffer(f, "<i4")] += 1
         return out
 
     by_class = partition_sum(rows, (2, m), per_feature)
     pos, n_all = by_class[1], by_class.sum(0)
 
-    def step(beta: np.ndarray, k: int):
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for y, n, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f = np.frombuffer(f, "<i4")
+                # A training row does not vote for itself.
+                out.append(summary(_logit(pos[f] - y, n_all[f] - 1, prior), n).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "x"])
+
+    rows = materialize(rows.mapInArrow(summed, "y int, x binary"), "toxicity-summed")
+    k = len(flat)
+
+    def step(beta: np.ndarray):
         def of(batches) -> np.ndarray:
             out = np.zeros((k, k + 1))
             for b in batches:
-                for y, n, f in held(b):
-                    # A training row does not vote for itself.
-                    x = summary(_logit(pos[f] - y, n_all[f] - 1, prior), n)
-                    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                    out += np.outer(x, np.r_[x * p * (1 - p), y - p])
+                x, y = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(-1, k), b.column(0).to_numpy()
+                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                out += x.T @ np.c_[x * (p * (1 - p))[:, None], y - p]
             return out
 
         return of
 
-    k = len(flat)
     beta = flat.copy()
     for _ in range(8):
-        a = partition_sum(rows, (k, k + 1), step(beta, k))
+        a = partition_sum(rows, (k, k + 1), step(beta))
         move = np.linalg.solve(a[:, :k] + 1e-2 * np.eye(k), a[:, k] - 1e-2 * beta)
         beta = beta + move
         if np.abs(move).max() < 1e-4:
