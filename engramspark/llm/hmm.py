@@ -158,7 +158,9 @@ def fit_sample(sequences: list[np.ndarray], states: int, rounds: int, seed: int)
 
 def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
     """``encoded`` has classes (little-endian 16 bits) of the training documents."""
-    sample = encoded.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_DOCS).select(F.substring("classes", 1, 8192).alias("classes")).collect()
+    n = max(1, encoded.count())
+    sampled = encoded.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(SAMPLE_DOCS / n * (1 << 30)))  # about SAMPLE_DOCS rows
+    sample = sampled.select(F.substring("classes", 1, 8192).alias("classes")).collect()
     model = fit_sample([np.frombuffer(r.classes, "<u2").astype(np.int64) for r in sample], states, SAMPLE_ROUNDS, seed)
     rows = encoded.select("classes")
     for _ in range(rounds):
@@ -261,6 +263,21 @@ def encode(docs: DataFrame, id_col: str, text_col: str, dictionary: tuple[np.nda
     return materialize(src.mapInArrow(run, schema), "hmm-encoded")
 
 
+def most_frequent(words: DataFrame, most: int):
+    """word, class, n of the most frequent words, by n and word: all whose count is in the upper classes of a
+    histogram of counts (64 to an octave) that hold ``most`` words or fewer.  So no task sends more either."""
+    level = F.floor(F.log2("n") * 64).cast("int")
+    histogram = words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # a few thousand rows
+    held, least = 0, None
+    for r in histogram:
+        held += r["count"]
+        if held > most:
+            break
+        least = r.level
+    top = words.filter(level >= (least if least is not None else 1 << 30)).select("word", "class", "n").toPandas()
+    return top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, remainder: int = REMAINDER, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -273,8 +290,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     words = count_words(docs.filter(~held_out(F.col(f"`{id_col}`"), divisor, remainder)), text_col)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = int(total.n), int(total.v)
-    top = words.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(DICTIONARY)
-    top = top.select("word", "class", "n").toPandas()  # at most DICTIONARY rows
+    top = most_frequent(words.filter(F.col("word") != END), DICTIONARY)
     end = words.filter(F.col("word") == END).select("n").first()
     ids = np.r_[np.array([END] if end else [], np.int64), top["word"].to_numpy(np.int64)]
     counts = np.r_[np.array([end.n] if end else [], float), top["n"].to_numpy(float)]

@@ -235,7 +235,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     """Costs of letters, index of weighed features, their weights, the logistic model."""
     costs = letter_costs(count_letters(docs, text_col))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), DIVISOR, REMAINDER)).groupBy("doc_id").agg(F.max(F.col(label) > 0).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_bound).withColumnRenamed("doc_id", "label_id")
+    share = rows_bound / max(1, known.count())
+    if share < 1:  # a sample by hash, of about ``rows_bound`` rows
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = known.withColumnRenamed("doc_id", "label_id")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).drop("label_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows_bound: int = TRAIN_ROWS, features_bound: int = MAX_FEATURES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
-    Learns from at most ``rows_bound`` labelled rows (by hash of the id) whose crc32(id as text) mod 5 is
+    Learns from about ``rows_bound`` labelled rows at most (by hash of the id) whose crc32(id as text) mod 5 is
     not 0; characters are counted over all documents.  Null text counts as empty: no evidence.  Repeated
     rows get equal scores; without labels of both classes all scores are near the class there is, or 0.5.
     """
