@@ -6,7 +6,7 @@
    a row, look-alike characters, single letters set apart) become lattices: each character can stand for
    letters, repeat the one before, or stand for nothing, at a cost.  Viterbi decoding under the character
    model picks the reading.
-3. Words of the restored text and their first 4 to 6 letters are weighed by how much more often toxic
+3. Words of the restored text and their first 4 to 8 letters are weighed by how much more often toxic
    training documents hold them; a logistic model on a document's strongest weight gives the score.
 """
 
@@ -28,7 +28,7 @@ from .training import partition_sum
 DIVISOR, REMAINDER, THRESHOLD = 5, 0, 0.5
 #: Bounds of the classifier: labelled rows that it learns from, features that it weighs, times a feature must be seen in toxic rows.
 TRAIN_ROWS, MAX_FEATURES, LEAST_SEEN = 20_000, 1 << 16, 3
-SMOOTHING = 8.0
+SMOOTHING = 2.0
 LETTERS = 27  # 0 is the word's edge
 
 #: What a character may stand for.
@@ -188,7 +188,7 @@ def features(readings: list[str]) -> list[int]:
     for r in readings:
         if r:
             out.append(xxhash.xxh3_64_intdigest(r) - (1 << 63))
-            out += [xxhash.xxh3_64_intdigest("^" + r[:n]) - (1 << 63) for n in (4, 5, 6) if len(r) >= n]
+            out += [xxhash.xxh3_64_intdigest("^" + r[:n]) - (1 << 63) for n in (4, 5, 6, 7, 8) if len(r) >= n]
     return out
 
 
