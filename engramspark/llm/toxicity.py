@@ -241,40 +241,41 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     known = known.withColumnRenamed("doc_id", "label_id")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).drop("label_id")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(text: str, restorer: Restorer, young: dict) -> tuple[int, set[int]]:
+        words = (text or "").lower().split()
+        different, found = set(words), set()
+        if len(young) > 100_000:
+            young.clear()
+        for w in [*different, *spaced(words)]:
+            if w not in young:
+                young[w] = features(restorer.readings(w))
+            found.update(young[w])
+        return len(different), found
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, young = Restorer(costs), {}
         for b in batches:
-            out, n = [], []
             for text in b.column(0).to_pylist():
-                words = (text or "").lower().split()
-                different, found = set(words), set()
-                if len(young) > 200_000:
-                    young.clear()
-                for w in [*different, *spaced(words)]:
-                    if w not in young:
-                        young[w] = features(restorer.readings(w))
-                    found.update(young[w])
-                out.append(sorted(found))
-                n.append(len(different))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["y", "n", "f"])
-
-    rows = materialize(rows.select("text", "y").mapInArrow(hashed, "y int, n int, f array<long>"), "toxicity-train")
+                yield pa.RecordBatch.from_arrays([pa.array(list(hashed(text, restorer, young)[1]), pa.int64())], names=["f"])
+
     counted = {int(r.y): r["count"] for r in rows.groupBy("y").count().collect()}
     total, positive = sum(counted.values()), counted.get(1, 0)
     prior = (positive + 1) / (total + 2)
     flat = np.array([np.log(prior / (1 - prior)), 0, 0])
     if not 0 < positive < total:
         return costs, {}, np.zeros(0), flat
-    seen = rows.filter("y = 1").select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "f").limit(features_bound)
+    seen = rows.filter("y = 1").select("text").mapInArrow(listed, "f long").groupBy("f").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "f").limit(features_bound)
     index = {r.f: k for k, r in enumerate(seen.select("f").collect())}
     m = max(1, len(index))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, young = Restorer(costs), {}
         for b in batches:
-            kept = [np.array([index[x] for x in f if x in index], "<i4").tobytes() for f in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary())], names=["y", "n", "f"])
+            got = [hashed(text, restorer, young) for text in b.column(0).to_pylist()]
+            kept = [np.array(sorted(index[x] for x in f if x in index), "<i4").tobytes() for _, f in got]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int32()), pa.array(kept, pa.binary())], names=["y", "n", "f"])
 
-    rows = materialize(rows.mapInArrow(indexed, "y int, n int, f binary"), "toxicity-indexed")
+    rows = materialize(rows.select("text", "y").mapInArrow(indexed, "y int, n int, f binary"), "toxicity-indexed")
 
     def per_feature(batches) -> np.ndarray:
         out = np.zeros((2, m))
