@@ -5,14 +5,16 @@
 2. Classes meet at shared tokens of their prefixes: under one order of all shingles (rare ones first, by a
    counting sketch of fixed size), two sets that link must share one of the first n - ceil(3n/4) + 1.
    Any order gives every link; the sketch only keeps passages that many documents share out of prefixes.
-3. First round: each class is compared with the one class that heads most of its tokens.  This ties large
-   groups of near copies together without listing their pairs.
-4. Second round, over tokens whose classes are not yet in one component: a signature tree for each token.
+3. First round: each class is compared with the one class that heads most of its tokens.
+4. Later rounds, over tokens whose classes are not yet in one component: a signature tree for each token.
    Leaves are classes (a bitmap of their shingles, their size), nodes hold the OR of the bitmaps below,
    the range of sizes, the largest excess of size over bits, and the component if there is one.  A dual
    traversal drops node pairs of one component, of sizes too far apart, or whose largest possible overlap
    (common bits and excess) is below what a link needs.  Pairs of leaves that are left are candidates.
-5. Candidates of both rounds are verified on their full sets.
+   Two tying rounds look at an eighth of the tokens each and take, for every component, the candidate with
+   the most common bits; they tie large groups of near copies together without listing their pairs.  The
+   last round takes all tokens and all candidates that are left, so no link is missed.
+5. Candidates of every round are verified on their full sets.
 
 Classes of one token are cut into blocks; trees of two blocks are traversed against each other, so memory
 is bounded and nothing is left out.  Tokens that the sketch calls very frequent are dealt over salts.
@@ -34,7 +36,8 @@ from .components import connected, unpacked
 from .training import partition_sum
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
-SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 8, 8, 4096
+SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 16, 8, 4096
+TYING_ROUNDS, TYING_PARTS = 2, 8
 HOT_TOKEN, SALTS, BROADCAST_ROWS = 200_000, 32, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,22 +170,50 @@ def traverse(x: list[Level], y: list[Level] | None, chunk: int = 200_000) -> Ite
             stack.append((k + 1, p, q))
 
 
-def tree_pairs(ids: np.ndarray, side: np.ndarray, bits: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of ids within one block (side 0), or between the blocks of sides 0 and 1."""
+def best_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, size: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, those with the most common bits for their sizes: one for each component, and one for
+    each two components that have at least as many rows here as the root of all rows (so no more than rows)."""
+    number, rows = component, np.bincount(component)
+    large = rows * rows >= len(component)
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for i, j in pairs:
+        common = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        s = common / (size[i] + size[j] - common)
+        a, b = number[i], number[j]
+        both = np.flatnonzero(large[a] & large[b])
+        key = np.r_[a, b, np.minimum(a, b)[both]] << 32 | np.r_[np.full(2 * len(a), (1 << 32) - 1), np.maximum(a, b)[both]]
+        s, p, q = np.r_[s, s, s[both]], np.r_[i, i, i[both]], np.r_[j, j, j[both]]
+        order = np.lexsort((s, key))
+        top = order[np.r_[key[order][1:] != key[order][:-1], True]]
+        for x in zip(key[top].tolist(), s[top].tolist(), p[top].tolist(), q[top].tolist(), strict=True):
+            if x[1:] > best.get(x[0], (-1.0,)):
+                best[x[0]] = x[1:]
+    chosen = np.array(sorted({x[1:] for x in best.values()}), np.int64).reshape(-1, 2)
+    return chosen[:, 0], chosen[:, 1]
+
+
+def tree_pairs(ids: np.ndarray, side: np.ndarray, bits: np.ndarray, size: np.ndarray, component: np.ndarray, best: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of ids within one block (side 0), or between the blocks of sides 0 and 1.
+
+    ``best``: of the pairs in one block only the best for each component.
+    """
+
+    component = np.unique(component, return_inverse=True)[1]  # -1 is free for nodes of several
 
     def built(rows: np.ndarray) -> tuple[np.ndarray, list[Level]]:
         # Neighbours of like size and like bits share nodes.
         rows = rows[np.lexsort((bits[rows, 1], bits[rows, 0], component[rows], size[rows]))]
-        return ids[rows], tree(bits[rows], size[rows], component[rows])
+        return rows, tree(bits[rows], size[rows], component[rows])
 
     left, x = built(np.flatnonzero(side == 0))
     if (side == 1).any():
         right, y = built(np.flatnonzero(side == 1))
         for i, j in traverse(x, y):
-            yield left[i], right[j]
-    else:
-        for i, j in traverse(x, None):
-            yield left[i], left[j]
+            yield ids[left[i]], ids[right[j]]
+        return
+    found = ((left[i], left[j]) for i, j in traverse(x, None))
+    for i, j in [best_of(found, bits, size, component)] if best else found:
+        yield ids[i], ids[j]
 
 
 # DataFrames
@@ -389,25 +420,41 @@ def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: Data
     return materialize(sent.mapInArrow(compare, "u long, v long, linked boolean").distinct(), "ngram-verified")
 
 
-def second_round(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
-    """u, v: candidate pairs of classes of different components, from the signature trees of the tokens."""
+def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: DataFrame, tying: bool) -> DataFrame:
+    """u, v: pairs of classes of different components from the signature trees of the tokens, without those tested.
+
+    ``tying``: trees of single blocks, and of their pairs the best for each component.
+    """
     spark = posted.sparkSession
     rows = posted.select("token", "block", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if tying:
+        rows = rows.withColumn("token", F.xxhash64("token", "block"))
     rows = materialize(rows, "ngram-labelled")
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("block").alias("first"), F.max("block").alias("last")).filter("a <> b")
     mixed = materialize(mixed.select("token", (F.col("first") == F.col("last")).alias("whole")), "ngram-mixed")
-    rows = rows.join(mixed, "token").join(bits, "cls")
-    # A token in one block is one group.  Of several blocks, each meets each: a block's rows go to all its pairs.
-    blocks = posted.join(mixed.filter("NOT whole").select("token"), "token").groupBy("token").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-    single = rows.filter("whole").select("token", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "cls", "component", "n", "bits")
-    several = rows.filter("NOT whole").join(blocks, "token").withColumn("other", F.explode("blocks"))
+    several = rows.join(mixed.filter("NOT whole").select("token"), "token")
+    rows = rows.join(mixed.filter("whole").select("token"), "token").join(bits, "cls")
+    # A token in one block is one group.  Of several blocks, each meets each, unless both are of one component.
+    blocks = several.groupBy("token", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     x, y = F.least("block", "other"), F.greatest("block", "other")
+    meets = blocks.join(blocks.select("token", F.col("block").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2")), "token").filter("a <> b OR a2 <> b2 OR a <> a2").select("token", "block", "other")
+    single = rows.select("token", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "cls", "component", "n", "bits")
+    several = several.join(bits, "cls").join(meets, ["token", "block"])
     several = several.select("token", x.alias("x"), y.alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "component", "n", "bits")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = single.unionByName(several).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
+        seen: set[tuple[int, int]] = set()  # pairs meet at many tokens
+
+        def pairs(us: list, vs: list) -> pa.RecordBatch:
+            new = set(zip(np.concatenate(us).tolist(), np.concatenate(vs).tolist(), strict=True)) - seen
+            if len(seen) + len(new) > 1_000_000:
+                seen.clear()
+            seen.update(new)
+            u, v = zip(*new, strict=True) if new else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         def groups(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key = np.stack(cols[:3], 1)
@@ -418,15 +465,15 @@ def second_round(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested:
             held = 0
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 _, _, _, side, cls, component, n, words = (c[a:b] for c in cols)
-                for u, v in tree_pairs(cls, side, words, n, component):
+                for u, v in tree_pairs(cls, side, words, n, component, tying):
                     us.append(np.minimum(u, v))
                     vs.append(np.maximum(u, v))
                     held += len(u)
-                    if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                    if held > 200_000:
+                        yield pairs(us, vs)
                         us, vs, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                yield pairs(us, vs)
 
         for b in batches:
             if not b.num_rows:
@@ -468,15 +515,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     votes = posted.filter("cls <> head").groupBy("cls", "head").agg(F.count(F.lit(1)).alias("votes"))
     first = votes.groupBy("cls").agg(F.max(F.struct("votes", "head")).alias("best")).select(F.col("best.head").alias("u"), F.col("cls").alias("v"))
-    one = verified(docs, id_col, text_col, seed, first, owners)
-    labels = connected(one.filter("linked").select("u", "v"))
     # A class has its bits once, whatever the number of its documents.
     bits = members.filter("n > 0").join(posted.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "n", "bits").agg(F.count(F.lit(1)).alias("c")).drop("c")
-    tested = one.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    two = verified(docs, id_col, text_col, seed, materialize(second_round(posted, labels.select(F.col("node").alias("cls"), "component"), bits, tested), "ngram-second"), owners)
-    more = two.filter("linked").select("u", "v")
-    if not more.isEmpty():
-        labels = connected(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    bits = materialize(bits, "ngram-bits")
+    done = verified(docs, id_col, text_col, seed, first, owners)
+    labels = connected(done.filter("linked").select("u", "v"))
+    for k in range(TYING_ROUNDS + 1):
+        tying = k < TYING_ROUNDS
+        part = posted.filter(F.pmod(F.xxhash64("token"), F.lit(TYING_PARTS)) == k) if tying else posted
+        tested = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        found = materialize(candidates(part, labels.select(F.col("node").alias("cls"), "component"), bits, tested, tying), "ngram-candidates")
+        if found.isEmpty():
+            continue
+        more = verified(docs, id_col, text_col, seed, found, owners)
+        done = done.union(more)
+        links = more.filter("linked").select("u", "v")
+        if not links.isEmpty():
+            labels = connected(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
 
     placed = classes.join(labels, classes["cls"] == labels["node"], "left").withColumn("group", F.coalesce("component", "cls"))
     lowest = placed.groupBy("group").agg(F.min("owner").alias("lowest"))
