@@ -1,27 +1,46 @@
-"""Corpus pipeline: toxicity, exact deduplication, near-duplicate join, secret scans, packing."""
+"""Corpus pipeline: toxicity, exact deduplication, near-duplicate join, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramspark.llm import exact_dedup
+from engramspark.llm import exact_dedup, ngram_join, packing, secrets, toxicity
+from engramspark.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs)
 
 
-STAGES = [("exact_dedup", _exact)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.thin(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("secret_scans", redact_secrets), ("packing", pack)]
+
+#: SQL can express neither the trained toxicity scores nor the packing; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over what the one before it kept, each result written and read again."""
-    from engramspark.llm.common import materialize
-
+    """All stages over ``documents``, each result written and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -339,5 +339,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return out.select("doc_id", held_out(F.col("doc_id"), DIVISOR, REMAINDER).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` whose score is below THRESHOLD, with all their columns; no join, so ids need not be unique."""
+    costs, index, logit, beta = train(docs, labels, label, id_col, text_col, TRAIN_ROWS, MAX_FEATURES)
+    kept: list[Scorer] = []
+
+    @F.pandas_udf("double")
+    def scored(texts):
+        if not kept:
+            kept.append(Scorer(costs, index, logit, beta))
+        return texts.map(lambda x: kept[0].score(x or ""))
+
+    return docs.filter(scored(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) < THRESHOLD)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
