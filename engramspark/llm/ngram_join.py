@@ -48,34 +48,72 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler(dict):
-    """word -> its hash; kept in two generations."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_R, _R_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most, self.old = most, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        h = self.old.get(word) or xxhash.xxh3_64_digest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+class Shingler:
+    """Shingle sets of texts, whole batches at once.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, from running sums over the batch, then mixed.
+    """
+
+    def __init__(self, batch_bytes: int = 1 << 20):
+        self.batch_bytes = batch_bytes
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, self.batch_bytes + (1 << 16))
+            self.powers, self.inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n, r, np.uint64)], dtype=np.uint64) for r in (_R, _R_INVERSE))
+
+    def _words(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every word."""
+        x = np.frombuffer(joined, np.uint8)
+        self._reach(len(x) + 1)
+        inside = ~_SPACE[x]
+        edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        total = np.cumsum((x + np.uint64(1)) * self.powers[: len(x)], dtype=np.uint64)
+        before = np.where(start > 0, total[start - 1], np.uint64(0)) if len(start) else total[:0]
+        return start, _mix((total[end - 1] - before) * self.inverse[start] + (end - start).astype(np.uint64))
+
+    def many(self, texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
+        """For each text the sorted hashes of its distinct shingles; of a shorter text all words as one; none without words."""
+        k = 0
+        while k < len(texts):
+            e, held = k, 0
+            while e < len(texts) and (e == k or held + len(texts[e]) < self.batch_bytes):
+                held += len(texts[e]) + 1
+                e += 1
+            batch = texts[k:e]
+            k = e
+            start, h = self._words(b" ".join(batch).lower())
+            ends = np.cumsum([len(t) + 1 for t in batch])
+            last = np.searchsorted(start, ends)
+            m = max(0, len(h) - size + 1)
+            full = h[:m] + np.uint64(size)
+            for j in range(1, size):
+                full = full * _P + h[j : j + m]
+            full = _mix(full)
+            a = 0
+            for b in last.tolist():
+                n = b - a
+                if n >= size:
+                    x = np.sort(full[a : b - size + 1])
+                    yield x[np.r_[True, x[1:] != x[:-1]]]
+                elif n:
+                    x = h[a : a + 1] + np.uint64(n)
+                    for j in range(1, n):
+                        x = x * _P + h[a + j : a + j + 1]
+                    yield _mix(x)
+                else:
+                    yield h[:0]
+                a = b
 
     def shingles(self, text: bytes, size: int = SHINGLE) -> np.ndarray:
-        """Sorted hashes of the distinct shingles; of a shorter text all words as one; none without words."""
-        if len(self) > self.most // 2:
-            self.old = dict(self)
-            self.clear()
-        h = np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), ">u8").astype(np.uint64)
-        if not len(h):
-            return h
-        k = min(size, len(h))
-        n = len(h) - k + 1
-        x = h[:n] + np.uint64(k)
-        for j in range(1, k):
-            x = x * _P + h[j : j + n]
-        x = np.sort(_mix(x))
-        return x[np.r_[True, x[1:] != x[:-1]]]
+        return next(self.many([text], size))
 
 
 def prefix_length(n: int) -> int:
@@ -107,16 +145,19 @@ class Level:
     last: np.ndarray
 
 
-def tree(bits: np.ndarray, size: np.ndarray, component: np.ndarray, fan_out: int = FAN_OUT) -> list[Level]:
-    """Levels from the root down to the leaves, which are in the given order."""
+def forest(group: np.ndarray, bits: np.ndarray, size: np.ndarray, component: np.ndarray, fan_out: int = FAN_OUT) -> list[Level]:
+    """Levels from the roots, one for each group of consecutive leaves, down to the leaves in the given order."""
     n = len(size)
     levels = [Level(bits, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64), component, np.arange(n), np.arange(n))]
-    while len(levels[0].low) > 1:
+    while (group[1:] == group[:-1]).any():
         below = levels[0]
-        at = np.arange(0, len(below.low), fan_out)
-        end = np.minimum(at + fan_out, len(below.low)) - 1
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        nth = np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+        at = np.flatnonzero(nth % fan_out == 0)
+        end = np.r_[at[1:], len(group)] - 1
         low_c, high_c = np.minimum.reduceat(below.component, at), np.maximum.reduceat(below.component, at)
         levels.insert(0, Level(np.bitwise_or.reduceat(below.bits, at), np.minimum.reduceat(below.low, at), np.maximum.reduceat(below.high, at), np.maximum.reduceat(below.excess, at), np.where(low_c == high_c, low_c, -1), at, end))
+        group = group[at]
     return levels
 
 
@@ -132,13 +173,17 @@ def may_link(x: Level, i: np.ndarray, y: Level, j: np.ndarray) -> np.ndarray:
 
 
 def traverse(x: list[Level], y: list[Level] | None, chunk: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves (of one tree with itself: i < j) that may link; depth first over chunks of node pairs."""
+    """Pairs of leaves that may link; depth first over chunks of node pairs.
+
+    Each tree of x against the one of y in the same place; without y, against itself (i < j).
+    """
     own = y is None
     y = x if own else y
     depth = max(len(x), len(y))
     # The shallower tree's root stands in for the levels that it lacks.
     a, b = ([None] * (depth - len(t)) + t for t in (x, y))
-    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    roots = np.arange(len(x[0].low))
+    stack = [(0, roots, roots)]
     while stack:
         k, i, j = stack.pop()
         ok = may_link(a[k] or x[0], i, b[k] or y[0], j)
@@ -170,50 +215,68 @@ def traverse(x: list[Level], y: list[Level] | None, chunk: int = 200_000) -> Ite
             stack.append((k + 1, p, q))
 
 
-def best_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, size: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of rows, those with the most common bits for their sizes: one for each component, and one for
-    each two components that have at least as many rows here as the root of all rows (so no more than rows)."""
-    number, rows = component, np.bincount(component)
-    large = rows * rows >= len(component)
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+def best_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], group: np.ndarray, bits: np.ndarray, size: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, those with the most common bits for their sizes: in each group one for each component,
+    and one for each two components that have at least as many rows as the root of the group's rows (so no
+    more than rows)."""
+    number, rows = np.unique(group * (component.max() + 1) + component, return_inverse=True, return_counts=True)[1:]
+    large = (rows * rows)[number] >= np.bincount(group)[group]
+    keys, scores, left, right = [], [], [], []
+    held = 0
+
+    def squeeze() -> None:
+        k, s, p, q = (np.concatenate(x) for x in (keys, scores, left, right))
+        order = np.lexsort((q, p, s, k))
+        top = order[np.r_[k[order][1:] != k[order][:-1], True]]
+        for x, v in zip((keys, scores, left, right), (k[top], s[top], p[top], q[top]), strict=True):
+            x[:] = [v]
+
     for i, j in pairs:
         common = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
         s = common / (size[i] + size[j] - common)
         a, b = number[i], number[j]
-        both = np.flatnonzero(large[a] & large[b])
-        key = np.r_[a, b, np.minimum(a, b)[both]] << 32 | np.r_[np.full(2 * len(a), (1 << 32) - 1), np.maximum(a, b)[both]]
-        s, p, q = np.r_[s, s, s[both]], np.r_[i, i, i[both]], np.r_[j, j, j[both]]
-        order = np.lexsort((s, key))
-        top = order[np.r_[key[order][1:] != key[order][:-1], True]]
-        for x in zip(key[top].tolist(), s[top].tolist(), p[top].tolist(), q[top].tolist(), strict=True):
-            if x[1:] > best.get(x[0], (-1.0,)):
-                best[x[0]] = x[1:]
-    chosen = np.array(sorted({x[1:] for x in best.values()}), np.int64).reshape(-1, 2)
+        both = np.flatnonzero(large[i] & large[j])
+        keys.append(np.r_[a, b, np.minimum(a, b)[both]] << 32 | np.r_[np.full(2 * len(a), (1 << 32) - 1), np.maximum(a, b)[both]])
+        scores.append(np.r_[s, s, s[both]])
+        left.append(np.r_[i, i, i[both]])
+        right.append(np.r_[j, j, j[both]])
+        held += len(i)
+        if held > 500_000:
+            squeeze()
+            held = 0
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    squeeze()
+    chosen = np.unique(np.stack([left[0], right[0]], 1), axis=0)
     return chosen[:, 0], chosen[:, 1]
 
 
-def tree_pairs(ids: np.ndarray, side: np.ndarray, bits: np.ndarray, size: np.ndarray, component: np.ndarray, best: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of ids within one block (side 0), or between the blocks of sides 0 and 1.
+def tree_pairs(group: np.ndarray, side: np.ndarray, ids: np.ndarray, component: np.ndarray, size: np.ndarray, bits: np.ndarray, best: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of ids: within each group, or between its sides 0 and 1 where it has both.
 
-    ``best``: of the pairs in one block only the best for each component.
+    ``best``: of the pairs in a group only the best for its components.
     """
-
     component = np.unique(component, return_inverse=True)[1]  # -1 is free for nodes of several
+    group = np.unique(group, return_inverse=True)[1]
+    crossed = np.bincount(group, side) > 0
 
     def built(rows: np.ndarray) -> tuple[np.ndarray, list[Level]]:
         # Neighbours of like size and like bits share nodes.
-        rows = rows[np.lexsort((bits[rows, 1], bits[rows, 0], component[rows], size[rows]))]
-        return rows, tree(bits[rows], size[rows], component[rows])
-
-    left, x = built(np.flatnonzero(side == 0))
-    if (side == 1).any():
-        right, y = built(np.flatnonzero(side == 1))
-        for i, j in traverse(x, y):
-            yield ids[left[i]], ids[right[j]]
-        return
-    found = ((left[i], left[j]) for i, j in traverse(x, None))
-    for i, j in [best_of(found, bits, size, component)] if best else found:
-        yield ids[i], ids[j]
+        rows = rows[np.lexsort((bits[rows, 1], bits[rows, 0], component[rows], size[rows], group[rows]))]
+        return rows, forest(group[rows], bits[rows], size[rows], component[rows])
+
+    own = np.flatnonzero(~crossed[group])
+    if len(own):
+        left, x = built(own)
+        found = ((left[i], left[j]) for i, j in traverse(x, None))
+        for i, j in [best_of(found, group, bits, size, component)] if best else found:
+            yield ids[i], ids[j]
+    for g in np.flatnonzero(crossed).tolist():
+        left, x = built(np.flatnonzero((group == g) & (side == 0)))
+        right, y = built(np.flatnonzero((group == g) & (side == 1)))
+        if len(left):
+            for i, j in traverse(x, y):
+                yield ids[left[i]], ids[right[j]]
 
 
 # DataFrames
@@ -234,8 +297,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in types]
             held: list[np.ndarray] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingler.shingles(text)
+            for doc_id, s in zip(b.column(0).to_pylist(), shingler.many(b.column(1).to_pylist()), strict=True):
                 name = xxhash.xxh3_128_digest(s.tobytes())
                 hi, lo = np.frombuffer(name, np.int64).tolist()
                 if name not in seen:
@@ -286,8 +348,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, seed: int, counts: np.
         shingler, seen = Shingler(), set()
         for b in batches:
             tokens, owners = [], []
-            for text in b.column(0).to_pylist():
-                s = shingler.shingles(text)
+            for s in shingler.many(b.column(0).to_pylist()):
                 c = class_id(xxhash.xxh3_128_digest(s.tobytes()), seed)
                 if not len(s) or c in seen:
                     continue
@@ -378,8 +439,9 @@ def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: Data
             def batch(out=out) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["u", "salt", "role", "cls", "shingles"])
 
-            for text, cls, us, ss, rs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingler.shingles(text).tobytes()
+            texts, *asked = (c.to_pylist() for c in b.columns)
+            for s, cls, us, ss, rs in zip(shingler.many(texts), *asked, strict=True):
+                s = s.tobytes()
                 if class_id(xxhash.xxh3_128_digest(s), seed) != cls:  # another row with this id
                     continue
                 for x in zip(us, ss, rs, strict=True):
@@ -458,20 +520,17 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
 
         def groups(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key = np.stack(cols[:3], 1)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            ends = np.r_[starts[1:], len(key)]
+            group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(1)])
             us: list[np.ndarray] = []
             vs: list[np.ndarray] = []
             held = 0
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                _, _, _, side, cls, component, n, words = (c[a:b] for c in cols)
-                for u, v in tree_pairs(cls, side, words, n, component, tying):
-                    us.append(np.minimum(u, v))
-                    vs.append(np.maximum(u, v))
-                    held += len(u)
-                    if held > 200_000:
-                        yield pairs(us, vs)
-                        us, vs, held = [], [], 0
+            for u, v in tree_pairs(group, *cols[3:], tying):
+                us.append(np.minimum(u, v))
+                vs.append(np.maximum(u, v))
+                held += len(u)
+                if held > 200_000:
+                    yield pairs(us, vs)
+                    us, vs, held = [], [], 0
             if held:
                 yield pairs(us, vs)
 
