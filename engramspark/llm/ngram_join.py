@@ -59,7 +59,7 @@ class Shingler:
     A word's hash is a polynomial of its bytes modulo 2^64, from running sums over the batch, then mixed.
     """
 
-    def __init__(self, batch_bytes: int = 1 << 20):
+    def __init__(self, batch_bytes: int = 1 << 18):
         self.batch_bytes = batch_bytes
         self.powers = self.inverse = np.ones(1, np.uint64)
 
