@@ -16,11 +16,41 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: A Python task holds one batch of rows at a time; both bounds keep it small where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when a task ends its memory goes back to the system, since Python workers are used again."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where that is unset (tests, a single machine) a temporary folder is made and set.
     """
+    small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="engramspark-")
@@ -70,6 +100,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterabl
     ``rows`` gets the ids as a list and the texts as a list of ``bytes`` (UTF-8, null as empty) and returns
     a dict of equally long sequences, one for each name of ``schema``.  Whole texts; no state between tasks.
     """
+    small_batches(df.sparkSession)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
 
@@ -82,7 +113,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterabl
             types = types or arrow_types(schema)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 _ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

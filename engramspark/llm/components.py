@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 
 def _local(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def _local(edges: DataFrame) -> DataFrame:
         if parent:
             yield flush()
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(lean(run), "u long, v long")
 
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:

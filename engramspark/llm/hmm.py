@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, read_documents
+from .common import held_out, lean, materialize, read_documents
 from .training import partition_sum
 
 DIVISOR, REMAINDER = 7, 2
@@ -74,7 +74,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
             yield flush()
 
     text = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    counted = text.mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
+    counted = text.mapInArrow(lean(run), "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
     return materialize(counted, "hmm-words")
 
 
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, dictionary: tuple[np.nda
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=[x.strip().split(" ")[0] for x in schema.split(",")])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), held_out(F.col(f"`{id_col}`"), divisor, remainder).alias("held"))
-    return materialize(src.mapInArrow(run, schema), "hmm-encoded")
+    return materialize(src.mapInArrow(lean(run), schema), "hmm-encoded")
 
 
 def most_frequent(words: DataFrame, most: int):
@@ -318,7 +318,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
                 got = forward(model, seq) - under + b.column(6).to_numpy()
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(got)], names=[x.strip().split(" ")[0] for x in schema.split(",")])
 
-    main = encoded.drop("rare", "times").mapInArrow(run, schema)
+    main = encoded.drop("rare", "times").mapInArrow(lean(run), schema)
     asked = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     sums = asked.join(words.select("word", "n"), "word").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("times").alias("rare_known"))
     rare = F.coalesce("rare_log", F.lit(0.0))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_documents
+from .common import lean, materialize, read_documents
 from .components import connected, unpacked
 from .training import partition_sum
 
@@ -312,7 +312,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, None, zlib.compress(sketch.astype("<u4").tobytes(), 1)), types, strict=True)], names=names)
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    return materialize(src.mapInArrow(run, schema), "ngram-sets")
+    return materialize(src.mapInArrow(lean(run), schema), "ngram-sets")
 
 
 def class_id(name: bytes, seed: int) -> int:
@@ -363,7 +363,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, seed: int, counts: np.
                     yield pa.RecordBatch.from_arrays([pa.array(t[k : k + 200_000].view(np.int64)), pa.array(salt[k : k + 200_000]), pa.array(o[k : k + 200_000])], names=["token", "salt", "cls"])
 
     text = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    rows = text.mapInArrow(run, "token long, salt int, cls long")
+    rows = text.mapInArrow(lean(run), "token long, salt int, cls long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     rows = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "cls")
 
@@ -412,7 +412,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, seed: int, counts: np.
         if len(carry[0]) and (x := out(*carry, np.array([len(carry[0])]), base, np.array([head]))) is not None:
             yield x
 
-    return materialize(rows.mapInArrow(runs, "token long, block long, cls long, head long"), "ngram-postings")
+    return materialize(rows.mapInArrow(lean(runs), "token long, block long, cls long, head long"), "ngram-postings")
 
 
 def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: DataFrame, owners: DataFrame, salts: int = 64) -> DataFrame:
@@ -456,7 +456,7 @@ def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: Data
             if out[0]:
                 yield batch()
 
-    sent = rows.select("text", "owner_cls", "us", "ss", "rs").mapInArrow(send, "u long, salt int, role int, cls long, shingles binary")
+    sent = rows.select("text", "owner_cls", "us", "ss", "rs").mapInArrow(lean(send), "u long, salt int, role int, cls long, shingles binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(parts, "u", "salt").sortWithinPartitions("u", "salt", "role")
 
@@ -479,7 +479,7 @@ def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: Data
                     raise RuntimeError("a class of a candidate pair has no set")
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(yes, pa.bool_())], names=["u", "v", "linked"])
 
-    return materialize(sent.mapInArrow(compare, "u long, v long, linked boolean").distinct(), "ngram-verified")
+    return materialize(sent.mapInArrow(lean(compare), "u long, v long, linked boolean").distinct(), "ngram-verified")
 
 
 def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: DataFrame, tying: bool) -> DataFrame:
@@ -549,7 +549,7 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
         if carry is not None:
             yield from groups(carry)
 
-    found = dealt.mapInArrow(run, "u long, v long").distinct()
+    found = dealt.mapInArrow(lean(run), "u long, v long").distinct()
     return found.join(tested, ["u", "v"], "left_anti")
 
 

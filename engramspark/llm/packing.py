@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_types, map_texts, materialize, read_documents
+from .common import arrow_types, lean, map_texts, materialize, read_documents
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 
@@ -220,7 +220,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seq, off = e[:, 3] + nth // np.maximum(e[:, 2], 1), e[:, 5] + nth % np.maximum(e[:, 2], 1) * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq, types[5]), pa.array(off, types[6])], names=[x.strip().split(" ")[0] for x in schema.split(",")])
 
-    return ranked(rows, counts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(place, schema)
+    return ranked(rows, counts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_documents
+from .common import lean, map_texts, read_documents
 
 MARK, VOCABULARY = "▁", "piece_bpe_32k.model"
 _START = -1
@@ -208,7 +208,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             text = [codec(vocabulary).decode(np.array(x or [], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 SCHEMA = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"

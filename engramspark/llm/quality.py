@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, materialize, read_documents
+from .common import held_out, lean, map_texts, materialize, read_documents
 from .training import isotonic, partition_sum, with_labels
 
 DIVISOR, REMAINDER, THRESHOLD = 4, 2, 0.7
@@ -166,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 score = model.score(_matrix(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return stats.withColumn("held_out", held_out(F.col("doc_id"), DIVISOR, REMAINDER)).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.withColumn("held_out", held_out(F.col("doc_id"), DIVISOR, REMAINDER)).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, materialize, read_documents
+from .common import held_out, lean, map_texts, materialize, read_documents
 from .training import partition_sum
 
 DIVISOR, REMAINDER, THRESHOLD = 5, 0, 0.5
@@ -60,7 +60,7 @@ _CODES[97:123] = np.arange(1, 27)
 
 def letter_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of (three letters before, letter) inside the words of some texts; edges on both sides count."""
-    joined = b" ".join([b"", *texts, b""]).lower()
+    joined = b" ".join([b"  ", *texts, b"  "]).lower()
     if not joined.isascii():
         joined = unicodedata.normalize("NFKD", joined.decode("utf-8", "replace").lower().replace("ß", "s")).encode("ascii", "ignore")
     d = _CODES[np.frombuffer(joined, np.uint8)]
@@ -76,8 +76,8 @@ def count_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         out = np.zeros(LETTERS**4)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 512):
-                out += letter_counts(texts[k : k + 512])
+            for k in range(0, len(texts), 128):
+                out += letter_counts(texts[k : k + 128])
         return out
 
     return partition_sum(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")), (LETTERS**4,), of)
@@ -169,7 +169,7 @@ class Restorer:
 
 
 def spaced(words: list[str], least: int = 4) -> list[str]:
-    """Runs of ``least`` or more words of one character each (the last may carry marks), joined."""
+    """Runs of ``least`` or more words of one character each (the last may carry marks), joined; also without an end."""
     one = np.fromiter(map(len, words), np.int64, len(words)) == 1
     if one.sum() < least - 1:
         return []
@@ -178,7 +178,8 @@ def spaced(words: list[str], least: int = 4) -> list[str]:
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         tail = words[b] if b < len(words) and len(words[b].rstrip(_EDGES)) == 1 else ""
         if b - a + bool(tail) >= least:
-            out.append("".join(words[a:b]) + tail)
+            run = "".join(words[a:b]) + tail
+            out += [run, run[1:], run[: b - a - 1]]  # a word of one letter may stand before or behind
     return out
 
 
@@ -195,7 +196,7 @@ def features(readings: list[str]) -> list[int]:
 class Scorer:
     """Scores of texts; remembers the weighed features of words seen, in two generations."""
 
-    def __init__(self, costs: np.ndarray, index: dict[int, int], logit: np.ndarray, beta: np.ndarray, most: int = 400_000):
+    def __init__(self, costs: np.ndarray, index: dict[int, int], logit: np.ndarray, beta: np.ndarray, most: int = 300_000):
         self.restorer, self.index, self.logit, self.beta, self.most = Restorer(costs), index, logit, beta, most
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
@@ -264,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     flat = np.array([np.log(prior / (1 - prior)), 0, 0])
     if not 0 < positive < total:
         return costs, {}, np.zeros(0), flat
-    seen = rows.filter("y = 1").select("text").mapInArrow(listed, "f long").groupBy("f").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "f").limit(features_bound)
+    seen = rows.filter("y = 1").select("text").mapInArrow(lean(listed), "f long").groupBy("f").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "f").limit(features_bound)
     index = {r.f: k for k, r in enumerate(seen.select("f").collect())}
     m = max(1, len(index))
 
@@ -275,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
             kept = [np.array(sorted(index[x] for x in f if x in index), "<i4").tobytes() for _, f in got]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int32()), pa.array(kept, pa.binary())], names=["y", "n", "f"])
 
-    rows = materialize(rows.select("text", "y").mapInArrow(indexed, "y int, n int, f binary"), "toxicity-indexed")
+    rows = materialize(rows.select("text", "y").mapInArrow(lean(indexed), "y int, n int, f binary"), "toxicity-indexed")
 
     def per_feature(batches) -> np.ndarray:
         out = np.zeros((2, m))
@@ -296,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
                 out.append(summary(_logit(pos[f] - y, n_all[f] - 1, prior), n).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "x"])
 
-    rows = materialize(rows.mapInArrow(summed, "y int, x binary"), "toxicity-summed")
+    rows = materialize(rows.mapInArrow(lean(summed), "y int, x binary"), "toxicity-summed")
     k = len(flat)
 
     def step(beta: np.ndarray):
@@ -342,15 +343,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of ``docs`` whose score is below THRESHOLD, with all their columns; no join, so ids need not be unique."""
     costs, index, logit, beta = train(docs, labels, label, id_col, text_col, TRAIN_ROWS, MAX_FEATURES)
-    kept: list[Scorer] = []
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        if not kept:
-            kept.append(Scorer(costs, index, logit, beta))
-        return texts.map(lambda x: kept[0].score(x or ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(costs, index, logit, beta)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array([scorer.score(x or "") < THRESHOLD for x in texts], pa.bool_()))
 
-    return docs.filter(scored(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) < THRESHOLD)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Labels up to this many rows are broadcast to the documents; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -37,10 +39,10 @@ def partition_sum(df: DataFrame, shape: tuple[int, ...], of: Callable[[Iterable[
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part"])
 
     parts = df.rdd.getNumPartitions()
-    out = df.mapInArrow(first, "part binary")
+    out = df.mapInArrow(lean(first), "part binary")
     while parts > fan_in:
         parts = -(-parts // fan_in)
-        out = out.repartition(parts).mapInArrow(more, "part binary")
+        out = out.repartition(parts).mapInArrow(lean(more), "part binary")
     total = zero.copy()
     for row in out.collect():
         total += np.frombuffer(zlib.decompress(row.part)).reshape(shape)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import lean, materialize, new_path
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_FROM = 1 << 20, 1 << 28, 1000
 DATE = "1970-01-01T00:00:00Z"
@@ -194,7 +194,7 @@ def write_bundles(recs: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
         if writer is not None:
             writer.close()
 
-    return materialize(recs.mapInArrow(run, MANIFEST), "warc-manifest")
+    return materialize(recs.mapInArrow(lean(run), MANIFEST), "warc-manifest")
 
 
 READ = "record_id string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -229,9 +229,9 @@ def read_bundles(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 rows = list(parse_records(frame))
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=False)], names=names)
 
-    bundles = manifest.select("bundle").distinct().mapInArrow(frames, "bundle string, at long, stored long, size long")
+    bundles = manifest.select("bundle").distinct().mapInArrow(lean(frames), "bundle string, at long, stored long, size long")
     parts = max(8, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return bundles.repartition(parts, "bundle", "at").mapInArrow(read, READ if payload else READ.rpartition(",")[0])
+    return bundles.repartition(parts, "bundle", "at").mapInArrow(lean(read), READ if payload else READ.rpartition(",")[0])
 
 
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
                 names = [x.strip().split(" ")[0] for x in READ.split(",")]
                 yield pa.RecordBatch.from_pylist([{n: r[n] for n in names}], schema=pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]))
 
-    return manifest.join(ids.select("record_id").distinct(), "record_id", "left_semi").select("bundle", "frame_offset", "offset", "length").mapInArrow(read, READ)
+    return manifest.join(ids.select("record_id").distinct(), "record_id", "left_semi").select("bundle", "frame_offset", "offset", "length").mapInArrow(lean(read), READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
