@@ -178,8 +178,8 @@ def spaced(words: list[str], least: int = 4) -> list[str]:
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         tail = words[b] if b < len(words) and len(words[b].rstrip(_EDGES)) == 1 else ""
         if b - a + bool(tail) >= least:
-            run = "".join(words[a:b]) + tail
-            out += [run, run[1:], run[: b - a - 1]]  # a word of one letter may stand before or behind
+            run = words[a:b] + [tail] * bool(tail)
+            out += map("".join, (run, run[1:], run[:-1]))  # a word of one letter may stand before or behind
     return out
 
 
