@@ -36,7 +36,7 @@ from .components import connected, unpacked
 from .training import partition_sum
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
-SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 16, 8, 4096
+SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 64, 8, 4096
 TYING_ROUNDS, TYING_PARTS = 2, 8
 HOT_TOKEN, SALTS, BROADCAST_ROWS = 200_000, 32, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -549,8 +549,13 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
         if carry is not None:
             yield from groups(carry)
 
-    found = dealt.mapInArrow(lean(run), "u long, v long").distinct()
-    return found.join(tested, ["u", "v"], "left_anti")
+    found = dealt.mapInArrow(lean(run), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
+    # The class of the smaller component goes first: its set is sent once for many pairs, not once for each.
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    sized = labels.join(sizes, "component").select("cls", "many")
+    found = found.join(sized.select(F.col("cls").alias("u"), F.col("many").alias("u_many")), "u", "left").join(sized.select(F.col("cls").alias("v"), F.col("many").alias("v_many")), "v", "left")
+    turn = F.coalesce("u_many", F.lit(1)) > F.coalesce("v_many", F.lit(1))
+    return found.select(F.when(turn, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turn, F.col("u")).otherwise(F.col("v")).alias("v"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT_TOKEN, salts: int = SALTS, block: int = BLOCK) -> DataFrame:
