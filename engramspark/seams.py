@@ -50,7 +50,7 @@ def chat_column(rows: DataFrame, text_col: str, reply_col: str, client: Callable
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, reply_col])
 
-    return rows.mapInArrow(run, rows.withColumn(reply_col, F.lit("")).schema)
+    return rows.mapInArrow(run, rows.withColumn(reply_col, F.lit(None).cast("string")).schema)
 
 
 def embed_column(rows: DataFrame, text_col: str, vector_col: str, client: Callable[[], ChatClient]) -> DataFrame:
@@ -66,4 +66,4 @@ def embed_column(rows: DataFrame, text_col: str, vector_col: str, client: Callab
                 out = [None] * len(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, vector_col])
 
-    return rows.mapInArrow(run, rows.withColumn(vector_col, F.array(F.lit(0.0).cast("float"))).schema)
+    return rows.mapInArrow(run, rows.withColumn(vector_col, F.lit(None).cast("array<float>")).schema)
