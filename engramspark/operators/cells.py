@@ -83,9 +83,13 @@ def session_scan(cells: DataFrame, limit: int | None = None) -> DataFrame:
 def meta_versions(cells: DataFrame) -> DataFrame:
     """A digest version for each flush: linked cells so far, running summary, keywords and entities of the new cells.
 
-    ``cells`` has session_id, flush_id, cell_seq, cell_id, summary, keywords, entities.
+    ``cells`` has session_id, flush_id, cell_seq, cell_id, summary, keywords, entities, and may have
+    timestamp_start and timestamp_end: the first digest starts where its first cell does, later ones have no
+    start, each ends where its last cell does.
     """
-    new = cells.groupBy("session_id", "flush_id").agg(F.array_sort(F.collect_list(F.struct("cell_seq", "cell_id", "summary", "keywords", "entities"))).alias("c"))
+    for c in ("timestamp_start", "timestamp_end"):
+        cells = cells if c in cells.columns else cells.withColumn(c, F.lit(None).cast("string"))
+    new = cells.groupBy("session_id", "flush_id").agg(F.array_sort(F.collect_list(F.struct("cell_seq", "cell_id", "summary", "keywords", "entities", "timestamp_start", "timestamp_end"))).alias("c"))
     so_far = Window.partitionBy("session_id").orderBy("flush_id").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("session_id")
     summaries = F.filter(F.transform("c", lambda x: x["summary"]), lambda s: F.length(s) > 0)
@@ -95,7 +99,9 @@ def meta_versions(cells: DataFrame) -> DataFrame:
         F.array_join(F.flatten(F.collect_list(summaries).over(so_far)), " ").alias("raw_text"),
         F.slice(F.array_distinct(F.flatten(F.transform("c", lambda x: x["keywords"]))), 1, 8).alias("keywords"),
         F.slice(F.array_distinct(F.flatten(F.transform("c", lambda x: x["entities"]))), 1, 5).alias("entities"),
+        F.element_at("c", 1)["timestamp_start"].alias("timestamp_start"), F.element_at("c", -1)["timestamp_end"].alias("timestamp_end"),
     )
+    rows = rows.withColumn("timestamp_start", F.when(F.col("version") == 1, F.col("timestamp_start")))
     rows = rows.withColumn("meta_id", F.format_string("M_%03d", F.col("version").cast("int")))
     return rows.withColumn("status", F.when(F.col("version") == F.max("version").over(whole), "active").otherwise("archived"))
 

@@ -34,6 +34,69 @@ def judge_prompt(text: str) -> list[dict[str, str]]:
     return [{"role": "system", "content": "Grade the answer against the truth with a number from 0 to 1."}, {"role": "user", "content": text}]
 
 
+def answer_prompt(text: str) -> list[dict[str, str]]:
+    return [{"role": "system", "content": "Answer the last question from the conversation, in a few words."}, {"role": "user", "content": text}]
+
+
+class HttpChatClient:
+    """A client of services with ``/chat/completions`` and ``/embeddings``.  ``post(url, body, stream)`` yields lines or one JSON text."""
+
+    def __init__(self, base_url: str, model: str, key: str = "", json_schema: bool = False, post: Callable[[str, dict, bool], Iterator[str]] | None = None):
+        self.base_url, self.model, self.key, self.json_schema = base_url.rstrip("/"), model, key, json_schema
+        self.post = post or self._post
+
+    def _post(self, url: str, body: dict, stream: bool) -> Iterator[str]:
+        import json
+        import urllib.request
+
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urllib.request.urlopen(request, timeout=120) as answer:
+            if stream:
+                for line in answer:
+                    yield line.decode()
+            else:
+                yield answer.read().decode()
+
+    def _body(self, messages: list[dict[str, str]], options: dict) -> dict:
+        body = {"model": self.model, "messages": messages} | options
+        if not self.json_schema and (body.get("response_format") or {}).get("type") == "json_schema":
+            del body["response_format"]
+        return body
+
+    def chat(self, messages: list[dict[str, str]], **options) -> str:
+        import json
+
+        text = "".join(self.post(f"{self.base_url}/chat/completions", self._body(messages, options), False))
+        return json.loads(text)["choices"][0]["message"]["content"] or ""
+
+    def timed(self, messages: list[dict[str, str]], **options) -> tuple[str, float, float]:
+        """Reply, milliseconds in all and to the first token; where streaming fails both are the time until then."""
+        import json
+        import time
+
+        start, first, parts = time.perf_counter(), None, []
+        ms = lambda: 1000 * (time.perf_counter() - start)
+        try:
+            for line in self.post(f"{self.base_url}/chat/completions", self._body(messages, options) | {"stream": True}, True):
+                data = line.strip().removeprefix("data:").strip()
+                if data and data != "[DONE]":
+                    choices = json.loads(data).get("choices") or [{}]
+                    piece = (choices[0].get("delta") or {}).get("content")
+                    if piece:
+                        first = first if first is not None else ms()
+                        parts.append(piece)
+            return "".join(parts), ms(), first if first is not None else ms()
+        except Exception:
+            failed = ms()
+            return self.chat(messages, **options), failed, failed
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import json
+
+        text = "".join(self.post(f"{self.base_url}/embeddings", {"model": self.model, "input": texts}, False))
+        return [x["embedding"] for x in json.loads(text)["data"]]
+
+
 def chat_column(rows: DataFrame, text_col: str, reply_col: str, client: Callable[[], ChatClient], prompt: Callable[[str], list[dict[str, str]]], degrade: bool = True) -> DataFrame:
     """``rows`` with the client's reply to each text; one client a task.  With ``degrade`` a failed call gives null."""
 
@@ -67,3 +130,17 @@ def embed_column(rows: DataFrame, text_col: str, vector_col: str, client: Callab
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, vector_col])
 
     return rows.mapInArrow(run, rows.withColumn(vector_col, F.lit(None).cast("array<float>")).schema)
+
+
+def judged(rows: DataFrame, prompts: dict[str, str], truth_col: str, client: Callable[[], ChatClient]) -> DataFrame:
+    """``rows`` with ``<method>_answer`` and ``<method>_score`` for each method's prompt column; an empty prompt gets no call."""
+    from .functions.text import judge_score
+
+    def ask(text: str) -> list[dict[str, str]]:
+        return answer_prompt(text)
+
+    for method, col in prompts.items():
+        rows = chat_column(rows, col, f"{method}_answer", client, ask).withColumn(f"{method}_answer", F.when(F.length(col) > 0, F.coalesce(f"{method}_answer", F.lit(""))).otherwise(""))
+        both = F.concat(F.lit("Truth: "), F.coalesce(F.col(truth_col), F.lit("")), F.lit("\nAnswer: "), F.col(f"{method}_answer"))
+        rows = chat_column(rows.withColumn("both_", both), "both_", "reply_", client, judge_prompt).withColumn(f"{method}_score", judge_score(F.col("reply_"))).drop("both_", "reply_")
+    return rows

@@ -67,3 +67,40 @@ def test_seams(spark):
     assert [list(r.v) for r in embed_column(rows, "t", "v", Fake).orderBy("i").collect()] == [[2.0], [4.0], [0.0]]
     with pytest.raises(Exception, match="down"):
         chat_column(rows, "t", "reply", Fake, judge_prompt, degrade=False).collect()
+
+
+def test_judged_answers(spark):
+    class Client:
+        def chat(self, messages, **options):
+            return "0.5" if messages[-1]["content"].startswith("Truth: ") else "an answer"
+
+        def embed(self, texts):
+            return []
+
+    from engramspark.seams import judged
+
+    rows = spark.createDataFrame([("p", "", "t")], "full string, memory string, truth string")
+    got = judged(rows, {"full": "full", "memory": "memory"}, "truth", Client).first()
+    assert (got.full_answer, got.full_score, got.memory_answer) == ("an answer", 0.5, "")
+
+
+def test_http_client():
+    from engramspark.seams import HttpChatClient
+
+    calls = []
+
+    def post(url, body, stream):
+        calls.append((url, body))
+        if stream and body["messages"] == ["down"]:
+            raise OSError
+        if stream:
+            return iter(['data: {"choices": [{"delta": {"content": "a"}}]}\n', "\n", 'data: {"choices": [{"delta": {"content": "b"}}]}', "data: [DONE]"])
+        return iter(['{"choices": [{"message": {"content": "whole"}}], "data": [{"embedding": [1.0]}]}'])
+
+    c = HttpChatClient("http://host/v1/", "m", post=post)
+    assert c.chat([], response_format={"type": "json_schema"}) == "whole" and "response_format" not in calls[-1][1]
+    text, total, first = c.timed([])
+    assert text == "ab" and 0 <= first <= total
+    text, total, first = c.timed(["down"])
+    assert text == "whole" and total == first
+    assert c.embed(["x"]) == [[1.0]] and calls[-1][0] == "http://host/v1/embeddings"
