@@ -37,7 +37,7 @@ from .training import partition_sum
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 64, 8, 4096
-TYING_ROUNDS, TYING_PARTS = 2, 8
+TYING_ROUNDS, TYING_PARTS, GATHERED = 2, 8, 5000
 HOT_TOKEN, SALTS, BROADCAST_ROWS = 200_000, 32, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -488,29 +488,37 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
     ``tying``: trees of single blocks, and of their pairs the best for each component.
     """
     spark = posted.sparkSession
-    rows = posted.select("token", "block", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    sized = materialize(labels.join(sizes, "component").select("cls", "component", "many"), "ngram-sized")
+    rows = posted.select("token", "block", "cls").join(sized, "cls", "left").withColumns({"component": F.coalesce("component", "cls"), "many": F.coalesce("many", F.lit(1))})
     if tying:
         rows = rows.withColumn("token", F.xxhash64("token", "block"))
     rows = materialize(rows, "ngram-labelled")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("block").alias("first"), F.max("block").alias("last")).filter("a <> b")
-    mixed = materialize(mixed.select("token", (F.col("first") == F.col("last")).alias("whole")), "ngram-mixed")
-    several = rows.join(mixed.filter("NOT whole").select("token"), "token")
-    rows = rows.join(mixed.filter("whole").select("token"), "token").join(bits, "cls")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("block").alias("first"), F.max("block").alias("last"), F.max("many").alias("m"), F.expr("max_by(component, many)").alias("main")).filter("a <> b")
+    mixed = materialize(mixed.select("token", (F.col("first") == F.col("last")).alias("whole"), F.when(F.col("m") <= GATHERED, F.col("main")).alias("main")), "ngram-mixed")
+    # Tokens of one component go to one task, so that bitmaps are sent once for all of them; components of very
+    # many classes are dealt by token.
+    zero = F.lit(0).cast("long")
+    single = rows.join(mixed.filter("whole"), "token").select(F.coalesce("main", F.xxhash64("token")).alias("key"), "token", zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"), "cls", "component")
     # A token in one block is one group.  Of several blocks, each meets each, unless both are of one component.
+    several = rows.join(mixed.filter("NOT whole").select("token"), "token")
     blocks = several.groupBy("token", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     x, y = F.least("block", "other"), F.greatest("block", "other")
     meets = blocks.join(blocks.select("token", F.col("block").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2")), "token").filter("a <> b OR a2 <> b2 OR a <> a2").select("token", "block", "other")
-    single = rows.select("token", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "cls", "component", "n", "bits")
-    several = several.join(bits, "cls").join(meets, ["token", "block"])
-    several = several.select("token", x.alias("x"), y.alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "component", "n", "bits")
+    several = several.join(meets, ["token", "block"]).select(F.xxhash64("token", x, y).alias("key"), "token", x.alias("x"), y.alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "component")
+    dealt = materialize(single.unionByName(several), "ngram-dealt")
+    null = F.lit(None)
+    with_bits = dealt.select("key", "cls").distinct().join(bits, "cls").select("key", F.lit(0).alias("kind"), zero.alias("token"), zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"), "cls", zero.alias("component"), "n", "bits")
+    plain = dealt.select("key", F.lit(1).alias("kind"), "token", "x", "y", "side", "cls", "component", zero.alias("n"), null.cast("binary").alias("bits"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = single.unionByName(several).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y")
+    dealt = with_bits.unionByName(plain).repartition(parts, "key").sortWithinPartitions("key", "kind", "token", "x", "y", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
         seen: set[tuple[int, int]] = set()  # pairs meet at many tokens
+        held: list[pa.RecordBatch] = []
+        rows = 0
 
-        def pairs(us: list, vs: list) -> pa.RecordBatch:
+        def out(us: list, vs: list) -> pa.RecordBatch:
             new = set(zip(np.concatenate(us).tolist(), np.concatenate(vs).tolist(), strict=True)) - seen
             if len(seen) + len(new) > 1_000_000:
                 seen.clear()
@@ -518,41 +526,49 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
             u, v = zip(*new, strict=True) if new else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        def groups(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key = np.stack(cols[:3], 1)
-            group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(1)])
+        def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Pairs of all tokens of some whole keys."""
+            col = {c: t.column(c).to_numpy().astype(np.int64) for c in t.schema.names if c != "bits"}
+            has = col["kind"] == 0
+            table, n = unpacked(t.column("bits").filter(pa.array(has)).combine_chunks(), "<u8", BITMAP_WORDS), col["n"][has]
+            # Both kinds are sorted by key, those with bits by class too: one number for key and class finds the bits.
+            key = np.cumsum(np.r_[0, col["key"][1:] != col["key"][:-1]])
+            names, number = np.unique(col["cls"], return_inverse=True)
+            code = key * len(names) + number
+            at = np.searchsorted(code[has], code[~has])
+            c = {k: v[~has] for k, v in col.items()}
+            group = np.stack([c["key"], c["token"], c["x"], c["y"]], 1)
+            group = np.cumsum(np.r_[0, (group[1:] != group[:-1]).any(1)]) if len(group) else np.zeros(0, np.int64)
             us: list[np.ndarray] = []
             vs: list[np.ndarray] = []
-            held = 0
-            for u, v in tree_pairs(group, *cols[3:], tying):
+            size = 0
+            for u, v in tree_pairs(group, c["side"], c["cls"], c["component"], n[at], table[at], tying) if len(group) else ():
                 us.append(np.minimum(u, v))
                 vs.append(np.maximum(u, v))
-                held += len(u)
-                if held > 200_000:
-                    yield pairs(us, vs)
-                    us, vs, held = [], [], 0
-            if held:
-                yield pairs(us, vs)
+                size += len(u)
+                if size > 200_000:
+                    yield out(us, vs)
+                    us, vs, size = [], [], 0
+            if size:
+                yield out(us, vs)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)] + [unpacked(b.column(7), "<u8", BITMAP_WORDS)]
-            if carry is not None:
-                cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-            key = np.stack(cols[:3], 1)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            done = starts[-1]  # the last group may go on; a group is two blocks at most
-            if done:
-                yield from groups([c[:done] for c in cols])
-            carry = [c[done:] for c in cols]
-        if carry is not None:
-            yield from groups(carry)
+            held.append(b)
+            rows += b.num_rows
+            if rows > 20_000 and held[0].column(0)[0].as_py() != b.column(0)[b.num_rows - 1].as_py():
+                t = pa.Table.from_batches(held)
+                keys = t.column("key").to_numpy()
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1  # the last key may go on
+                yield from whole(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
+        if held:
+            yield from whole(pa.Table.from_batches(held))
 
     found = dealt.mapInArrow(lean(run), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
     # The class of the smaller component goes first: its set is sent once for many pairs, not once for each.
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
-    sized = labels.join(sizes, "component").select("cls", "many")
     found = found.join(sized.select(F.col("cls").alias("u"), F.col("many").alias("u_many")), "u", "left").join(sized.select(F.col("cls").alias("v"), F.col("many").alias("v_many")), "v", "left")
     turn = F.coalesce("u_many", F.lit(1)) > F.coalesce("v_many", F.lit(1))
     return found.select(F.when(turn, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turn, F.col("u")).otherwise(F.col("v")).alias("v"))
