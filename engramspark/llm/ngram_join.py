@@ -5,7 +5,8 @@
 2. Classes meet at shared tokens of their prefixes: under one order of all shingles (rare ones first, by a
    counting sketch of fixed size), two sets that link must share one of the first n - ceil(3n/4) + 1.
    Any order gives every link; the sketch only keeps passages that many documents share out of prefixes.
-3. First round: each class is compared with the one class that heads most of its tokens.
+3. First round: each class is compared with the one class that heads most of its tokens, if their bitmaps
+   (below) leave a link possible.
 4. Later rounds, over tokens whose classes are not yet in one component: a signature tree for each token.
    Leaves are classes (a bitmap of their shingles, their size), nodes hold the OR of the bitmaps below,
    the range of sizes, the largest excess of size over bits, and the component if there is one.  A dual
@@ -482,6 +483,22 @@ def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: Data
     return materialize(sent.mapInArrow(lean(compare), "u long, v long, linked boolean").distinct(), "ngram-verified")
 
 
+def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose bitmaps and sizes leave a link possible."""
+    u, v = (bits.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("u", "v"))
+    rows = pairs.join(v, "v").join(u, "u").select("u", "v", "u_n", "v_n", "u_bits", "v_bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                none, at = np.full(b.num_rows, -1), np.arange(b.num_rows)
+                x, y = (forest(at, unpacked(b.column(k + 2), "<u8", BITMAP_WORDS), b.column(k).to_numpy(), none)[-1] for k in (2, 3))
+                ok = pa.array(may_link(x, at, y, at))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+    return rows.mapInArrow(lean(run), "u long, v long")
+
+
 def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: DataFrame, tying: bool) -> DataFrame:
     """u, v: pairs of classes of different components from the signature trees of the tokens, without those tested.
 
@@ -598,7 +615,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A class has its bits once, whatever the number of its documents.
     bits = members.filter("n > 0").join(posted.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "n", "bits").agg(F.count(F.lit(1)).alias("c")).drop("c")
     bits = materialize(bits, "ngram-bits")
-    done = verified(docs, id_col, text_col, seed, first, owners)
+    done = verified(docs, id_col, text_col, seed, materialize(possible(first, bits), "ngram-first"), owners)
     labels = connected(done.filter("linked").select("u", "v"))
     for k in range(TYING_ROUNDS + 1):
         tying = k < TYING_ROUNDS
