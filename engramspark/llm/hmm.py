@@ -6,8 +6,9 @@ all others share classes by their last characters, so the number of classes, and
 exchanges, is fixed, while the vocabulary grows with the corpus and is never sent to one machine: counts of
 the words beyond a fixed dictionary are joined.
 
-Baum-Welch starts from a fit to a bounded sample and then runs over all training documents: partitions sum
-expected counts of states, transitions and emissions on windows of 64 tokens.  Scoring is exact: the scaled
+Baum-Welch starts from a seeded random model around the counts of all training documents; every round runs
+over all of them until it converges: partitions sum expected counts of states, transitions and emissions on
+windows of 64 tokens.  Scoring is exact: the scaled
 forward recursion over the whole sequence, end included, times the words' probabilities in their classes.
 """
 
@@ -28,7 +29,8 @@ from .training import partition_sum
 
 DIVISOR, REMAINDER = 7, 2
 STATES, OWN, SHARED, DICTIONARY = 12, 2048, 1024, 1 << 18
-WINDOW, SAMPLE_DOCS, SAMPLE_ROUNDS, ROUNDS, SEED = 64, 400, 30, 3, 7
+#: Training ends when a round gains less than TOLERANCE of the log-likelihood; ROUNDS only stops one that never does.
+WINDOW, BATCH, ROUNDS, TOLERANCE, SEED = 64, 512, 200, 1e-5, 7
 END = 0  # the id of the end; words have their 64-bit hash
 _CLASSES = OWN + SHARED
 
@@ -98,34 +100,28 @@ def expected(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     classes, padded with the number of classes)."""
     n, steps = windows.shape
     k, classes = len(model.start), len(model.emit) - 1
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    alpha = np.empty((steps, n, k), np.float32)
-    likelihood = 0.0
+    move, ones = model.move.astype(np.float32), np.ones(k, np.float32)
+    flat = windows.T.ravel()
+    emit = model.emit.astype(np.float32)[flat].reshape(steps, n, k)
+    alpha, scale = np.empty_like(emit), np.empty((steps, n), np.float32)
     x = np.broadcast_to(model.start.astype(np.float32), (n, k))
     for t in range(steps):
-        x = x * emit[windows[:, t]]
-        s = x.sum(1, keepdims=True)
-        x = x / s
+        x = x * emit[t]
+        scale[t] = x @ ones
+        x /= scale[t][:, None]
         alpha[t] = x
-        likelihood += float(np.log(s, dtype=np.float64).sum())
         x = x @ move
-    beta = np.ones((n, k), np.float32)
-    trans = np.zeros((k, k))
-    gamma = np.empty_like(alpha)
-    real = windows < classes
-    for t in range(steps - 1, -1, -1):
-        g = alpha[t] * beta
-        gamma[t] = g / g.sum(1, keepdims=True)
-        if t:
-            e = emit[windows[:, t]] * beta
-            back = e @ move.T
-            norm = (alpha[t - 1] * back).sum(1, keepdims=True)
-            trans += (alpha[t - 1] * (real[:, t, None] / norm)).T @ e
-            beta = back / back.sum(1, keepdims=True)
-    flat = windows.T.ravel()
-    weights = gamma.reshape(-1, k)
+    emit /= scale[:, :, None]
+    beta = np.ones_like(emit)
+    for t in range(steps - 1, 0, -1):
+        emit[t] *= beta[t]
+        np.matmul(emit[t], move.T, out=beta[t - 1])
+    emit[(windows >= classes).T] = 0
+    trans = (alpha[:-1].reshape(-1, k).T @ emit[1:].reshape(-1, k)).astype(float)
+    alpha *= beta  # now the states' probabilities
+    weights = alpha.reshape(-1, k)
     emissions = np.stack([np.bincount(flat, weights[:, j], classes + 1)[:classes] for j in range(k)], 1)
-    return gamma[0].sum(0, dtype=float), trans * model.move, emissions, likelihood
+    return alpha[0].sum(0, dtype=float), trans * model.move, emissions, float(np.log(scale, dtype=np.float64).sum())
 
 
 def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WINDOW) -> np.ndarray:
@@ -140,41 +136,36 @@ def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WIND
     return out
 
 
-def _packed(start, move, emit) -> np.ndarray:
-    return np.r_[start[None, :], move, emit]
+def _packed(start, move, emit, likelihood: float) -> np.ndarray:
+    return np.r_[start[None, :], move, emit, np.full((1, len(start)), likelihood)]
 
 
-def fit_sample(sequences: list[np.ndarray], states: int, rounds: int, seed: int) -> Model:
+def first_model(unigram: np.ndarray, states: int, seed: int) -> Model:
+    """A random model around the counts of classes; it depends on nothing else."""
     rng = np.random.default_rng(seed)
-    windows = cut(sequences)
-    unigram = np.bincount(windows.ravel(), minlength=_CLASSES + 1)[:_CLASSES].astype(float)
-    emit = unigram[:, None] * rng.dirichlet(np.ones(states), _CLASSES) * states
-    model = Model.from_counts(np.ones(states), np.ones((states, states)) + 5 * states * np.eye(states), emit)
-    for _ in range(rounds if len(windows) else 0):
-        a, b, c, _ = expected(model, windows)
-        model = Model.from_counts(a, b, c)
-    return model
+    emit = unigram[:, None] * rng.dirichlet(np.ones(states), len(unigram)) * states
+    return Model.from_counts(np.ones(states), np.ones((states, states)) + 5 * states * np.eye(states), emit)
 
 
-def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """``encoded`` has classes (little-endian 16 bits) of the training documents."""
-    n = max(1, encoded.count())
-    sampled = encoded.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(SAMPLE_DOCS / n * (1 << 30)))  # about SAMPLE_DOCS rows
-    sample = sampled.select(F.substring("classes", 1, 8192).alias("classes")).collect()
-    model = fit_sample([np.frombuffer(r.classes, "<u2").astype(np.int64) for r in sample], states, SAMPLE_ROUNDS, seed)
+def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
+    """``encoded`` has classes (little-endian 16 bits) of the training documents, ``unigram`` their counts.
+
+    Every round runs over all of them, until the log-likelihood gains less than TOLERANCE of itself.
+    """
+    model, before = first_model(unigram, states, seed), -np.inf
     rows = encoded.select("classes")
+    shape = (2 + states + _CLASSES, states)
     for _ in range(rounds):
 
         def of(batches, model=model) -> np.ndarray:
-            out = np.zeros((1 + states + _CLASSES, states))
+            out = np.zeros(shape)
             held: list[np.ndarray] = []
             size = 0
 
             def add() -> None:
                 windows = cut(held)
-                for k in range(0, len(windows), 2048):
-                    a, b, c, _ = expected(model, windows[k : k + 2048])
-                    out.__iadd__(_packed(a, b, c))
+                for k in range(0, len(windows), BATCH):
+                    out.__iadd__(_packed(*expected(model, windows[k : k + BATCH])))
 
             for b in batches:
                 for x in b.column(0).to_pylist():
@@ -187,8 +178,12 @@ def train(encoded: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed:
             add()
             return out
 
-        s = partition_sum(rows, (1 + states + _CLASSES, states), of)
-        model = Model.from_counts(s[0], s[1 : 1 + states], s[1 + states :])
+        s = partition_sum(rows, shape, of)
+        likelihood = s[-1, 0]
+        model = Model.from_counts(s[0], s[1 : 1 + states], s[1 + states : -1])
+        if likelihood - before <= TOLERANCE * abs(likelihood):
+            break
+        before = likelihood
     return model
 
 
@@ -302,10 +297,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     np.add.at(mass, by["class"].to_numpy(np.int64), by["n"].to_numpy(float) + by["v"].to_numpy(float))
     first = top.iloc[: OWN - 1]
     np.subtract.at(mass, first["class"].to_numpy(np.int64), first["n"].to_numpy(float) + 1)
+    unigram = np.zeros(_CLASSES)
+    np.add.at(unigram, by["class"].to_numpy(np.int64), by["n"].to_numpy(float))
+    np.subtract.at(unigram, first["class"].to_numpy(np.int64), first["n"].to_numpy(float))
+    unigram[1 : 1 + len(first)] = first["n"].to_numpy(float)
+    unigram[0] = end.n if end else 0
     log_mass = np.where(np.arange(_CLASSES) < OWN, 0.0, np.log10(mass))
 
     encoded = encode(docs, id_col, text_col, (ids, counts, classes), divisor, remainder)
-    model = train(encoded.filter(~F.col("held_out")), states, rounds)
+    model = train(encoded.filter(~F.col("held_out")), unigram, states, rounds)
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_all double, log_classes double"
 

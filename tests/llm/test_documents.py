@@ -315,6 +315,13 @@ def test_expected_counts_and_forward_match_brute_force():
     assert np.allclose(hmm.expected(model, hmm.cut(seqs, window=6))[2], emit, atol=1e-4)
 
 
+def test_hmm_training_does_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["der", "die", "das"] if i % 2 else ["the", "and", "of"], 12))) for i in range(1200)]
+    one, other = ({r.doc_id: r.score for r in hmm.score(frame(spark, rows).repartition(n), states=3, rounds=4).collect()} for n in (1, 7))
+    assert one == pytest.approx(other, rel=1e-3)
+
+
 # Classifiers
 
 
