@@ -3,9 +3,10 @@
 1. A character model (4-grams of letters inside words, accents folded) is counted over all documents; its
    size is fixed.
 2. Words that look written around a filter (digits and marks among letters, letters three times or more in
-   a row, look-alike characters, single letters set apart) become lattices: each character can stand for
-   letters, repeat the one before, or stand for nothing, at a cost.  Viterbi decoding under the character
-   model picks the reading.
+   a row, look-alike characters) become lattices: each character can stand for letters, repeat the one
+   before, or stand for nothing, at a cost.  Runs of tokens of up to three characters become one lattice, in
+   which a word may end or go on between two tokens.  Viterbi decoding under the character model picks the
+   reading.
 3. Words of the restored text and their first 4 to 8 letters are weighed by how much more often toxic
    training documents hold them; a logistic model on a document's strongest weight gives the score.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ DIVISOR, REMAINDER, THRESHOLD = 5, 0, 0.5
 #: Bounds of the classifier: labelled rows that it learns from, features that it weighs, times a feature must be seen in toxic rows.
 TRAIN_ROWS, MAX_FEATURES, LEAST_SEEN = 20_000, 1 << 16, 3
 SMOOTHING = 2.0
+SHORT = 3  # tokens of up to so many characters in a row are decoded as one lattice
 LETTERS = 27  # 0 is the word's edge
 
 #: What a character may stand for.
@@ -120,6 +123,33 @@ class Restorer:
             before = c
         return out
 
+    def run(self, tokens: list[str]) -> list[str]:
+        """Words of a run of short tokens: one lattice in which a word may end, or go on, between any two tokens."""
+        costs, states = self.costs, {(0, 0, 0): (0.0, None)}
+        for n, token in enumerate(tokens):
+            if n:
+                cut: dict[tuple[int, int, int], tuple[float, tuple | None]] = dict(states)
+                for (a, b, c), (total, path) in states.items():
+                    total += costs[((a * LETTERS + b) * LETTERS + c) * LETTERS]
+                    if (0, 0, 0) not in cut or total < cut[0, 0, 0][0]:
+                        cut[0, 0, 0] = total, (path, " ")
+                states = cut
+            for arcs in self.lattice(token):
+                after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+                for (a, b, c), (total, path) in states.items():
+                    at = ((a * LETTERS + b) * LETTERS + c) * LETTERS
+                    for letter, f, cost in arcs:
+                        key, new = ((b, c, f), total + cost + costs[at + f]) if letter else ((a, b, c), total + cost)
+                        if key not in after or new < after[key][0]:
+                            after[key] = new, (path, letter) if letter else path
+                states = dict(sorted(after.items(), key=lambda x: x[1][0])[:_BEAM]) if len(after) > _BEAM else after
+        path = min((total + costs[((a * LETTERS + b) * LETTERS + c) * LETTERS], n, path) for n, ((a, b, c), (total, path)) in enumerate(states.items()))[2]
+        out = []
+        while path:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out)).split()
+
     def decode(self, word: str, best: int = 3) -> list[str]:
         """The cheapest readings, best first; the beam keeps the best states of three letters."""
         costs, states = self.costs, {(0, 0, 0): (0.0, "")}
@@ -166,6 +196,36 @@ class Restorer:
             yield self.readings(w)
         for w in spaced(words):
             yield self.readings(w)
+        for tokens in short_runs(words):
+            yield self.run(tokens)
+
+
+class _Cores(dict):
+    """A word without the marks at its ends that are no letters, if it is short; else nothing."""
+
+    def __missing__(self, word: str) -> str:
+        core = word.strip(_OUTER) or word
+        x = core if len(core.strip(_EDGES) or core) <= SHORT else ""
+        if len(word) <= 64:
+            self[word] = x
+        return x
+
+
+_CORES = _Cores()
+
+
+def short_runs(words: list[str]) -> set[tuple[str, ...]]:
+    """Runs of two or more tokens of up to SHORT characters (marks at both ends not counted): letters or pieces of words set apart."""
+    if len(_CORES) > 300_000:
+        _CORES.clear()
+    out = set()
+    for short, cores in groupby(map(_CORES.__getitem__, words), bool):
+        run = tuple(cores) if short else ()
+        if len(run) > 1 and any(map(fold, "".join(run))):
+            out.add(run)
+            # Marks at the ends may be letters, or only marks.
+            out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
+    return out
 
 
 def spaced(words: list[str], least: int = 4) -> list[str]:
@@ -198,13 +258,17 @@ class Scorer:
 
     def __init__(self, costs: np.ndarray, index: dict[int, int], logit: np.ndarray, beta: np.ndarray, most: int = 300_000):
         self.restorer, self.index, self.logit, self.beta, self.most = Restorer(costs), index, logit, beta, most
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str | tuple[str, ...], tuple] = {}
+        self.old: dict[str | tuple[str, ...], tuple] = {}
 
-    def found(self, word: str) -> tuple:
+    def found(self, word: str | tuple[str, ...]) -> tuple:
+        """Of a word, or of a run of short tokens."""
         x = self.old.get(word)
         if x is None:
-            x = tuple({self.index[f] for f in features(self.restorer.readings(word)) if f in self.index})
+            x = self.young.get(word)
+        if x is None:
+            readings = self.restorer.readings(word) if isinstance(word, str) else self.restorer.run(word)
+            x = tuple({self.index[f] for f in features(readings) if f in self.index})
         if len(word) <= 64:
             self.young[word] = x
         return x
@@ -219,6 +283,8 @@ class Scorer:
             hits.update(self.found(w) if x is None else x)
         for w in spaced(words):
             hits.update(self.found(w))
+        for tokens in short_runs(words):
+            hits.update(self.found(tokens))
         return float(1 / (1 + np.exp(-summary(self.logit[list(hits)], len(different)) @ self.beta)))
 
 
@@ -251,6 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
             if w not in young:
                 young[w] = features(restorer.readings(w))
             found.update(young[w])
+        for tokens in short_runs(words):
+            found.update(features(restorer.run(tokens)))
         return len(different), found
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

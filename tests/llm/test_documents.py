@@ -368,3 +368,13 @@ def test_readings_restore_words():
         assert "stupid" in r.readings(w), w
     assert r.readings("plain.") == ["plain"]
     assert toxicity.spaced("x s t u p i d, yy".split()) == ["xstupid,", "stupid,", "xstupi"]
+
+
+def test_runs_of_short_tokens_are_cut_into_words():
+    r = toxicity.Restorer(toxicity.letter_costs(toxicity.letter_counts([b"you are an idiot and a fool the ass of them you idiot"] * 50)))
+
+    def found(text):
+        return {w for x in r.words(text) for w in x}
+
+    for text, word in (("y o u i d i o t", "idiot"), ("a s s", "ass"), ("the id iot and", "idiot"), ('"i d i o t', "idiot"), ("y o u a r e a n 1 d i o t!", "idiot"), ("- y o u i d i o t!!!!!!", "idiot")):
+        assert word in found(text), text
