@@ -45,7 +45,9 @@ _HIDDEN = re.compile("[­​-‏⁠﻿̶]")
 _ANY = frozenset("*#")
 _SPELL, _REPEAT, _NOTHING, _WILD = 1.2, 0.7, 1.0, 4.5
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”‘’…–—¿"
-_OUTER = "".join(c for c in _EDGES if c not in STANDS_FOR)
+_OUTER = "".join(c for c in _EDGES if c not in STANDS_FOR and c not in _ANY)
+#: Marks at a word's ends that may be letters of it.
+_MAYBE = re.compile(f"[{re.escape(''.join(c for c in _EDGES if c not in _OUTER))}]")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1+")
 _BEAM = 24
@@ -102,11 +104,17 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.astype(float).tolist()
+        self.table = costs.astype(float).reshape(-1, LETTERS)
+        self.tails: dict[tuple[str, bool], list[str]] = {}
 
-    def lattice(self, word: str) -> list[list[tuple[str, int, float]]]:
-        """For each character its readings: (letter or nothing, folded letter, cost)."""
+    def lattice(self, word: str, masked: bool = False) -> list[list[tuple[str, int, float]]]:
+        """For each character its readings: (letter or nothing, folded letter, cost); ``masked``: each * and # is one letter."""
         out, before = [], ""
         for c in word:
+            if masked and c in _ANY:
+                out.append([(chr(96 + k), k, _WILD) for k in range(1, 27)])
+                before = ""
+                continue
             f = fold(c)
             arcs = [(x, ord(x) - 96, _SPELL) for x in STANDS_FOR.get(c, "")]
             if f:
@@ -150,11 +158,23 @@ class Restorer:
             out.append(letter)
         return "".join(reversed(out)).split()
 
-    def decode(self, word: str, best: int = 3) -> list[str]:
+    def decode(self, word: str, best: int = 3, masked: bool = False) -> list[str]:
         """The cheapest readings, best first; the beam keeps the best states of three letters."""
         costs, states = self.costs, {(0, 0, 0): (0.0, "")}
-        for arcs in self.lattice(word):
+        for arcs in self.lattice(word, masked):
             after: dict[tuple[int, int, int], tuple[float, str]] = {}
+            if len(arcs) >= LETTERS - 1:  # any letter: the cheapest _BEAM new states at once
+                keys, values = list(states), list(states.values())
+                ats = [(a * LETTERS + b) * LETTERS + c for a, b, c in keys]
+                new_costs = (self.table[ats, 1:] + (np.array([x for x, _ in values]) + _WILD)[:, None]).ravel()
+                for k in np.argsort(new_costs, kind="stable").tolist():
+                    i, f = divmod(k, LETTERS - 1)
+                    key = (*keys[i][1:], f + 1)
+                    if key not in after:
+                        after[key] = float(new_costs[k]), values[i][1] + chr(97 + f)
+                        if len(after) == _BEAM:
+                            break
+                arcs = [x for x in arcs if not x[0]]
             for (a, b, c), (total, text) in states.items():
                 at = ((a * LETTERS + b) * LETTERS + c) * LETTERS
                 for letter, f, cost in arcs:
@@ -168,22 +188,35 @@ class Restorer:
         ends = sorted((total + costs[((a * LETTERS + b) * LETTERS + c) * LETTERS], text) for (a, b, c), (total, text) in states.items())
         return list(dict.fromkeys(text for _, text in ends))[:best]
 
+    def tail(self, core: str, word: str, masked: bool) -> list[str]:
+        """``decode``; what marks behind plain letters are read as depends on the last three letters alone, and is remembered."""
+        if not (word.startswith(core) and core.isascii() and core.isalpha()) or _DOUBLE.search(core) or len(word) > len(core) + 8:
+            return self.decode(word, masked=masked)
+        key = word[max(0, len(core) - 3) :], masked
+        if key not in self.tails:
+            if len(self.tails) > 100_000:
+                self.tails.clear()
+            self.tails[key] = self.decode(key[0], masked=masked)
+        return [core[:-3] + x for x in self.tails[key]]
+
     def readings(self, word: str) -> list[str]:
         """The restored words that a lower-case word may count as; its plain form unless it looks written around."""
         core = word.strip(_EDGES)
         if core.isascii() and core.isalpha():
-            odd = word[0] in "@$|!" or _TRIPLE.search(core)
+            odd = len(core) < len(word) and _MAYBE.search(word) or _TRIPLE.search(core)
         else:
             plain = unicodedata.normalize("NFKC", _HIDDEN.sub("", word))
             if any("Ͱ" <= c <= "ԯ" for c in plain) and any("a" <= c <= "z" for c in plain):
                 plain = plain.translate(LOOK_ALIKE)
             core = plain.strip(_EDGES)
-            odd = (not core.isalpha() or _TRIPLE.search(core) or plain[:1] in tuple("@$|!")) and any(map(fold, core))
+            odd = (not core.isalpha() or _TRIPLE.search(core) or _MAYBE.search(plain)) and (any(map(fold, core)) or len(_MAYBE.findall(plain)) > 2)
             word = plain
         out = [core]
         if odd:
             # Marks around the word are cut unless they may be letters of it.
-            out += self.decode(word.strip(_OUTER))
+            word = word.strip(_OUTER)
+            for masked in (False, True) if not _ANY.isdisjoint(word) else (False,):
+                out += self.tail(core, word, masked)
             out += [_DOUBLE.sub(r"\1", x) for x in out[1:]]
         elif _DOUBLE.search(core):
             out.append(_DOUBLE.sub(r"\1", core))

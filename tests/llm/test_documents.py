@@ -378,3 +378,11 @@ def test_runs_of_short_tokens_are_cut_into_words():
 
     for text, word in (("y o u i d i o t", "idiot"), ("a s s", "ass"), ("the id iot and", "idiot"), ('"i d i o t', "idiot"), ("y o u a r e a n 1 d i o t!", "idiot"), ("- y o u i d i o t!!!!!!", "idiot")):
         assert word in found(text), text
+
+
+def test_marks_at_the_ends_of_words_may_be_letters():
+    r = toxicity.Restorer(toxicity.letter_costs(toxicity.letter_counts([b"clown trash ass fool the of and idiot shit"] * 50)))
+    for w, word in (("(lown", "clown"), ("+rash", "trash"), ("a$$", "ass"), ("f***", "fool"), ("idio+", "idiot"), ("shi+!", "shit"), ("<lown,", "clown")):
+        assert word in r.readings(w), (w, r.readings(w))
+    assert "clown" in r.readings("(clown)") and "fool" in r.readings("fool!")
+    assert r.readings("plain.") == ["plain"]
