@@ -5,18 +5,20 @@
 2. Words that look written around a filter (digits and marks among letters, letters three times or more in
    a row, look-alike characters) become lattices: each character can stand for letters, repeat the one
    before, or stand for nothing, at a cost.  Runs of tokens of up to three characters become one lattice, in
-   which a word may end or go on between two tokens.  Viterbi decoding under the character model picks the
-   reading.
+   which a word may end or go on between two tokens.  Exact Viterbi decoding under the character model picks
+   the readings.
 3. Words of the restored text and their first 4 to 8 letters are weighed by how much more often toxic
-   training documents hold them; a logistic model on a document's strongest weight gives the score.
+   training documents hold them, shrunk where few documents tell; a logistic model on the evidence of all
+   weighed words of a document gives the score.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from .common import held_out, lean, map_texts, materialize, read_documents
 from .training import partition_sum
 
 DIVISOR, REMAINDER, THRESHOLD = 5, 0, 0.5
-#: Bounds of the classifier: labelled rows that it learns from, features that it weighs, times a feature must be seen in toxic rows.
-TRAIN_ROWS, MAX_FEATURES, LEAST_SEEN = 20_000, 1 << 16, 3
-SMOOTHING = 2.0
-SHORT = 3  # tokens of up to so many characters in a row are decoded as one lattice
+#: The classifier learns from so many labelled rows at most.
+TRAIN_ROWS = 20_000
+#: Rows that the prior counts for; the weight (a rise of the log-odds) below which a feature is no evidence.
+SMOOTHING, LEAST_WEIGHT = 2.0, 1.0
+SHORT, LONGEST = 3, 64  # tokens of up to SHORT characters in a row are decoded as one lattice; longer words than LONGEST are read in pieces
+RUN, RUN_OVERLAP = 256, 64
 LETTERS = 27  # 0 is the word's edge
 
 #: What a character may stand for.
@@ -50,7 +54,26 @@ _OUTER = "".join(c for c in _EDGES if c not in STANDS_FOR and c not in _ANY)
 _MAYBE = re.compile(f"[{re.escape(''.join(c for c in _EDGES if c not in _OUTER))}]")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1+")
-_BEAM = 24
+_BAR = re.compile(r"[*#]{4,}")
+_HASH = (1 << 62) - 1
+_WILDCARD = [(chr(96 + k), k, _WILD) for k in range(1, LETTERS)]
+#: Readings of one character: letter or nothing, its folded number, cost.
+Arcs = list[tuple[str, int, float]]
+#: Cost, hash of the text, the text as a chain of letters.
+Path = tuple[float, int, tuple | None]
+
+
+def _cheapest(paths: list[Path], best: int) -> list[Path]:
+    """The cheapest paths of different texts."""
+    if best == 1:
+        return [min(paths, key=itemgetter(0))]
+    out: dict[int, Path] = {}
+    for p in sorted(paths, key=itemgetter(0)):
+        if p[1] not in out:
+            out[p[1]] = p
+            if len(out) == best:
+                break
+    return list(out.values())
 
 
 def fold(c: str) -> int:
@@ -106,13 +129,32 @@ class Restorer:
         self.costs = costs.astype(float).tolist()
         self.table = costs.astype(float).reshape(-1, LETTERS)
         self.tails: dict[tuple[str, bool], list[str]] = {}
-
-    def lattice(self, word: str, masked: bool = False) -> list[list[tuple[str, int, float]]]:
-        """For each character its readings: (letter or nothing, folded letter, cost); ``masked``: each * and # is one letter."""
-        out, before = [], ""
-        for c in word:
+        # For every state the least cost of n more letters, whichever they are, and the word's end; the first of them.
+        self.ahead, self.choice = [self.table[:, 0]], [np.zeros(0, int)]
+
+    def _ahead(self, n: int) -> np.ndarray:
+        while len(self.ahead) <= n:
+            after = np.arange(LETTERS**3)[:, None] % 729 * LETTERS + np.arange(1, LETTERS)
+            sums = self.table[:, 1:] + _WILD + self.ahead[-1][after]
+            self.choice.append(sums.argmin(1) + 1)
+            self.ahead.append(sums.min(1))
+        return self.ahead[n]
+
+    def lattice(self, word: str, masked: bool = False) -> list[Arcs]:
+        """For each character its readings: (letter or nothing, folded letter, cost); ``masked``: each * and # is one letter.
+
+        More than three of them in a row are a bar, which stands for nothing.
+        """
+        bars = {k for m in _BAR.finditer(word) for k in range(*m.span())} if "*" in word or "#" in word else ()
+        out: list[Arcs] = []
+        before = ""
+        for k, c in enumerate(word):
+            if k in bars:
+                out.append([("", 0, _NOTHING)])
+                before = ""
+                continue
             if masked and c in _ANY:
-                out.append([(chr(96 + k), k, _WILD) for k in range(1, 27)])
+                out.append(_WILDCARD)
                 before = ""
                 continue
             f = fold(c)
@@ -124,69 +166,150 @@ class Restorer:
             else:
                 arcs.append(("", 0, _NOTHING if not arcs else 6 * _NOTHING))
             if c in _ANY:
-                arcs += [(chr(96 + k), k, _WILD) for k in range(1, 27)]
+                arcs += _WILDCARD
             if c == before:
                 arcs.append(("", 0, _REPEAT))
             out.append(arcs)
             before = c
         return out
 
-    def run(self, tokens: list[str]) -> list[str]:
-        """Words of a run of short tokens: one lattice in which a word may end, or go on, between any two tokens."""
-        costs, states = self.costs, {(0, 0, 0): (0.0, None)}
-        for n, token in enumerate(tokens):
-            if n:
-                cut: dict[tuple[int, int, int], tuple[float, tuple | None]] = dict(states)
-                for (a, b, c), (total, path) in states.items():
-                    total += costs[((a * LETTERS + b) * LETTERS + c) * LETTERS]
-                    if (0, 0, 0) not in cut or total < cut[0, 0, 0][0]:
-                        cut[0, 0, 0] = total, (path, " ")
-                states = cut
-            for arcs in self.lattice(token):
-                after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
-                for (a, b, c), (total, path) in states.items():
-                    at = ((a * LETTERS + b) * LETTERS + c) * LETTERS
-                    for letter, f, cost in arcs:
-                        key, new = ((b, c, f), total + cost + costs[at + f]) if letter else ((a, b, c), total + cost)
-                        if key not in after or new < after[key][0]:
-                            after[key] = new, (path, letter) if letter else path
-                states = dict(sorted(after.items(), key=lambda x: x[1][0])[:_BEAM]) if len(after) > _BEAM else after
-        path = min((total + costs[((a * LETTERS + b) * LETTERS + c) * LETTERS], n, path) for n, ((a, b, c), (total, path)) in enumerate(states.items()))[2]
+    def search(self, columns: list[Arcs], best: int) -> list[str]:
+        """The ``best`` cheapest different readings of a lattice, exactly; an empty column lets a word end or go on there.
+
+        A state is the last three letters.  Each keeps its ``best`` cheapest texts, so nothing is pruned that
+        could still win.  Lattices with wildcards have up to 27^3 states: see ``search_wide``.
+        """
+        plain = 0
+        while plain < len(columns) and len(columns[plain]) == 1 and columns[plain][0][0]:
+            plain += 1  # one reading each: no choice yet
+        wild = [len(arcs) >= LETTERS - 1 for arcs in columns]
+        stop = len(columns)
+        while stop > plain and wild[stop - 1]:
+            stop -= 1  # wildcards at the end are looked up
+        if any(wild[:stop]):
+            return self.search_wide(columns, plain, best)
+        costs, key = self.costs, 0
+        for ((_, f, _),) in columns[:plain]:
+            key = key % 729 * LETTERS + f
+        head = "".join(arcs[0][0] for arcs in columns[:plain])
+        states: dict[int, list[Path]] = {key: [(0.0, 0, None)]}
+        for arcs in columns[plain:stop]:
+            after: dict[int, list[Path]] = {}
+            for key, held in states.items():
+                at, base = key * LETTERS, key % 729 * LETTERS
+                if not arcs:
+                    end = costs[at]
+                    after.setdefault(key, []).extend(held)
+                    after.setdefault(0, []).extend([(t + end, h * 131 + 32 & _HASH, (p, " ")) for t, h, p in held])
+                for letter, f, cost in arcs:
+                    if letter:
+                        cost, code = cost + costs[at + f], ord(letter)
+                        after.setdefault(base + f, []).extend([(t + cost, h * 131 + code & _HASH, (p, letter)) for t, h, p in held])
+                    else:
+                        after.setdefault(key, []).extend([(t + cost, h, p) for t, h, p in held])
+            states = {k: v if len(v) == 1 else _cheapest(v, best) for k, v in after.items()}
+        ends = [(t + costs[key * LETTERS], h, p) for key, held in states.items() for t, h, p in held] if stop == len(columns) else self._masked_ends(states, columns[stop:], best)
         out = []
-        while path:
-            path, letter = path
-            out.append(letter)
-        return "".join(reversed(out)).split()
+        for _, _, path in _cheapest(ends, best):
+            text = []
+            while path:
+                path, letter = path
+                text.append(letter)
+            out.append(head + "".join(reversed(text)))
+        return out
+
+    def _masked_ends(self, states: dict[int, list[Path]], columns: list[Arcs], best: int) -> list[Path]:
+        """The paths with the wildcards of ``columns`` behind: how many are letters, and the first of these, in every way."""
+        skips = sorted(min((c for x, _, c in arcs if not x), default=np.inf) for arcs in columns)
+        out: list[Path] = []
+        for n in range(len(columns) + 1):
+            skipped = sum(skips[: len(columns) - n])
+            if skipped == np.inf:
+                continue
+            ahead = self._ahead(max(0, n - 1))
+            for key, held in states.items():
+                if not n:
+                    out += [(t + skipped + self.costs[key * LETTERS], h, p) for t, h, p in held]
+                    continue
+                sums = self.table[key, 1:] + ahead[key % 729 * LETTERS + np.arange(1, LETTERS)]
+                for f in np.argsort(sums, kind="stable")[:best].tolist():
+                    at, letters = key % 729 * LETTERS + f + 1, [f + 1]
+                    for k in range(n - 1, 0, -1):
+                        letters.append(int(self.choice[k][at]))
+                        at = at % 729 * LETTERS + letters[-1]
+                    for t, h, p in held:
+                        for x in letters:
+                            h, p = h * 131 + 96 + x & _HASH, (p, chr(96 + x))
+                        out.append((t + skipped + _WILD + float(sums[f]), h, p))
+        return out
+
+    def search_wide(self, columns: list[Arcs], plain: int, best: int) -> list[str]:
+        """``search`` over arrays of states: the cheapest reading, and the next cheapest that end in other states."""
+        key = 0
+        for ((_, f, _),) in columns[:plain]:
+            key = key % 729 * LETTERS + f
+        keys, total = np.array([key]), np.zeros(1)
+        steps: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
+        for arcs in columns[plain:]:
+            new, cost, back, said, letters = [], [], [], [], []
+            if not arcs:
+                arcs, letters = [("", 0, 0.0)], [" "]
+                new.append(np.zeros_like(keys))
+                cost.append(total + self.table[keys, 0])
+                back.append(np.arange(len(keys)))
+                said.append(np.zeros(len(keys), np.int64))
+            wild = len(arcs) >= LETTERS - 1
+            if wild:  # grouped by the last two letters, so that each next state is met once
+                order = np.argsort(keys % 729, kind="stable")
+                pair = keys[order] % 729
+                starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                sums = total[order, None] + self.table[keys[order], 1:]
+                least = np.minimum.reduceat(sums, starts, axis=0)
+                sizes = np.diff(np.r_[starts, len(order)])
+                first = np.where(sums == np.repeat(least, sizes, axis=0), np.arange(len(order))[:, None], len(order))
+                new.append((pair[starts][:, None] * LETTERS + np.arange(1, LETTERS)).ravel())
+                cost.append((least + _WILD).ravel())
+                back.append(order[np.minimum.reduceat(first, starts, axis=0).ravel()])
+                said.append(np.tile(np.arange(len(letters), len(letters) + LETTERS - 1), len(starts)))
+                letters += [x for x, _, _ in _WILDCARD]
+            for letter, f, c in arcs:
+                if wild and letter and c == _WILD:
+                    continue
+                new.append(keys % 729 * LETTERS + f if letter else keys)
+                cost.append(total + c + (self.table[keys, f] if letter else 0.0))
+                back.append(np.arange(len(keys)))
+                said.append(np.full(len(keys), len(letters)))
+                letters.append(letter)
+            keys, total, b, w = (np.concatenate(x) for x in (new, cost, back, said))
+            if len(new) > 1:
+                order = np.lexsort((total, keys))
+                order = order[np.r_[True, keys[order][1:] != keys[order][:-1]]]
+                keys, total, b, w = keys[order], total[order], b[order], w[order]
+            steps.append((b, w, letters))
+        total = total + self.table[keys, 0]
+        head, out = "".join(arcs[0][0] for arcs in columns[:plain]), []
+        few = np.argpartition(total, 3 * best)[: 3 * best] if len(total) > 3 * best else np.arange(len(total))
+        for at in few[np.argsort(total[few], kind="stable")].tolist():
+            text = []
+            for b, w, letters in reversed(steps):
+                text.append(letters[w[at]])
+                at = b[at]
+            out.append(head + "".join(reversed(text)))
+        return list(dict.fromkeys(out))[:best]
+
+    def run(self, tokens: list[str] | tuple[str, ...]) -> list[str]:
+        """Words of a run of short tokens: one lattice in which a word may end, or go on, between any two tokens.
+
+        Masks at the ends of a token that holds something else are decoration.
+        """
+        columns: list[Arcs] = []
+        for n, token in enumerate(tokens):
+            columns += [[]] * (n > 0) + self.lattice(token.strip("*#") or token)
+        return self.search(columns, 1)[0].split()
 
     def decode(self, word: str, best: int = 3, masked: bool = False) -> list[str]:
-        """The cheapest readings, best first; the beam keeps the best states of three letters."""
-        costs, states = self.costs, {(0, 0, 0): (0.0, "")}
-        for arcs in self.lattice(word, masked):
-            after: dict[tuple[int, int, int], tuple[float, str]] = {}
-            if len(arcs) >= LETTERS - 1:  # any letter: the cheapest _BEAM new states at once
-                keys, values = list(states), list(states.values())
-                ats = [(a * LETTERS + b) * LETTERS + c for a, b, c in keys]
-                new_costs = (self.table[ats, 1:] + (np.array([x for x, _ in values]) + _WILD)[:, None]).ravel()
-                for k in np.argsort(new_costs, kind="stable").tolist():
-                    i, f = divmod(k, LETTERS - 1)
-                    key = (*keys[i][1:], f + 1)
-                    if key not in after:
-                        after[key] = float(new_costs[k]), values[i][1] + chr(97 + f)
-                        if len(after) == _BEAM:
-                            break
-                arcs = [x for x in arcs if not x[0]]
-            for (a, b, c), (total, text) in states.items():
-                at = ((a * LETTERS + b) * LETTERS + c) * LETTERS
-                for letter, f, cost in arcs:
-                    if not letter:
-                        key, new = (a, b, c), total + cost
-                    else:
-                        key, new = (b, c, f), total + cost + costs[at + f]
-                    if key not in after or new < after[key][0]:
-                        after[key] = (new, text + letter)
-            states = dict(sorted(after.items(), key=lambda x: x[1][0])[:_BEAM]) if len(after) > _BEAM else after
-        ends = sorted((total + costs[((a * LETTERS + b) * LETTERS + c) * LETTERS], text) for (a, b, c), (total, text) in states.items())
-        return list(dict.fromkeys(text for _, text in ends))[:best]
+        """The cheapest readings, best first."""
+        return self.search(self.lattice(word, masked), best)
 
     def tail(self, core: str, word: str, masked: bool) -> list[str]:
         """``decode``; what marks behind plain letters are read as depends on the last three letters alone, and is remembered."""
@@ -200,7 +323,12 @@ class Restorer:
         return [core[:-3] + x for x in self.tails[key]]
 
     def readings(self, word: str) -> list[str]:
-        """The restored words that a lower-case word may count as; its plain form unless it looks written around."""
+        """The restored words that a lower-case word may count as; its plain form unless it looks written around.
+
+        Words of more than LONGEST characters are read in pieces of that length, which overlap by half.
+        """
+        if len(word) > LONGEST:
+            return [r for k in range(0, len(word) - LONGEST // 2, LONGEST // 2) for r in self.readings(word[k : k + LONGEST])]
         core = word.strip(_EDGES)
         if core.isascii() and core.isalpha():
             odd = len(core) < len(word) and _MAYBE.search(word) or _TRIPLE.search(core)
@@ -225,9 +353,7 @@ class Restorer:
     def words(self, text: str) -> Iterator[list[str]]:
         """Readings of each different word of a text, and of letters that stand apart joined."""
         words = text.lower().split()
-        for w in set(words):
-            yield self.readings(w)
-        for w in spaced(words):
+        for w in (*set(words), *spaced(words)):
             yield self.readings(w)
         for tokens in short_runs(words):
             yield self.run(tokens)
@@ -248,16 +374,21 @@ _CORES = _Cores()
 
 
 def short_runs(words: list[str]) -> set[tuple[str, ...]]:
-    """Runs of two or more tokens of up to SHORT characters (marks at both ends not counted): letters or pieces of words set apart."""
+    """Runs of two or more tokens of up to SHORT characters (marks at both ends not counted): letters or pieces of words set apart.
+
+    Of more than RUN tokens: pieces of RUN, which overlap.
+    """
     if len(_CORES) > 300_000:
         _CORES.clear()
     out = set()
     for short, cores in groupby(map(_CORES.__getitem__, words), bool):
-        run = tuple(cores) if short else ()
-        if len(run) > 1 and any(map(fold, "".join(run))):
-            out.add(run)
-            # Marks at the ends may be letters, or only marks.
-            out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
+        whole = tuple(cores) if short else ()
+        for k in range(0, max(1, len(whole) - RUN_OVERLAP), RUN - RUN_OVERLAP):
+            run = whole[k : k + RUN]
+            if len(run) > 1 and any(map(fold, "".join(run))):
+                out.add(run)
+                # Marks at the ends may be letters, or only marks.
+                out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
     return out
 
 
@@ -287,52 +418,59 @@ def features(readings: list[str]) -> list[int]:
 
 
 class Scorer:
-    """Scores of texts; remembers the weighed features of words seen, in two generations."""
+    """Scores of texts; remembers the weights of words seen, in two generations."""
 
-    def __init__(self, costs: np.ndarray, index: dict[int, int], logit: np.ndarray, beta: np.ndarray, most: int = 300_000):
-        self.restorer, self.index, self.logit, self.beta, self.most = Restorer(costs), index, logit, beta, most
-        self.young: dict[str | tuple[str, ...], tuple] = {}
-        self.old: dict[str | tuple[str, ...], tuple] = {}
+    def __init__(self, costs: np.ndarray, weights: dict[int, float], beta: np.ndarray | None, most: int = 300_000):
+        self.restorer, self.weights, self.beta, self.most = Restorer(costs), weights, beta, most
+        self.young: dict[str | tuple[str, ...], float] = {}
+        self.old: dict[str | tuple[str, ...], float] = {}
 
-    def found(self, word: str | tuple[str, ...]) -> tuple:
-        """Of a word, or of a run of short tokens."""
+    def found(self, word: str | tuple[str, ...]) -> float:
+        """The weight of a word, or of the strongest word in a run of short tokens; 0 without evidence."""
         x = self.old.get(word)
-        if x is None:
-            x = self.young.get(word)
         if x is None:
             readings = self.restorer.readings(word) if isinstance(word, str) else self.restorer.run(word)
-            x = tuple({self.index[f] for f in features(readings) if f in self.index})
-        if len(word) <= 64:
+            x = max((self.weights.get(f, 0.0) for f in features(readings)), default=0.0)
+        if len(word) <= LONGEST:
             self.young[word] = x
         return x
 
     def score(self, text: str) -> float:
+        if self.beta is None:
+            return 0.0
         if len(self.young) > self.most // 2:
             self.old, self.young = self.young, {}
-        words, young, hits = text.lower().split(), self.young, set()
+        words, young = text.lower().split(), self.young
         different = set(words)
-        for w in different:
+        hits = []
+        for w in (*different, *spaced(words), *short_runs(words)):
             x = young.get(w)
-            hits.update(self.found(w) if x is None else x)
-        for w in spaced(words):
-            hits.update(self.found(w))
-        for tokens in short_runs(words):
-            hits.update(self.found(tokens))
-        return float(1 / (1 + np.exp(-summary(self.logit[list(hits)], len(different)) @ self.beta)))
+            if x is None:
+                x = self.found(w)
+            if x > 0:
+                hits.append(x)
+        p = float(1 / (1 + np.exp(-np.clip(summary(hits, len(different)) @ self.beta, -30, 30))))
+        return p if hits else p / 2  # no evidence, no verdict
 
 
-def summary(logits: np.ndarray, n_words: int) -> np.ndarray:
-    """What the logistic model sees of a document: its strongest weight and its length; one word is enough."""
-    return np.array([1.0, np.clip(logits.max(initial=-4.0), -4, 6), np.log1p(n_words)])
+def summary(weights, n_words: int) -> np.ndarray:
+    """What the logistic model sees of a document: the evidence of all its weighed words and its length.
+
+    Odds are added as cubes, so that many weak words do not make up for a strong one.
+    """
+    return np.array([1.0, np.log1p((np.expm1(np.minimum(weights, 12.0)) ** 3).sum()) / 3, np.log1p(n_words)])
 
 
-def _logit(pos: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
-    q = (pos + SMOOTHING * prior) / (n + SMOOTHING)
-    return np.log(q / (1 - q))
+def weigh(pos: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    """How far a feature raises the log-odds, shrunk by its evidence: the posterior mean less a standard deviation, against the prior."""
+    a, m = pos + SMOOTHING * prior, n + SMOOTHING
+    mean = a / m
+    low = np.clip(mean - np.sqrt(mean * (1 - mean) / (m + 1)), 1e-9, 1 - 1e-9)
+    return np.log(low / (1 - low)) - np.log(prior / (1 - prior))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows_bound: int, features_bound: int) -> tuple[np.ndarray, dict[int, int], np.ndarray, np.ndarray]:
-    """Costs of letters, index of weighed features, their weights, the logistic model."""
+def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows_bound: int) -> tuple[np.ndarray, dict[int, float], np.ndarray | None]:
+    """Costs of letters, weights of features, the logistic model (None where labels of both classes are missing)."""
     costs = letter_costs(count_letters(docs, text_col))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), DIVISOR, REMAINDER)).groupBy("doc_id").agg(F.max(F.col(label) > 0).cast("int").alias("y"))
     share = rows_bound / max(1, known.count())
@@ -341,41 +479,51 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     known = known.withColumnRenamed("doc_id", "label_id")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).drop("label_id")
 
-    def hashed(text: str, restorer: Restorer, young: dict) -> tuple[int, set[int]]:
+    def hashed(text: str, restorer: Restorer, young: dict, pick: Callable[[list[int]], list[int]]) -> tuple[int, list[int]]:
+        """How many different words a text has; what ``pick`` takes of the features of each, and of each run of short tokens."""
         words = (text or "").lower().split()
-        different, found = set(words), set()
-        if len(young) > 100_000:
+        different, found = set(words), []
+        if len(young) > 200_000:
             young.clear()
-        for w in [*different, *spaced(words)]:
-            if w not in young:
-                young[w] = features(restorer.readings(w))
-            found.update(young[w])
+        for w in (*different, *spaced(words)):
+            x = young.get(w)
+            if x is None:
+                x = pick(features(restorer.readings(w)))
+                if len(w) <= LONGEST:
+                    young[w] = x
+            if x:
+                found += x
         for tokens in short_runs(words):
-            found.update(features(restorer.run(tokens)))
+            found += pick(features(restorer.run(tokens)))
         return len(different), found
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, young = Restorer(costs), {}
         for b in batches:
             for text in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(list(hashed(text, restorer, young)[1]), pa.int64())], names=["f"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(set(hashed(text, restorer, young, list)[1])), pa.int64())], names=["f"])
 
     counted = {int(r.y): r["count"] for r in rows.groupBy("y").count().collect()}
     total, positive = sum(counted.values()), counted.get(1, 0)
-    prior = (positive + 1) / (total + 2)
-    flat = np.array([np.log(prior / (1 - prior)), 0, 0])
     if not 0 < positive < total:
-        return costs, {}, np.zeros(0), flat
-    seen = rows.filter("y = 1").select("text").mapInArrow(lean(listed), "f long").groupBy("f").count().filter(F.col("count") >= LEAST_SEEN).orderBy(F.desc("count"), "f").limit(features_bound)
-    index = {r.f: k for k, r in enumerate(seen.select("f").collect())}
+        return costs, {}, None
+    prior = (positive + 1) / (total + 2)
+    # Features that would have too little weight even if no clean row held them need not be counted.
+    least = next(k for k in range(1, 64) if weigh(np.array(k), np.array(k), prior) >= LEAST_WEIGHT or k == 63)
+    seen = rows.filter("y = 1").select("text").mapInArrow(lean(listed), "f long").groupBy("f").count().filter(F.col("count") >= least)
+    index = {f: k for k, f in enumerate(sorted(r.f for r in seen.select("f").collect()))}
     m = max(1, len(index))
 
+    def marked(found: list[int]) -> list[int]:
+        own = sorted({index[f] for f in found if f in index})
+        return [*own[:-1], -1 - own[-1]] if own else own  # the last of a word is marked
+
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, young = Restorer(costs), {}
         for b in batches:
-            got = [hashed(text, restorer, young) for text in b.column(0).to_pylist()]
-            kept = [np.array(sorted(index[x] for x in f if x in index), "<i4").tobytes() for _, f in got]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int32()), pa.array(kept, pa.binary())], names=["y", "n", "f"])
+            got = [hashed(text, restorer, young, marked) for text in b.column(0).to_pylist()]
+            sizes, kept = [n for n, _ in got], [np.array(x, "<i4").tobytes() for _, x in got]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())], names=["y", "n", "f"])
 
     rows = materialize(rows.select("text", "y").mapInArrow(lean(indexed), "y int, n int, f binary"), "toxicity-indexed")
 
@@ -383,7 +531,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
         out = np.zeros((2, m))
         for b in batches:
             for y, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                out[y, np.frombuffer(f, "<i4")] += 1
+                f = np.frombuffer(f, "<i4")
+                out[y, np.unique(np.where(f < 0, -1 - f, f))] += 1
         return out
 
     by_class = partition_sum(rows, (2, m), per_feature)
@@ -394,12 +543,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
             out = []
             for y, n, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 f = np.frombuffer(f, "<i4")
-                # A training row does not vote for itself.
-                out.append(summary(_logit(pos[f] - y, n_all[f] - 1, prior), n).tobytes())
+                last = np.flatnonzero(f < 0)
+                f = np.where(f < 0, -1 - f, f)
+                w = weigh(pos[f] - y, n_all[f] - 1, prior)  # a training row does not vote for itself
+                w = np.maximum.reduceat(w, np.r_[0, last[:-1] + 1]) if len(last) else w
+                out.append(summary(w[w >= LEAST_WEIGHT], n).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "x"])
 
     rows = materialize(rows.mapInArrow(lean(summed), "y int, x binary"), "toxicity-summed")
-    k = len(flat)
+    beta = np.array([np.log(prior / (1 - prior)), 0, 0])
+    k = len(beta)
 
     def step(beta: np.ndarray):
         def of(batches) -> np.ndarray:
@@ -412,29 +565,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
 
         return of
 
-    beta = flat.copy()
     for _ in range(8):
         a = partition_sum(rows, (k, k + 1), step(beta))
         move = np.linalg.solve(a[:, :k] + 1e-2 * np.eye(k), a[:, k] - 1e-2 * beta)
         beta = beta + move
         if np.abs(move).max() < 1e-4:
             break
-    return costs, index, _logit(pos, n_all, prior), beta
+    w = weigh(pos, n_all, prior)
+    return costs, {f: float(w[k]) for f, k in index.items() if w[k] >= LEAST_WEIGHT}, beta
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows_bound: int = TRAIN_ROWS, features_bound: int = MAX_FEATURES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows_bound: int = TRAIN_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
     Learns from about ``rows_bound`` labelled rows at most (by hash of the id) whose crc32(id as text) mod 5 is
-    not 0; characters are counted over all documents.  Null text counts as empty: no evidence.  Repeated
-    rows get equal scores; without labels of both classes all scores are near the class there is, or 0.5.
+    not 0; characters are counted over all documents.  Null text counts as empty: no evidence, so never
+    toxic.  Repeated rows get equal scores; without labels of both classes nothing can be learned and all
+    scores are 0.  Very long texts are read whole; an empty table gives an empty result; other columns of
+    ``docs``, whatever their names, are not read.
     """
-    costs, index, logit, beta = train(docs, labels, label, id_col, text_col, rows_bound, features_bound)
+    costs, weights, beta = train(docs, labels, label, id_col, text_col, rows_bound)
     kept: list[Scorer] = []
 
     def rows(ids: list, texts: list[bytes]) -> dict:
         if not kept:
-            kept.append(Scorer(costs, index, logit, beta))
+            kept.append(Scorer(costs, weights, beta))
         return {"doc_id": ids, "score": [kept[0].score(x.decode("utf-8", "replace")) for x in texts]}
 
     out = map_texts(docs, id_col, text_col, rows, "doc_id long, score double")
@@ -442,11 +597,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` whose score is below THRESHOLD, with all their columns; no join, so ids need not be unique."""
-    costs, index, logit, beta = train(docs, labels, label, id_col, text_col, TRAIN_ROWS, MAX_FEATURES)
+    """The rows of ``docs`` whose score is below THRESHOLD, with all their columns, whatever their names.
+
+    No join, so ids need not be unique and may be null; repeated rows stay or go together.  Null and blank
+    texts stay; without labels of both classes all rows stay; an empty table gives an empty result.
+    """
+    costs, weights, beta = train(docs, labels, label, id_col, text_col, TRAIN_ROWS)
+    if beta is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(costs, index, logit, beta)
+        scorer = Scorer(costs, weights, beta)
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield b.filter(pa.array([scorer.score(x or "") < THRESHOLD for x in texts], pa.bool_()))

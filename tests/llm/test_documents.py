@@ -1,6 +1,7 @@
 """Operators on documents: brute force on small fixtures, and the cases that each docstring defines."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -386,3 +387,51 @@ def test_marks_at_the_ends_of_words_may_be_letters():
         assert word in r.readings(w), (w, r.readings(w))
     assert "clown" in r.readings("(clown)") and "fool" in r.readings("fool!")
     assert r.readings("plain.") == ["plain"]
+
+
+def all_readings(r, columns):
+    """The cheapest cost of every text of a lattice, by trying every path."""
+    best = {}
+    for path in itertools.product(*[c or [("", 0, 0.0), (" ", 0, 0.0)] for c in columns]):
+        key, cost, text = 0, 0.0, ""
+        for letter, f, c in path:
+            if letter == " ":
+                cost, key, text = cost + r.costs[key * 27], 0, text + " "
+            elif letter:
+                cost, key, text = cost + c + r.costs[key * 27 + f], key % 729 * 27 + f, text + letter
+            else:
+                cost += c
+        cost += r.costs[key * 27]
+        best[text] = min(best.get(text, cost), cost)
+    return best
+
+
+def test_decoding_is_exact():
+    rng = np.random.default_rng(3)
+    r = toxicity.Restorer(toxicity.letter_costs(toxicity.letter_counts([b"a stout idiot is not so bright as it sets about the east"] * 20)))
+    for _ in range(150):
+        word = "".join(rng.choice(list("abeiorst01345$|!.*@t-"), rng.integers(2, 7)))
+        if word.count("*") > 2:
+            continue
+        for masked in (False, True):
+            columns = r.lattice(word, masked)
+            want, got = all_readings(r, columns), r.search(columns, 3)
+            assert abs(want[got[0]] - min(want.values())) < 1e-9
+            if not any(len(c) >= 26 for c in columns):
+                assert np.allclose([want[x] for x in got], sorted(want.values())[:3])
+    columns = r.lattice("1d") + [[]] + r.lattice("10") + [[]] + r.lattice("t")
+    assert r.search(columns, 1) == [min(all_readings(r, columns).items(), key=lambda x: x[1])[0]]
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 1), (3, 0, 1)], [(1, 1, 0), (3, 1, 0)], [(None, None, None)]])
+def test_without_both_classes_nothing_is_toxic(spark, labels):
+    docs = frame(spark, [(1, "you idiot"), (2, None), (3, "fine words"), (3, "fine words"), (None, " ")])
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {(r.score, r.predicted) for r in toxicity.classify(docs, table).collect()} == {(0.0, 0)}
+    assert toxicity.clean(docs, table).count() == 5
+
+
+def test_long_words_and_runs_are_read_whole():
+    r = toxicity.Restorer(toxicity.letter_costs(toxicity.letter_counts([b"you idiot and a fool"] * 50)))
+    assert "idiot" in {x for y in r.words("q " * 500 + "zzz y o u i d i o t") for x in y}
+    assert any("idiot" in x for x in r.readings("z" * 100 + "1d10t"))
