@@ -7,9 +7,8 @@ exchanges, is fixed, while the vocabulary grows with the corpus and is never sen
 the words beyond a fixed dictionary are joined.
 
 Baum-Welch starts from a seeded random model around the counts of all training documents; every round runs
-over all of them until it converges: partitions sum expected counts of states, transitions and emissions on
-windows of 64 tokens.  Scoring is exact: the scaled
-forward recursion over the whole sequence, end included, times the words' probabilities in their classes.
+over all of them until it converges: partitions sum expected counts of states, transitions and emissions of
+whole documents.  Scoring is exact: the scaled forward recursion over the whole sequence, end included, times the words' probabilities in their classes.
 """
 
 from __future__ import annotations
@@ -30,7 +29,9 @@ from .training import partition_sum
 DIVISOR, REMAINDER = 7, 2
 STATES, OWN, SHARED, DICTIONARY = 12, 2048, 1024, 1 << 18
 #: Training ends when a round gains less than TOLERANCE of the log-likelihood; ROUNDS only stops one that never does.
-WINDOW, BATCH, ROUNDS, TOLERANCE, SEED = 64, 512, 200, 1e-5, 7
+ROUNDS, TOLERANCE, SEED = 200, 1e-5, 7
+#: Documents of more than WHOLE tokens are computed in windows, BATCH of them at a time; the counts do not depend on it.
+WINDOW, BATCH, WHOLE = 64, 512, 1024
 END = 0  # the id of the end; words have their 64-bit hash
 _CLASSES = OWN + SHARED
 
@@ -95,16 +96,21 @@ class Model:
         return Model(start, move, np.r_[emit / emit.sum(0), np.ones((1, emit.shape[1]))])
 
 
-def expected(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, transitions and emissions, and the log-likelihood, of windows (rows of
-    classes, padded with the number of classes)."""
+def _within(model: Model, windows: np.ndarray, x: np.ndarray, end: np.ndarray):
+    """Forward and backward over windows (rows of classes, padded with the number of classes).
+
+    ``x``: the state's distribution before each window's first class; ``end``: the likelihood of all that
+    follows its last class, to any scale.  Gives the states' probabilities at the first class, expected
+    transitions and emissions, the log-likelihood, the forward vector at the last class, and the backward
+    one at the first with its emission.
+    """
     n, steps = windows.shape
     k, classes = len(model.start), len(model.emit) - 1
     move, ones = model.move.astype(np.float32), np.ones(k, np.float32)
     flat = windows.T.ravel()
     emit = model.emit.astype(np.float32)[flat].reshape(steps, n, k)
     alpha, scale = np.empty_like(emit), np.empty((steps, n), np.float32)
-    x = np.broadcast_to(model.start.astype(np.float32), (n, k))
+    x = x.astype(np.float32)
     for t in range(steps):
         x = x * emit[t]
         scale[t] = x @ ones
@@ -112,28 +118,95 @@ def expected(model: Model, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         alpha[t] = x
         x = x @ move
     emit /= scale[:, :, None]
-    beta = np.ones_like(emit)
+    beta = np.empty_like(emit)
+    beta[-1] = end / ((alpha[-1] * end) @ ones)[:, None]
     for t in range(steps - 1, 0, -1):
         emit[t] *= beta[t]
         np.matmul(emit[t], move.T, out=beta[t - 1])
+    opening, last = emit[0] * beta[0], alpha[-1].copy()
     emit[(windows >= classes).T] = 0
     trans = (alpha[:-1].reshape(-1, k).T @ emit[1:].reshape(-1, k)).astype(float)
     alpha *= beta  # now the states' probabilities
     weights = alpha.reshape(-1, k)
     emissions = np.stack([np.bincount(flat, weights[:, j], classes + 1)[:classes] for j in range(k)], 1)
-    return alpha[0].sum(0, dtype=float), trans * model.move, emissions, float(np.log(scale, dtype=np.float64).sum())
+    return alpha[0], trans, emissions, float(np.log(scale, dtype=np.float64).sum()), last, opening
+
+
+def _products(model: Model, windows: np.ndarray) -> np.ndarray:
+    """For each window the product of its emissions and transitions, a matrix of states before and after, to any scale."""
+    n, steps = windows.shape
+    k = len(model.start)
+    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
+    m = np.broadcast_to(np.eye(k, dtype=np.float32), (n, k, k))
+    for t in range(steps):
+        m = ((m * emit[windows[:, t]][:, None, :]).reshape(-1, k) @ move).reshape(n, k, k)
+        if t % 4 == 3:
+            m /= m.max((1, 2), keepdims=True)
+    return m / m.max((1, 2), keepdims=True)
 
 
-def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WINDOW) -> np.ndarray:
-    """Sequences cut to padded windows."""
-    rows = sum(-(-len(s) // window) for s in sequences)
-    out = np.full((rows, window), classes, np.int64)
+def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, transitions and emissions, and the log-likelihood, of whole sequences.
+
+    ``windows`` are rows of classes, padded with the number of classes; ``first`` marks those that open a
+    sequence (all of them if None), the others go on where the row before ends.  The states at the seams
+    come from products of the windows' matrices, so the counts are those of the uncut sequences, while
+    memory is that of ``chunk`` windows and one small matrix for each.
+    """
+    n, k = len(windows), len(model.start)
+    first = np.ones(n, bool) if first is None else first
+    x, end = np.tile(model.start, (n, 1)), np.ones((n, k), np.float32)
+    if not first.all():
+        product = np.concatenate([_products(model, windows[a : a + chunk]) for a in range(0, n, chunk)])
+        heads = np.flatnonzero(first)
+        sizes = np.diff(np.r_[heads, n])
+        for j in range(1, sizes.max()):  # the j-th window of all sequences that have one
+            w = heads[sizes > j] + j
+            v = np.einsum("ni,nij->nj", x[w - 1], product[w - 1])
+            x[w] = v / v.sum(1, keepdims=True)
+        ahead = np.ones((n, k))
+        for j in range(1, sizes.max()):  # from the ends
+            w = (heads + sizes - j)[sizes > j]
+            v = np.einsum("nij,nj->ni", product[w], ahead[w])
+            ahead[w - 1] = v / v.max(1, keepdims=True)
+        inner = np.r_[~first[1:], False]
+        end[inner] = ahead[inner] @ model.move.T
+    start, trans, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit) - 1, k)), 0.0
+    before = None
+    for a in range(0, n, chunk):
+        p, t, e, ll, last, opening = _within(model, windows[a : a + chunk], x[a : a + chunk], end[a : a + chunk])
+        opens = first[a : a + chunk]
+        start += p[opens].sum(0, dtype=float)
+        seams = np.r_[last[:1] if before is None else before[None, :], last[:-1]]
+        trans += t + seams[~opens].T @ opening[~opens]
+        emissions += e
+        likelihood += ll
+        before = last[-1]
+    return start, trans * model.move, emissions, likelihood
+
+
+def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences cut to padded windows, and which of them open a sequence."""
+    many = [-(-len(s) // window) for s in sequences]
+    out, first = np.full((sum(many), window), classes, np.int64), np.zeros(sum(many), bool)
     k = 0
-    for s in sequences:
-        m = -(-len(s) // window)
+    for s, m in zip(sequences, many, strict=True):
         out[k : k + m].ravel()[: len(s)] = s
+        first[k] = True
         k += m
-    return out
+    return out, first
+
+
+def batched(sequences: list[np.ndarray], cells: int = BATCH * WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of sequences of like length: short ones whole, a row each; those beyond WHOLE classes cut."""
+    long = [s for s in sequences if len(s) > WHOLE]
+    if long:
+        yield cut(long)
+    short = sorted((s for s in sequences if len(s) <= WHOLE), key=len, reverse=True)
+    while short:
+        m = max(1, cells // len(short[0]))
+        yield cut(short[:m], window=len(short[0]))
+        short = short[m:]
 
 
 def _packed(start, move, emit, likelihood: float) -> np.ndarray:
@@ -163,9 +236,8 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
             size = 0
 
             def add() -> None:
-                windows = cut(held)
-                for k in range(0, len(windows), BATCH):
-                    out.__iadd__(_packed(*expected(model, windows[k : k + BATCH])))
+                for windows, first in batched(held):
+                    out.__iadd__(_packed(*expected(model, windows, first, max(1, BATCH * WINDOW // windows.shape[1]))))
 
             for b in batches:
                 for x in b.column(0).to_pylist():

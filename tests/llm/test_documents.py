@@ -303,17 +303,35 @@ def test_expected_counts_and_forward_match_brute_force():
     k, classes = 3, hmm._CLASSES
     model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), np.r_[rng.dirichlet(np.ones(classes), k).T, np.ones((1, k))])
     seqs = [np.array(x) for x in ([5, 7, 5], [9], [1, 2, 3, 4, 1])]
-    import itertools
-
-    emit = np.zeros((classes, k))
+    emit, moves, starts = np.zeros((classes, k)), np.zeros((k, k)), np.zeros(k)
     for s, got in zip(seqs, hmm.forward(model, seqs), strict=True):
         paths = {p: model.start[p[0]] * np.prod([model.move[a, b] for a, b in zip(p, p[1:], strict=False)]) * np.prod([model.emit[c, z] for c, z in zip(s, p, strict=True)]) for p in itertools.product(range(k), repeat=len(s))}
         total = sum(paths.values())
         assert got == pytest.approx(log10(total))
         for p, w in paths.items():
+            starts[p[0]] += w / total
+            for a, b in zip(p, p[1:], strict=False):
+                moves[a, b] += w / total
             for c, z in zip(s, p, strict=True):
                 emit[c, z] += w / total
-    assert np.allclose(hmm.expected(model, hmm.cut(seqs, window=6))[2], emit, atol=1e-4)
+    whole = sum(hmm.forward(model, seqs)) / log10(np.e)
+    for window in (1, 2, 3, 6):
+        for chunk in (1, 2, 100):
+            got = hmm.expected(model, *hmm.cut(seqs, window=window), chunk)
+            for x, want in zip(got, (starts, moves, emit, whole), strict=True):
+                assert np.allclose(x, want, atol=1e-4, rtol=1e-4), (window, chunk)
+
+
+def test_counts_of_long_documents_do_not_depend_on_windows():
+    rng = np.random.default_rng(4)
+    k = 4
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(0.2 * np.ones(k), k), np.r_[rng.dirichlet(0.1 * np.ones(hmm._CLASSES), k).T + 1e-7, np.ones((1, k))])
+    seqs = [rng.integers(0, hmm._CLASSES, n) for n in (3000, 1, 64, 65, 1500, 700)]
+    whole = [sum(x) for x in zip(*(hmm.expected(model, s[None, :]) for s in seqs), strict=True)]
+    parts = [sum(x) for x in zip(*(hmm.expected(model, *b) for b in hmm.batched(seqs)), strict=True)]
+    assert whole[1].sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-3) and whole[0].sum() == pytest.approx(len(seqs), rel=1e-3)
+    for x, y in zip(whole, parts, strict=True):
+        assert np.allclose(x, y, rtol=2e-3, atol=2e-3)
 
 
 def test_hmm_training_does_not_depend_on_the_partitioning(spark):
