@@ -38,8 +38,8 @@ from .training import partition_sum
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 64, 8, 4096
-TYING_ROUNDS, TYING_PARTS, GATHERED = 2, 8, 5000
-HOT_TOKEN, SALTS, BROADCAST_ROWS = 200_000, 32, 1_000_000
+TYING_ROUNDS, TYING_PARTS, GATHERED = 2, 8, 4096
+HOT_TOKEN, SALTS, BROADCAST_BYTES = 200_000, 32, 24 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -427,7 +427,8 @@ def verified(docs: DataFrame, id_col: str, text_col: str, seed: int, pairs: Data
     keys = pairs.select(F.col("u").alias("cls"), "u", "salt", F.lit(0).alias("role")).union(pairs.select(F.col("v").alias("cls"), "u", "salt", F.lit(1).alias("role"))).distinct()
     asked = keys.groupBy("cls").agg(F.collect_list(F.struct("u", "salt", "role")).alias("keys")).join(owners, "cls")
     asked = materialize(asked.select(F.col("owner").alias("owner_id"), F.col("cls").alias("owner_cls"), F.col("keys.u").alias("us"), F.col("keys.salt").alias("ss"), F.col("keys.role").alias("rs")), "ngram-asked")
-    if asked.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("us")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+    # A row has three arrays and two numbers: 72 bytes, and 16 for each key.
+    if asked.agg(72 * F.count(F.lit(1)) + 16 * F.coalesce(F.sum(F.size("us")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("owner_id")))
 
@@ -511,12 +512,14 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
     if tying:
         rows = rows.withColumn("token", F.xxhash64("token", "block"))
     rows = materialize(rows, "ngram-labelled")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("block").alias("first"), F.max("block").alias("last"), F.max("many").alias("m"), F.expr("max_by(component, many)").alias("main")).filter("a <> b")
-    mixed = materialize(mixed.select("token", (F.col("first") == F.col("last")).alias("whole"), F.when(F.col("m") <= GATHERED, F.col("main")).alias("main")), "ngram-mixed")
-    # Tokens of one component go to one task, so that bitmaps are sent once for all of them; components of very
-    # many classes are dealt by token.
+    mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b"), F.min("block").alias("first"), F.max("block").alias("last"), F.max("many").alias("m"), F.expr("max_by(component, many)").alias("main")).filter("a <> b")
+    mixed = materialize(mixed.select("token", "n", "m", (F.col("first") == F.col("last")).alias("whole"), "main"), "ngram-mixed")
+    # Tokens of one component meet in as few groups as hold about ``GATHERED`` rows each (or two rows for each of its
+    # classes), so that bitmaps are sent once for many tokens, and no component is a task's alone.
     zero = F.lit(0).cast("long")
-    single = rows.join(mixed.filter("whole"), "token").select(F.coalesce("main", F.xxhash64("token")).alias("key"), "token", zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"), "cls", "component")
+    load = mixed.filter("whole").groupBy("main").agg(F.ceil(F.sum("n") / F.greatest(F.lit(GATHERED), 2 * F.max("m"))).alias("parts")).filter("parts > 1")
+    mixed = mixed.join(load, "main", "left").withColumn("main", F.when(F.col("parts") > 1, F.xxhash64("main", F.pmod(F.xxhash64("token"), F.col("parts")))).otherwise(F.col("main"))).drop("n", "m", "parts")
+    single = rows.join(mixed.filter("whole"), "token").select(F.col("main").alias("key"), "token", zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"), "cls", "component")
     # A token in one block is one group.  Of several blocks, each meets each, unless both are of one component.
     several = rows.join(mixed.filter("NOT whole").select("token"), "token")
     blocks = several.groupBy("token", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"))
@@ -596,7 +599,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A-Z are lower-cased; words are runs without ASCII white space.  Null text counts as empty: no shingles,
     linked with nothing.  Rows with equal sets are linked, repeated rows too.  A null id never is a
-    component's id unless all its rows lack one; rows without words are components of their own.
+    component's id unless all its rows lack one; rows without words are components of their own.  Very long
+    texts are read whole; an empty table gives an empty result; other columns, whatever their names, are not read.
     """
     seed = 0
     while True:
@@ -640,7 +644,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's: one document of each group of near copies.
 
-    Rows that share that id all stay, so do rows of components without any id.
+    Rows that share that id all stay, so do rows of components without any id and rows without words (null
+    and blank texts).  All columns are kept, whatever their names; an empty table gives an empty result.
     """
     from .common import fresh
 
@@ -652,3 +657,16 @@ def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read_documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, t.y FROM reach r JOIN both_ways t ON t.x = r.other)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id FROM reach r JOIN n USING (doc_id) GROUP BY r.doc_id
+"""

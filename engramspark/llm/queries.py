@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_signature_tree_join": ngram_join.ORACLE,
     "op2_seekable_warc": warc.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }
