@@ -41,6 +41,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds of Arrow batches for the session; results are lazy, so the setting stays (the README says so)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -48,11 +49,14 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made and set.
+    Where that is unset, a temporary folder is made and set on a local master; on a cluster, where executors
+    would each write to their own disk, it is an error.
     """
     small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="engramspark-")
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
@@ -99,10 +103,12 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterabl
 
     ``rows`` gets the ids as a list and the texts as a list of ``bytes`` (UTF-8, null as empty) and returns
     a dict of equally long sequences, one for each name of ``schema``.  Whole texts; no state between tasks.
+    Columns named in ``keep`` follow as strings.
     """
     small_batches(df.sparkSession)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    kept = [f"kept_{k}" for k, _ in enumerate(keep)]
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), *[F.col(f"`{c}`").cast("string").alias(k) for k, c in zip(kept, keep, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
@@ -111,9 +117,9 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, rows: Callable[[Iterabl
                 continue
             out = rows(b.column(0).to_pylist(), b.column(1).to_pylist())
             types = types or arrow_types(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)] + b.columns[2:], names=names + kept)
 
-    return src.mapInArrow(lean(run), schema)
+    return src.mapInArrow(lean(run), schema + "".join(f", {k} string" for k in kept))
 
 
 _ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from engramspark.llm import exact_dedup, fertility, hmm, ngram_join, packing, pieces, quality, secrets, toxicity
 from engramspark.llm.training import isotonic
 
@@ -255,6 +257,59 @@ def test_fertility_rejects_strange_text(spark):
     assert got[2].byte_share > 0.5
 
 
+def plain_counts(text):
+    """The base columns of the fertility query, written plainly."""
+    space = r"[\x20\x09-\x0d]+"
+    words = [w for w in re.split(space, text or "") if w]
+    seen = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    mark = {j for k in range(len(words) - 7) if seen[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+    lines = [x for x in (text or "").split("\n") if re.sub(space, "", x)]
+    failed = len(words) < 20 or 100 * len(mark) > 30 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(mark), failed
+
+
+def test_fertility_matches_plain_counts_and_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = frame(spark, [(10**6, None), (10**6 + 1, " \n"), (10**6 + 2, LONG), (10**6 + 2, LONG)]).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(1).alias("band"))
+    docs = docs.select("doc_id", "text", "lang", F.lit(0).alias("band")).union(extra)
+    texts = docs.toPandas()
+    got = fertility.measure(docs, lang_col="lang").toPandas()
+    assert sorted(got.doc_id) == sorted(texts.doc_id)
+    sp, is_byte = fertility._pieces(fertility.VOCABULARIES[0])
+    ranks = fertility._ranks(fertility.VOCABULARIES[1])
+    by_id = dict(zip(texts.doc_id, texts.text, strict=True))
+    for r in got.itertuples():
+        text = by_id[r.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_counts(text)
+        words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        ids = [i for w in words for i in sp.encode(w)]
+        assert r.n_tokens == len(ids) and r.chars_per_token == pytest.approx(r.word_chars / len(ids) if ids else 0)
+        assert r.byte_share == pytest.approx(np.mean(is_byte[ids]) if ids else 0)
+        n = np.array(list(Counter(ids).values())) / max(1, len(ids))
+        assert r.token_entropy == pytest.approx(-(n * np.log2(n)).sum() if ids else 0, abs=1e-9)
+        assert r.other_chars_per_token == pytest.approx(r.word_chars / sum(len(ranks.encode_ordinary(w)) for w in words) if words else 0)
+    assert got[got.kept].base_failed.sum() == 0
+    # The bands, from plain quartiles.
+    got["share"] = got.token_entropy / np.log2(got.n_tokens.clip(lower=2))
+    passed = got[~got.base_failed]
+    for (band,), rows in passed.groupby(["band"]):
+        ok = np.ones(len(rows), bool)
+        for col, low, high in (("chars_per_token", True, True), ("other_chars_per_token", True, True), ("byte_share", False, True), ("share", True, False)):
+            q1, q2, q3 = np.quantile(rows[col].round(3), [0.25, 0.5, 0.75])
+            reach = 3 * max(q3 - q1, 0.01 * q2) + 0.0005
+            ok &= (rows[col] >= q1 - reach).to_numpy() | (not low)
+            ok &= (not high) | (rows[col] <= max(q3 + reach, 0.05 if col == "byte_share" else 0)).to_numpy()
+        assert ok.tolist() == rows.kept.tolist(), band
+
+
+def test_fertility_rejects_junk_of_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
+    got = fertility.measure(docs, lang_col="lang").join(labels, F.col("doc_id") == F.col("id")).filter("NOT base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.8 * (n[0, False] + n.get((0, True), 0)) and n[1, True] > 0.97 * (n[1, True] + n.get((1, False), 0))
+
+
 # Pieces
 
 
@@ -344,6 +399,29 @@ def test_hmm_training_does_not_depend_on_the_partitioning(spark):
 # Classifiers
 
 
+def test_quality_model_matches_plain_algebra(spark):
+    """Ridge and kernel against numpy on all rows at once."""
+    rng = np.random.default_rng(1)
+    d = len(quality.STATISTICS)
+    x = rng.normal(size=(400, d))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    rows = spark.createDataFrame([(bytearray(a.tobytes()), float(b)) for a, b in zip(x, y, strict=True)], "stats binary, y double").repartition(3)
+    model = quality.train(rows, features=60)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    z = np.c_[np.ones(400), np.sqrt(2 / 60) * np.cos(np.clip((x - x.mean(0)) / x.std(0), -6, 6) @ model.w + model.b)]
+    assert np.allclose(model.features(x), z)
+    weight = np.where(y > 0, 200 / y.sum(), 200 / (400 - y.sum()))
+    penalty = quality.RIDGE * 400 * np.diag(np.r_[1e-9, np.full(60, 1 / 60)])
+    beta = np.linalg.solve(z.T @ (weight[:, None] * z) + penalty, z.T @ (weight * y))
+    assert np.allclose(model.beta, beta, rtol=1e-6, atol=1e-8)
+    many = quality.Model(np.zeros(d), np.ones(d), rng.normal(size=(d, 20000)) / np.sqrt(2.0 * d), rng.uniform(0, 2 * np.pi, 20000), np.zeros(0), (np.zeros(1), np.zeros(1)))
+    f = many.features(x[:20])[:, 1:]
+    kernel = np.exp(-((x[:20, None] - x[None, :20]) ** 2).sum(-1) / (4 * d))
+    assert np.abs(f @ f.T - kernel).max() < 0.05
+    scores = model.score(x)
+    assert np.all((scores >= 0) & (scores <= 1)) and ((scores > 0.5) == (y > 0)).mean() > 0.85
+
+
 def test_isotonic_is_monotone_and_pools():
     x, y = isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 0, 1.0]), np.ones(6))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
