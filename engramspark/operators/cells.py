@@ -63,6 +63,12 @@ def upserted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("rn_ = 1").drop("rn_")
 
 
+def merged(store: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows and cached ones; a cached row stands in for the stored one of its key."""
+    both = store.withColumn("from_", F.lit(0)).unionByName(cache.withColumn("from_", F.lit(1)))
+    return upserted(both, keys, "from_").drop("from_")
+
+
 def deleted(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` without the rows whose keys are in ``gone`` (sessions, cells, vectors, texts)."""
     return table.join(gone.select(*keys).distinct(), keys, "left_anti")
@@ -80,6 +86,26 @@ def session_scan(cells: DataFrame, limit: int | None = None) -> DataFrame:
     return cells.withColumn("rn_", F.row_number().over(Window.partitionBy("session_id").orderBy("cell_seq"))).filter(F.col("rn_") <= limit).drop("rn_")
 
 
+def cell_by_id(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cells that ``wanted`` (session_id, cell_id) names."""
+    return cells.join(wanted.select("session_id", "cell_id").distinct(), ["session_id", "cell_id"], "left_semi")
+
+
+#: How a stored cell's lists are decoded.
+STORED = {"keywords": "array<string>", "entities": "array<string>", "causal_deps": "array<string>", "linked_cells": "array<string>"}
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Rows whose lists are stored as JSON texts, with native lists; null, empty and broken texts give empty lists."""
+    have = [c for c, t in rows.dtypes if c in STORED and t == "string"]
+    return rows.withColumns({c: F.coalesce(F.from_json(c, STORED[c]), F.array().cast(STORED[c])) for c in have})
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """Rows with their lists as JSON texts."""
+    return rows.withColumns({c: F.to_json(c) for c, t in rows.dtypes if c in STORED and t.startswith("array")})
+
+
 def meta_versions(cells: DataFrame) -> DataFrame:
     """A digest version for each flush: linked cells so far, running summary, keywords and entities of the new cells.
 
@@ -106,5 +132,12 @@ def meta_versions(cells: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("version") == F.max("version").over(whole), "active").otherwise("archived"))
 
 
+def digests_of(cells: DataFrame) -> DataFrame:
+    """``meta_versions`` of cells that there must be; none at all is an error."""
+    if cells.isEmpty():
+        raise ValueError("a digest needs cells")
+    return meta_versions(cells)
+
+
 def active_meta(metas: DataFrame) -> DataFrame:
     return metas.filter("status = 'active'")

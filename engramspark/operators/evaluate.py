@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import Estimator, chars, render_prompt
 
 
+METHODS = ("baseline", "sliding", "session_mem")
+
+
 def history(turns: DataFrame) -> DataFrame:
     """session_id, parts: each session's turns as prompt lines, in order."""
     return turns.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_idx", "role", "content"))), lambda t: render_prompt(t["role"], t["content"])).alias("parts"))
@@ -52,6 +55,22 @@ def aggregated(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """One row over all questions: their number, means of savings, tokens, times and scores, median and 95th
+    percentile (by index) of the times.  Without questions all are 0, scores without any are null."""
+    have = set(rows.columns)
+    means = [c for c in rows.columns if c.endswith(("_ms", "_tokens", "_count")) or "saving_rate" in c]
+    times = [f"{m}_{t}_ms" for m in METHODS for t in ("latency", "ttft") if f"{m}_{t}_ms" in have]
+    scores = [f"{m}_judge_score" for m in METHODS if f"{m}_judge_score" in have]
+    # The element at floor(0.95 n) of the sorted values: the first above that share of them.
+    p95 = "percentile_disc(0.950000000001D) WITHIN GROUP (ORDER BY `{}`)"
+    return rows.agg(
+        F.count(F.lit(1)).alias("total_qas"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in means],
+        *[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(f"median_{c}") for c in times],
+        *[F.coalesce(F.expr(p95.format(c)), F.lit(0.0)).alias(f"p95_{c}") for c in times], *[F.avg(c).alias(f"avg_{c}") for c in scores],
+    )
+
+
 def report(rows: DataFrame) -> DataFrame:
     """One text row: ``name: value`` lines of a one-row frame of aggregates."""
     lines = F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in rows.columns])

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BUFFER, BufferConfig
-from ..functions.text import Estimator, chars, render
+from ..functions.text import MOMENT, Estimator, chars, known_role, moment, render
 
-TURN = "struct<turn_idx:bigint,role:string,content:string,ts_raw:string,ts:timestamp,tokens:bigint>"
+TURN = "struct<turn_idx:bigint,role:string,content:string,ts_raw:string,ts:struct<micros:bigint,zoned:boolean>,tokens:bigint>"
 SEGMENT = f"struct<reason:string,turns:array<{TURN}>>"
 STATE = f"struct<buffer:array<{TURN}>,checked:bigint,flushes:bigint,segments:array<struct<flush_id:bigint,reason:string,turns:array<{TURN}>>>>"
 
@@ -43,8 +43,16 @@ def cuts(points: Column, n: Column) -> Column:
 
 
 def is_gap(before: Column, after: Column, minutes: int) -> Column:
-    """More than so many minutes between two times; never when one is unknown."""
-    return F.coalesce(F.unix_micros(after) - F.unix_micros(before) > minutes * 60_000_000, F.lit(False))
+    """More than so many minutes between two moments; never when one is unknown, or one alone has a zone."""
+    return F.coalesce((before["zoned"] == after["zoned"]) & (after["micros"] - before["micros"] > minutes * 60_000_000), F.lit(False))
+
+
+def moment_of(turns: DataFrame, col: str = "ts_raw") -> Column:
+    """The moment of a column of texts or timestamps."""
+    if dict(turns.dtypes)[col] == "string":
+        return moment(F.col(col))
+    micros = F.unix_micros(F.col(col).cast("timestamp"))
+    return F.when(micros.isNotNull(), F.struct(micros.alias("micros"), F.lit(False).alias("zoned"))).cast(MOMENT)
 
 
 def _step(config: BufferConfig, detector: Detector) -> Callable[[Column, Column], Column]:
@@ -86,22 +94,37 @@ def _step(config: BufferConfig, detector: Detector) -> Callable[[Column, Column]
 
 
 def fold(turns: DataFrame, config: BufferConfig = BUFFER, estimator: Estimator = chars, detector: Detector = no_split) -> DataFrame:
-    """session_id, state (buffer left, segments) of each session of ``turns`` (session_id, turn_idx, role, content, ts_raw)."""
-    ts = F.try_to_timestamp("ts_raw") if dict(turns.dtypes)["ts_raw"] == "string" else F.col("ts_raw").cast("timestamp")
-    turn = F.struct(F.col("turn_idx").cast("long").alias("turn_idx"), "role", "content", F.col("ts_raw").cast("string").alias("ts_raw"), ts.alias("ts"), estimator(F.col("content")).alias("tokens"))
+    """session_id, state (buffer left, segments) of each session of ``turns`` (session_id, turn_idx, role, content, ts_raw).
+
+    Null content counts as empty, a null role as ``user``.
+    """
+    content = F.coalesce("content", F.lit(""))
+    turn = F.struct(F.col("turn_idx").cast("long").alias("turn_idx"), F.coalesce("role", F.lit("user")).alias("role"), content.alias("content"), F.col("ts_raw").cast("string").alias("ts_raw"), moment_of(turns).alias("ts"), F.coalesce(estimator(content), F.lit(0)).cast("long").alias("tokens"))
     whole = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     start = F.struct(F.array().cast(f"array<{TURN}>").alias("buffer"), F.lit(0).cast("long").alias("checked"), F.lit(0).cast("long").alias("flushes"), F.array().cast(STATE.split("segments:")[1][:-1]).alias("segments")).cast(STATE)
     return whole.select("session_id", F.aggregate("turns", start, _step(config, detector)).alias("state"))
 
 
-def cells(folded: DataFrame, estimator: Estimator = chars, first_id: int = 0) -> DataFrame:
-    """One row a segment: ids in order, link to the one before, bounds, rendered text and its tokens."""
+def boundary_lines(turns: Column) -> Column:
+    """Numbered turns as a boundary model sees them; unknown roles count as ``user``."""
+    return F.array_join(F.transform(turns, lambda t, k: F.concat((k + 1).cast("string"), F.lit(". "), render(known_role(t["role"]), t["content"]))), "\n")
+
+
+def cells(folded: DataFrame, estimator: Estimator = chars, known: DataFrame | None = None) -> DataFrame:
+    """One row a segment: ids in order, link to the one before, bounds, rendered text and its tokens.
+
+    With ``known`` (session_id, cell_id) numbers go on from the largest of a session's ids.
+    """
     rows = folded.select("session_id", F.posexplode("state.segments").alias("pos", "s"))
+    first_id = F.lit(0)
+    if known is not None:
+        rows = rows.join(next_cell_number(known), "session_id", "left")
+        first_id = F.coalesce(F.col("next") - 1, F.lit(0))
     text = F.array_join(F.transform("s.turns", lambda t: render(t["role"], t["content"])), "\n")
     rows = rows.select(
         "session_id", (F.col("pos") + 1 + first_id).cast("long").alias("cell_seq"), F.format_string("C_%03d", (F.col("pos") + 1 + first_id).cast("int")).alias("cell_id"), F.col("s.flush_id").alias("flush_id"), F.col("s.reason").alias("reason"),
         F.when(F.col("s.reason") == "hard", "fragmented").otherwise("fact").alias("cell_type"), F.size("s.turns").cast("long").alias("n_turns"),
-        F.element_at("s.turns", 1)["ts_raw"].alias("timestamp_start"), F.element_at("s.turns", -1)["ts_raw"].alias("timestamp_end"), F.element_at("s.turns", 1)["turn_idx"].alias("first_turn"), text.alias("raw_text"),
+        F.element_at("s.turns", 1)["ts_raw"].alias("timestamp_start"), F.element_at("s.turns", -1)["ts_raw"].alias("timestamp_end"), F.element_at("s.turns", 1)["turn_idx"].alias("first_turn"), F.element_at("s.turns", -1)["turn_idx"].alias("last_turn"), text.alias("raw_text"),
     )
     rows = rows.withColumn("token_count", estimator(F.col("raw_text")))
     return rows.withColumn("linked_prev", F.lag("cell_id").over(Window.partitionBy("session_id").orderBy("cell_seq")))

@@ -17,7 +17,8 @@ from ..operators import cells as C
 from ..operators import evaluate as E
 from ..operators import retrieval as R
 from ..operators import segment as S
-from ..sources.tables import conversation_turns, event_turns, table
+from ..sources.store import Table, scratch
+from ..sources.tables import conversation_frames, conversation_turns, event_turns, save, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,21 +118,21 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of documents, and of every query for every session."""
+    """Vectors of documents, and of every query (each goes to every session)."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    docs = table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("session_id"), F.col("doc_id").alias("cell_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("cell_id"))
     vectors = docs.join(v, F.col("cell_id") == F.col("vec_id")).drop("vec_id")
-    asked = benchmark_queries(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-    return vectors, docs.select("session_id").distinct().crossJoin(F.broadcast(asked))  # sessions x queries, both short lists
+    return vectors, benchmark_queries(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
 
 
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, asked = document_vectors(spark, sf_dir)
-    return R.vector_route(asked, vectors).withColumn("session_id", F.concat(F.lit("src"), F.col("session_id")))
+    return R.vector_route(asked, vectors)
 
 
 def fused(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
-    return R.fuse([R.keyword_route(benchmark_queries(spark, sf_dir), cells), vector_hits(spark, sf_dir)])
+    vectors, asked = document_vectors(spark, sf_dir)
+    return R.hybrid(benchmark_queries(spark, sf_dir), cells, vectors, asked)
 
 
 def activated(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
@@ -169,9 +170,11 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_turns(spark, sf_dir).groupBy("session_id").agg(F.sum(T.chars(F.col("content"))).alias("chars"), F.sum(T.chars_div_4(F.col("content"))).alias("chars_div_4"))
 
 
-@query("rewrite_trigger", "SELECT item_id AS query_id, length(text) < 10 OR " + " OR ".join(f"contains(lower(text), '{p}')" for p in T.PRONOUNS) + " AS rewrite FROM benchmark")
+@query("rewrite_trigger", """SELECT item_id AS query_id, length(text) < 10 OR regexp_matches(lower(text), '这|那|刚才|之前|它|他|她|this|that|it|he|she|they|them|these|those') AS rewrite FROM
+(SELECT item_id, CASE item_id % 5 WHEN 0 THEN '刚才说的东西在哪里可以找到呢' WHEN 1 THEN 'sum up our joyous road' WHEN 2 THEN '之前说好的计划到底怎样了啊呀' ELSE text END AS text FROM benchmark)""")
 def rewrite_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_queries(spark, sf_dir).select("query_id", T.needs_rewrite(F.col("query"), T.chars(F.col("query")), RETRIEVAL.rewrite_below).alias("rewrite"))
+    text = F.when(F.col("query_id") % 5 == 0, "刚才说的东西在哪里可以找到呢").when(F.col("query_id") % 5 == 1, "sum up our joyous road").when(F.col("query_id") % 5 == 2, "之前说好的计划到底怎样了啊呀").otherwise(F.col("query"))
+    return benchmark_queries(spark, sf_dir).withColumn("query", text).select("query_id", T.needs_rewrite(F.col("query"), T.chars(F.col("query")), RETRIEVAL.rewrite_below).alias("rewrite"))
 
 
 # Segmentation
@@ -180,8 +183,9 @@ def rewrite_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gap_flags", "SELECT user_id, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE, false) AS gap FROM events")
 def gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select("user_id", "event_id", S.is_gap(before, F.col("ts"), BUFFER.gap_minutes).alias("gap"))
+    e = e.withColumn("moment", S.moment_of(e, "ts"))
+    before = F.lag("moment").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select("user_id", "event_id", S.is_gap(before, F.col("moment"), BUFFER.gap_minutes).alias("gap"))
 
 
 _FOLD = """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) AS n, role, turn, text FROM conversations),
@@ -316,17 +320,20 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.terms_of(benchmark_queries(spark, sf_dir)).select("query_id", F.explode("terms").alias("term"))
 
 
-@query("bm25_stats", f"WITH {_KEYWORD} SELECT session_id, n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df_k d WHERE d.session_id = st_k.session_id) AS n_terms FROM st_k")
+_ALL_CELLS = f"""{_CELLS}, {_TERMS}, asked AS (SELECT * FROM terms WHERE query_id % 20 = 0), {_bm25('cells', 'asked', False, 'a')}"""
+
+
+@query("bm25_stats", f"WITH {_ALL_CELLS} SELECT session_id, n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df_a d WHERE d.session_id = st_a.session_id) AS n_terms FROM st_a")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = C.session_scan(document_cells(spark, sf_dir), RETRIEVAL.keyword_scan)
+    cells = document_cells(spark, sf_dir)
     n = R.postings(cells).filter("token <> ''").groupBy("session_id").agg(F.countDistinct("token").alias("n_terms"))
     return R.corpus_stats(cells).join(n, "session_id").select("session_id", "n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms")
 
 
-@query("bm25_scores", f"WITH {_KEYWORD} SELECT session_id, query_id, cell_id, round(bm25, 6) AS bm25, round(bonus, 6) AS bonus, score FROM score_k")
+@query("bm25_scores", f"WITH {_ALL_CELLS} SELECT session_id, query_id, cell_id, round(bm25, 6) AS bm25, round(bonus, 6) AS bonus, score FROM score_a")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = C.session_scan(document_cells(spark, sf_dir), RETRIEVAL.keyword_scan)
-    return R.bm25(benchmark_queries(spark, sf_dir), cells).select("session_id", "query_id", "cell_id", F.round("bm25", 6).alias("bm25"), F.round("bonus", 6).alias("bonus"), "score")
+    asked = benchmark_queries(spark, sf_dir).filter("query_id % 20 = 0")
+    return R.bm25(asked, document_cells(spark, sf_dir)).select("session_id", "query_id", "cell_id", F.round("bm25", 6).alias("bm25"), F.round("bonus", 6).alias("bonus"), "score")
 
 
 @query("keyword_topk", f"WITH {_KEYWORD} SELECT session_id, query_id, cell_id, rank, score FROM keyword")
@@ -460,6 +467,268 @@ def session_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.lenient_date(text).cast("timestamp_ntz").alias("ts"))
 
 
+# Files, stored tables, streams
+
+
+@query("conversation_file", """WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS text, CASE WHEN turn < 2 THEN 1 WHEN turn < 4 THEN 2 ELSE 10 END AS n FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, n ORDER BY turn) - 1 AS pos FROM t)
+SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_idx, CASE WHEN turn % 5 = 2 THEN 'Ann' ELSE role END AS role, md5(text) AS digest,
+strftime(CASE n WHEN 1 THEN TIMESTAMP '2023-05-07' WHEN 10 THEN TIMESTAMP '2023-05-08 13:56:00' ELSE TIMESTAMP '2023-05-01' END + to_minutes(pos), '%Y-%m-%dT%H:%M:%SZ') AS ts_raw FROM p WHERE text <> ''""")
+def conversation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.when(F.col("turn") < 2, 1).when(F.col("turn") < 4, 2).otherwise(10))
+    speaker = F.when(F.col("turn") % 5 == 2, F.lit(None)).otherwise(F.concat(F.lit(" "), "role", F.lit(" ")))
+    line = F.struct("turn", speaker.alias("speaker"), F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("text")).alias("text"))
+    lists = c.groupBy("conv_id", "n").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    part = F.concat(F.lit('"session_'), F.col("n"), F.lit('": '), F.to_json("lines"))
+    text = F.concat(F.lit('{"speaker_a": "Ann", "session_1_date_time": "7 May 2023", "session_10_date_time": "1:56 pm on 8 May, 2023", '), F.array_join(F.collect_list(part), ", "), F.lit("}"))
+    raw = lists.groupBy("conv_id").agg(text.alias("j")).select(F.col("conv_id").cast("string").alias("sample_id"), F.from_json("j", "map<string, variant>").alias("conversation"), F.array().cast("array<struct<question: string, answer: string>>").alias("qa"))
+    return conversation_frames(raw)[0].select("session_id", "turn_idx", "role", F.md5("content").alias("digest"), "ts_raw")
+
+
+@query("conversation_questions", "SELECT conv_id::VARCHAR AS session_id, 0 AS question_id, text AS question FROM conversations WHERE turn = 0 AND text <> '' UNION ALL SELECT conv_id::VARCHAR, 2, 'why' FROM conversations WHERE turn = 0")
+def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").filter("turn = 0")
+    qa = F.array(*[F.struct(q.alias("question"), F.lit("a").alias("answer")) for q in (F.col("text"), F.lit(""), F.lit("why"))])
+    raw = c.select(F.col("conv_id").cast("string").alias("sample_id"), F.from_json(F.lit("{}"), "map<string, variant>").alias("conversation"), qa.alias("qa"))
+    return conversation_frames(raw)[1].select("session_id", F.col("question_id").cast("int").alias("question_id"), "question")
+
+
+@query("cell_lookup", "SELECT source AS session_id, doc_id AS cell_id, length(text) AS n FROM documents WHERE doc_id % 20 = 0")
+def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("cell_id"), F.length("text").alias("n"))
+    return C.cell_by_id(d, d.filter("cell_id % 20 = 0"))
+
+
+@query("stored_lists", f"WITH {_CELLS} SELECT cell_id, CASE WHEN cell_id % 7 = 0 THEN 0 ELSE len(keywords) END AS n, CASE WHEN cell_id % 7 = 0 THEN '' ELSE array_to_string(entities, '|') END AS entities FROM cells")
+def stored_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = C.encoded(document_cells(spark, sf_dir))
+    broken = F.when(F.col("cell_id") % 14 == 0, F.lit(None).cast("string")).when(F.col("cell_id") % 7 == 0, "[oops")
+    stored = stored.withColumns({c: F.coalesce(F.when(F.col("cell_id") % 7 == 0, F.coalesce(broken, F.lit(""))), F.col(c)) for c in ("keywords", "entities")})
+    rows = C.decoded(stored)
+    return rows.select("cell_id", F.size("keywords").cast("long").alias("n"), F.array_join("entities", "|").alias("entities"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[Table, DataFrame]:
+    t = Table(spark, scratch(spark, "texts"), "texts", "session_id string, cell_id long, raw_text string", ["session_id", "cell_id"])
+    return t, table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("cell_id"), F.substr("text", F.lit(1), F.lit(50)).alias("raw_text"))
+
+
+@query("engine_upsert", "SELECT source AS session_id, doc_id AS cell_id, CASE WHEN doc_id % 6 = 0 THEN 'twice' WHEN doc_id % 3 = 0 THEN 'new ' || substr(text, 1, 50) ELSE substr(text, 1, 50) END AS raw_text FROM documents")
+def engine_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, rows = _texts(spark, sf_dir)
+    t.put(rows)
+    t.put(rows.filter("cell_id % 3 = 0").withColumn("raw_text", F.concat(F.lit("new "), "raw_text")))
+    t.put(rows.filter("cell_id % 6 = 0").withColumn("raw_text", F.lit("twice")))
+    return t.read()
+
+
+@query("engine_delete_readd", "SELECT source AS session_id, doc_id AS cell_id, CASE WHEN source = 'src1' THEN 'again' ELSE substr(text, 1, 50) END AS raw_text FROM documents WHERE (source <> 'src1' AND doc_id % 4 <> 0) OR (source = 'src1' AND doc_id % 5 = 0)")
+def engine_delete_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, rows = _texts(spark, sf_dir)
+    t.put(rows)
+    t.delete(rows.filter("cell_id % 4 = 0").select("session_id", "cell_id"))
+    t.delete(rows.filter("session_id = 'src1'").select("session_id"))
+    t.put(rows.filter("session_id = 'src1' AND cell_id % 5 = 0").withColumn("raw_text", F.lit("again")))
+    return t.read()
+
+
+@query("vector_store", "SELECT label::VARCHAR AS session_id, vec_id AS cell_id, CASE WHEN vec_id % 3 = 0 THEN 64 ELSE 1 END AS d FROM embeddings WHERE vec_id % 5 <> 0")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Table(spark, scratch(spark, "vectors"), "vectors", "session_id string, cell_id long, embedding array<float>", ["session_id", "cell_id"])
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session_id"), F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    t.put(e.withColumn("embedding", F.slice("embedding", 1, 1)))
+    t.put(e.filter("cell_id % 3 = 0"))
+    t.delete(e.filter("cell_id % 5 = 0").select("session_id", "cell_id"))
+    return t.read().select("session_id", "cell_id", F.size("embedding").alias("d"))
+
+
+@query("meta_delete", _META + " SELECT session_id, version FROM m WHERE session_id % 3 <> 0")
+def meta_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metas(spark, sf_dir).select("session_id", "version")
+    return C.deleted(m, m.filter("session_id % 3 = 0"), ["session_id"])
+
+
+@query("cache_merge", "SELECT doc_id AS cell_id, coalesce(b.text, d.text) AS raw_text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id UNION ALL SELECT item_id, text FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents)")
+def cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cell_id"), F.col("text").alias("raw_text"))
+    return C.merged(store, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cell_id"), F.col("text").alias("raw_text")), ["cell_id"])
+
+
+@query("result_dump", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type")
+def result_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.aggregated(table(spark, sf_dir, "events").select("event_type", "value"), "value", ["event_type"]).select("event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    path = scratch(spark, "dump")
+    save(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("stream_cells", ORACLE["segment_cells"])
+def stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's cells of the conversations table, all there is taken at once."""
+    from ..streaming.ingest import ingest
+
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    turns = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_idx"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("ts_raw"))
+    path = scratch(spark, "stream")
+    out = ingest(turns, detector=lambda buffer: [len(buffer)]).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("session_id", "cell_seq", "cell_id", "reason", "cell_type", "n_turns", "first_turn", "token_count", F.md5("raw_text").alias("digest"), "linked_prev")
+
+
+# More of the fold
+
+
+def _half(turns):
+    """A detector: the first buffered turn, then the others."""
+    return F.array(F.lit(1), F.size(turns)).cast("array<int>")
+
+
+_INNER = _FOLD + """, ended AS (SELECT conv_id, seg, max(reason) AS reason FROM f GROUP BY ALL HAVING max(reason) IS NOT NULL),
+parts AS (SELECT f.conv_id, f.seg, t.turn, t.role, t.text, e.reason = 'soft' AND row_number() OVER (PARTITION BY f.conv_id, f.seg ORDER BY t.turn) > 1 AS later FROM f JOIN ended e ON e.conv_id = f.conv_id AND e.seg = f.seg JOIN t ON t.conv_id = f.conv_id AND t.k = f.k),
+inner_cells AS (SELECT conv_id AS session_id, seg AS flush_id, row_number() OVER (PARTITION BY conv_id ORDER BY seg, later) AS cell_seq, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn, string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn) AS raw_text FROM parts GROUP BY conv_id, seg, later)"""
+
+
+@query("segment_inner_cuts", _INNER + " SELECT session_id, flush_id, cell_seq, n_turns, first_turn, last_turn, md5(raw_text) AS digest FROM inner_cells")
+def segment_inner_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.cells(S.fold(conversation_turns(spark, sf_dir), detector=_half)).select("session_id", "flush_id", "cell_seq", "n_turns", "first_turn", "last_turn", F.md5("raw_text").alias("digest"))
+
+
+@query("meta_flushes", _INNER + """, r AS (SELECT session_id, flush_id, cell_seq, lower(k) AS keyword, pos FROM (SELECT session_id, flush_id, cell_seq, unnest(l) AS k, generate_subscripts(l, 1) AS pos FROM (SELECT *, regexp_extract_all(raw_text, '[\\x{4e00}-\\x{9fa5}a-zA-Z0-9]+') AS l FROM inner_cells)) WHERE length(k) >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id, cell_seq ORDER BY n DESC, first_pos) AS rank FROM (SELECT session_id, flush_id, cell_seq, keyword, count(*) AS n, min(pos) AS first_pos FROM r GROUP BY ALL)),
+d AS (SELECT session_id, flush_id, keyword, min(struct_pack(s := cell_seq, r := rank)) AS place, min(CASE WHEN rank <= 5 THEN struct_pack(s := cell_seq, r := rank) END) AS e_place FROM k WHERE rank <= 8 GROUP BY ALL),
+w AS (SELECT session_id, flush_id, list(keyword ORDER BY place)[1:8] AS keywords, list(keyword ORDER BY e_place) FILTER (WHERE e_place IS NOT NULL)[1:5] AS entities FROM d GROUP BY ALL)
+SELECT c.session_id, row_number() OVER (PARTITION BY c.session_id ORDER BY c.flush_id) AS version, sum(c.n) OVER (PARTITION BY c.session_id ORDER BY c.flush_id)::BIGINT AS n_linked, array_to_string(w.keywords, '|') AS keywords, array_to_string(w.entities, '|') AS entities
+FROM (SELECT session_id, flush_id, count(*) AS n FROM inner_cells GROUP BY ALL) c JOIN w USING (session_id, flush_id)""")
+def meta_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = C.with_fallbacks(S.cells(S.fold(conversation_turns(spark, sf_dir), detector=_half)), "raw_text", ["session_id", "cell_id"])
+    return C.digests_of(cells).select("session_id", "version", F.size("linked_cells").cast("long").alias("n_linked"), F.array_join("keywords", "|").alias("keywords"), F.array_join("entities", "|").alias("entities"))
+
+
+_GAPS = ORACLE["gap_cells"].split("SELECT user_id AS session_id")[0]
+
+
+@query("segment_bounds", _GAPS + "SELECT f.user_id AS session_id, f.seg AS cell_seq, min_by(f.ts, f.k) AS timestamp_start, max_by(f.ts, f.k) AS timestamp_end FROM f GROUP BY ALL HAVING bool_or(cut) OR max(total) >= 2048")
+def segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.cells(S.fold(event_turns(spark, sf_dir))).select("session_id", "cell_seq", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("timestamp_start", "timestamp_end")])
+
+
+@query("meta_bounds", _GAPS + """, s AS (SELECT f.user_id, f.seg, min_by(f.ts, f.k) AS a, max_by(f.ts, f.k) AS b FROM f GROUP BY ALL HAVING bool_or(cut) OR max(total) >= 2048)
+SELECT user_id AS session_id, seg AS version, CASE WHEN seg = 1 THEN a END AS timestamp_start, b AS timestamp_end FROM s""")
+def meta_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = C.with_fallbacks(S.cells(S.fold(event_turns(spark, sf_dir))), "raw_text", ["session_id", "cell_id"])
+    return C.meta_versions(cells).select("session_id", "version", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("timestamp_start", "timestamp_end")])
+
+
+@query("gap_mixed_stamps", """WITH RECURSIVE e AS (SELECT user_id, event_id, date_trunc('second', ts) AS ts, (event_id // 3) % 6 AS form, CASE WHEN event_id % 4 = 0 THEN 0 ELSE length(event_type) END AS n FROM events),
+t AS (SELECT user_id, CASE WHEN form < 4 THEN ts WHEN form = 4 THEN date_trunc('day', ts) END AS ts, form IN (1, 2) AS zoned, n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e),
+f AS (SELECT user_id, k, ts, zoned, n AS total, false AS cut, 1 AS seg FROM t WHERE k = 1
+  UNION ALL SELECT t.user_id, t.k, t.ts, t.zoned, CASE WHEN f.cut OR f.total >= 2048 THEN 0 ELSE f.total END + t.n, coalesce(NOT (f.cut OR f.total >= 2048) AND t.zoned = f.zoned AND t.ts - f.ts > INTERVAL 30 MINUTE, false), f.seg + (f.cut OR f.total >= 2048)::INT FROM f JOIN t ON t.user_id = f.user_id AND t.k = f.k + 1)
+SELECT user_id AS session_id, seg AS cell_seq, count(*) AS n_turns FROM f GROUP BY ALL HAVING bool_or(cut) OR max(total) >= 2048""")
+def gap_mixed_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as ISO texts of several kinds, with and without zones, and junk; some contents are null."""
+    e = event_turns(spark, sf_dir)
+    ts, form = F.col("ts_raw").cast("timestamp_ntz"), F.floor(F.col("turn_idx") / 3) % 6
+
+    def text(shift: str, pattern: str):
+        return F.date_format(ts + F.expr(shift), pattern)
+
+    no, plain = "INTERVAL 0 HOUR", "yyyy-MM-dd'T'HH:mm:ss"
+    raw = (
+        F.when(form == 0, text(no, plain)).when(form == 1, F.concat(text(no, plain), F.lit("Z"))).when(form == 2, F.concat(text("INTERVAL 8 HOUR", plain + ".SSS"), F.lit("+08:00")))
+        .when(form == 3, text(no, "yyyyMMdd'T'HHmmss")).when(form == 4, text(no, "yyyy-MM-dd")).otherwise(F.lit("soon"))
+    )
+    raw = F.when(form == 2, F.regexp_replace(raw, r"\.\d+", "")).otherwise(raw)
+    turns = e.withColumns({"content": F.when(F.col("turn_idx") % 4 != 0, F.col("content")), "ts_raw": raw})
+    return S.cells(S.fold(turns)).select("session_id", "cell_seq", "n_turns")
+
+
+@query("hot_zone_lines", _FOLD + """, last AS (SELECT conv_id, max(seg) AS seg FROM f GROUP BY conv_id),
+o AS (SELECT f.conv_id, f.seg, f.k, max(f.reason) OVER (PARTITION BY f.conv_id, f.seg) IS NULL AS open FROM f)
+SELECT o.conv_id AS session_id, md5(coalesce(string_agg('[' || t.role || ']: ' || t.text, chr(10) ORDER BY t.k) FILTER (WHERE o.open), '')) AS digest FROM o JOIN last l ON l.conv_id = o.conv_id AND l.seg = o.seg JOIN t ON t.conv_id = o.conv_id AND t.k = o.k GROUP BY o.conv_id""")
+def hot_zone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hot_zone(S.fold(conversation_turns(spark, sf_dir), detector=S.split_all)).select("session_id", F.md5(F.array_join("hot_zone", "\n")).alias("digest"))
+
+
+@query("resumed_ids", _CONV_CELLS + " SELECT session_id, printf('C_%03d', cell_seq + CASE WHEN session_id % 2 = 0 THEN 7 ELSE 0 END) AS cell_id, cell_seq + CASE WHEN session_id % 2 = 0 THEN 7 ELSE 0 END AS cell_seq FROM segs")
+def resumed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_turns(spark, sf_dir)
+    known = turns.select("session_id").distinct().filter("session_id % 2 = 0").withColumn("cell_id", F.explode(F.array(F.lit("C_002"), F.lit("C_007"), F.lit("other"))))
+    return S.cells(S.fold(turns, detector=S.split_all), known=known).select("session_id", "cell_id", "cell_seq")
+
+
+@query("boundary_lines", "SELECT conv_id AS session_id, md5(string_agg(k || '. [' || CASE WHEN turn % 3 = 0 THEN 'user' ELSE role END || ']: ' || text, chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id")
+def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("turn_idx") % 3 == 0, "narrator").otherwise(F.col("role"))
+    turns = conversation_turns(spark, sf_dir).withColumn("role", role)
+    listed = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "role", "content"))).alias("t"))
+    return listed.select("session_id", F.md5(S.boundary_lines(F.col("t"))).alias("digest"))
+
+
+@query("extraction_replies", f"""WITH {_CELLS} SELECT cell_id, CASE cell_id % 4 WHEN 0 THEN 'task' ELSE 'fact' END AS cell_type, CASE cell_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence,
+CASE WHEN cell_id % 4 = 0 THEN 'S' || cell_id ELSE left(array_to_string(list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')[1:3], ' '), 200) END AS summary,
+CASE WHEN cell_id % 4 IN (0, 2) THEN 'a|b' ELSE array_to_string(keywords, '|') END AS keywords FROM cells""")
+def extraction_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("cell_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit('```json\n{"summary": "S'), F.col("cell_id"), F.lit('", "keywords": ["a", "b"], "cell_type": "task", "confidence": 0.9}\n```'))).when(k == 1, "no idea").when(k == 2, '{"summary": "", "keywords": ["a", "b"], "cell_type": "poem", "confidence": "high"}').otherwise("{}")
+    rows = C.from_replies(document_cells(spark, sf_dir).withColumn("reply", reply), "reply")
+    return rows.select("cell_id", "cell_type", "confidence", "summary", F.array_join("keywords", "|").alias("keywords"))
+
+
+# The whole retrieval
+
+
+@query("hybrid_retrieve", f"""WITH {_EXPANDED}, stamps AS (SELECT *, CASE WHEN cell_id % 3 > 0 THEN '2024-01-' || lpad((cell_id % 28 + 1)::VARCHAR, 2, '0') END AS a, CASE WHEN cell_id % 2 > 0 THEN '2024-02' END AS b FROM cells),
+x AS (SELECT ch.session_id, ch.query_id, row_number() OVER (PARTITION BY ch.session_id, ch.query_id ORDER BY a NULLS LAST, activation, cell_seq) AS position, CASE WHEN a IS NULL AND b IS NULL THEN '' ELSE '[' || coalesce(a, 'unknown') || ' - ' || coalesce(b, 'unknown') || ']' || chr(10) END || raw_text AS text FROM chosen ch JOIN stamps s USING (session_id, cell_id)),
+p AS (SELECT session_id, query_id, count(*) AS n_cells, string_agg(text, chr(10) || chr(10) ORDER BY position) AS texts FROM x GROUP BY ALL)
+SELECT session_id, query_id, n_cells, md5(CASE WHEN session_id <> 'src1' THEN 'digest of ' || session_id || chr(10) || chr(10) ELSE '' END || 'open 1' || chr(10) || chr(10) || 'open 2' || chr(10) || chr(10) || texts || chr(10) || chr(10) || text) AS digest FROM p JOIN benchmark ON item_id = query_id""")
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both routes, selection, expansion, order of time, digest and open turns in one plan."""
+    k = F.col("cell_id")
+    stamps = {"timestamp_start": F.when(k % 3 > 0, F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))), "timestamp_end": F.when(k % 2 > 0, "2024-02")}
+    cells = document_cells(spark, sf_dir).withColumns(stamps).withColumns({"cell_type": F.lit("fact"), "token_count": F.length("raw_text")})
+    vectors, asked = document_vectors(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
+    found = R.retrieve(queries, cells, vectors, asked)
+    sessions = cells.select("session_id").distinct()
+    zone = sessions.withColumn("hot_zone", F.array(F.lit("open 1"), F.lit("open 2")))
+    meta = sessions.filter("session_id <> 'src1'").withColumn("raw_text", F.concat(F.lit("digest of "), "session_id"))
+    pairs = found.select("session_id", "query_id").distinct().join(queries, "query_id")
+    return R.contexts(found, cells, pairs, zone, meta).select("session_id", "query_id", F.size("cell_texts").cast("long").alias("n_cells"), F.md5("prompt").alias("digest"))
+
+
+@query("wide_retrieve", f"""WITH {_KEYWORD}, wide AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, query_id ORDER BY score DESC, cell_seq) AS place FROM score_k) WHERE place <= 100)
+SELECT session_id, query_id, count(*) AS n FROM wide GROUP BY ALL""")
+def wide_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A least score that no first cell of one route reaches: every query takes the wide top."""
+    from dataclasses import replace
+
+    rows = R.hybrid(benchmark_queries(spark, sf_dir), document_cells(spark, sf_dir), config=replace(RETRIEVAL, min_score=0.5))
+    return rows.groupBy("session_id", "query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Totals
+
+_TOTALS = """SELECT count(*) AS total_qas, coalesce(round(avg(value), 6), 0) AS avg_session_mem_latency_ms, coalesce(round(quantile_cont(value, 0.5), 6), 0) AS median_session_mem_latency_ms,
+coalesce(list_sort(list(value))[least(floor(0.95::DOUBLE * count(*)), count(*) - 1)::BIGINT + 1], 0) AS p95_session_mem_latency_ms, coalesce(round(avg(event_id), 6), 0)::DOUBLE AS avg_session_mem_tokens, round(avg(CASE WHEN event_id % 3 > 0 THEN value / 100 END), 6) AS avg_session_mem_judge_score FROM events"""
+
+
+def _totals(spark: SparkSession, sf_dir: str, keep: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter(keep)
+    rows = e.select(F.col("value").alias("session_mem_latency_ms"), F.col("event_id").alias("session_mem_tokens"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 100).alias("session_mem_judge_score"))
+    return E.totals(rows).select("total_qas", *[F.round(c, 6).alias(c) for c in ("avg_session_mem_latency_ms", "median_session_mem_latency_ms", "avg_session_mem_tokens", "avg_session_mem_judge_score")], "p95_session_mem_latency_ms")
+
+
+@query("evaluation_totals", _TOTALS)
+def evaluation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(spark, sf_dir, "true")
+
+
+@query("evaluation_totals_empty", _TOTALS + " WHERE false")
+def evaluation_totals_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(spark, sf_dir, "false")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns to cells to BM25 to the five best cells of every query."""
     cells = C.with_fallbacks(conversation_cells(spark, sf_dir), "raw_text", ["session_id", "cell_id"])

@@ -30,7 +30,12 @@ def conversation_files(spark: SparkSession, path: str, max_sessions: int | None
     if not head.isEmpty():
         raise ValueError("conversation files must hold a JSON array")
     schema = "sample_id STRING, conversation MAP<STRING, VARIANT>, qa ARRAY<STRUCT<question: STRING, answer: STRING>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).filter("conversation IS NOT NULL").withColumn("order_", F.monotonically_increasing_id())
+    return conversation_frames(spark.read.schema(schema).option("multiLine", True).json(path), max_sessions, max_turns, max_qa)
+
+
+def conversation_frames(raw: DataFrame, max_sessions: int | None = None, max_turns: int | None = None, max_qa: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Turns and questions of rows with sample_id, conversation (a map of variants) and qa."""
+    raw = raw.filter("conversation IS NOT NULL").withColumn("order_", F.monotonically_increasing_id())
     if max_sessions is not None:
         raw = raw.orderBy("order_").limit(max_sessions)
     entries = raw.select(F.col("sample_id").alias("session_id"), "conversation", F.explode("conversation").alias("key", "value")).filter(F.col("key").rlike(r"^session_\d+$"))
@@ -40,7 +45,7 @@ def conversation_files(spark: SparkSession, path: str, max_sessions: int | None
     rows = entries.select("session_id", number.alias("n"), lenient_date(date).alias("date"), F.try_variant_get(F.try_element_at("conversation", F.lit("speaker_a")), "$", "string").alias("first_speaker"), F.posexplode(lines).alias("pos", "t"))
     rows = rows.filter(F.coalesce(F.col("t.text"), F.lit("")) != "")
     turns = rows.select(
-        "session_id", F.struct("n", "pos").alias("place"), F.coalesce(strip(F.col("t.speaker")), F.col("first_speaker")).alias("role"), F.col("t.text").alias("content"),
+        "session_id", F.struct("n", "pos").alias("place"), F.coalesce(F.when(strip(F.col("t.speaker")) != "", strip(F.col("t.speaker"))), F.when(F.col("first_speaker") != "", F.col("first_speaker")), F.lit("user")).alias("role"), F.col("t.text").alias("content"),
         F.date_format(F.col("date") + F.make_interval(mins=F.col("pos")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts_raw"),
     )
     from pyspark.sql import Window

@@ -32,6 +32,55 @@ def test_engine(spark, tmp_path):
     engine.delete_sessions(queries.filter("session_id = 's1'"))
     assert engine.cells().filter("session_id = 's1'").count() == 0 and engine.metas().filter("session_id = 's1'").count() == 0
     assert engine.cells().filter("session_id = 's2'").count() > 0
+    engine.add_turn("s1", "user", "back again")
+    assert [(r.turn_idx, r.content) for r in engine.turns().filter("session_id = 's1'").collect()] == [(0, "back again")]
+
+
+def models():
+    class Model:
+        """Stands for a service; what it was asked is told by its replies."""
+
+        def chat(self, messages, **options):
+            task, text = messages[0]["content"], messages[-1]["content"]
+            if task.startswith("Describe"):
+                return json.dumps({"summary": f"S {len(text)}", "keywords": ["kept"], "entities": ["e1"], "cell_type": "task", "confidence": 0.8})
+            if task.startswith("Rewrite"):
+                return "flooring of the studio, please" if "Question: it" in text else ""
+            return "0.5" if task.startswith("Grade") else "an answer"
+
+        def embed(self, texts):
+            return [[float("flooring" in t), float("budget" in t)] for t in texts]
+
+    def embed(rows, text, vector):
+        from engramspark.seams import embed_column
+
+        return embed_column(rows, text, vector, Model)
+
+    return Model, embed
+
+
+def test_engine_with_models_and_store(spark, tmp_path):
+    Model, embed = models()  # noqa: N806
+    engine = fill(spark, tmp_path / "m", client=Model, embed=embed)
+    before = {(r.session_id, r.cell_id): (r.summary, r.cell_type, r.confidence) for r in engine.cells().collect()}
+    engine.save()
+    engine.save()  # nothing new
+    assert before and engine.tables["cells"].read().count() == len(before) == engine.tables["vectors"].read().count()
+    engine.client = None
+    assert {(r.session_id, r.cell_id): (r.summary, r.cell_type, r.confidence) for r in engine.cells().collect()} == before
+    assert engine.tables["metas"].read().filter("status = 'active'").count() == 2
+    assert engine.cell(spark.createDataFrame([("s1", "C_001")], "session_id string, cell_id string")).count() == 1
+    engine.client = Model
+    queries = spark.createDataFrame([("s1", 1, "it?", "soft")], "session_id string, query_id long, query string, answer string")
+    assert engine.rewritten(queries.drop("answer")).first().query == "flooring of the studio, please"
+    words = spark.createDataFrame([("s1", 1, "zzz flooring zzz zzz")], "session_id string, query_id long, query string")
+    by_vector = engine.activated(words.withColumn("query", F.lit("qqqq wwww rrrr flooringx"))).collect()
+    assert len(by_vector) >= 1  # no keyword matches: the vector route alone
+    row = engine.evaluate(queries, client=Model, judge=Model).first()
+    assert (row.baseline_answer, row.session_mem_judge_score) == ("an answer", 0.5) and row.sliding_latency_ms >= row.sliding_ttft_ms
+    assert row.session_mem_activated_cell_count == len(row.activated_cells) > 0 and row.activated_cells[0].cell_type == "fragmented"
+    engine.delete("vectors", spark.createDataFrame([("s1",)], "session_id string"))
+    assert engine.tables["vectors"].read("s1").count() == 0 < engine.tables["vectors"].read("s2").count()
 
 
 def test_rewriter_only_where_it_is_called_for(spark, tmp_path):
@@ -45,5 +94,5 @@ def test_runner(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"sample_id": "s1", "conversation": {"speaker_a": "Ann", "session_1_date_time": "2023-05-07", "session_1": talk}, "qa": [{"question": "budget turn", "answer": "x"}]}]))
     main(["--input", str(tmp_path / "c.json"), "--output", str(tmp_path / "out")])
     total = spark.read.json(str(tmp_path / "out" / "totals")).first()
-    assert total.questions == 1 and total.avg_baseline_tokens > total.avg_memory_tokens > 0
-    assert "questions: 1" in spark.read.text(str(tmp_path / "out" / "report")).first().value + "".join(r.value for r in spark.read.text(str(tmp_path / "out" / "report")).collect())
+    assert total.total_qas == 1 and total.avg_baseline_tokens > total.avg_session_mem_tokens > 0
+    assert "total_qas: 1" in spark.read.text(str(tmp_path / "out" / "report")).first().value + "".join(r.value for r in spark.read.text(str(tmp_path / "out" / "report")).collect())

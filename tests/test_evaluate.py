@@ -77,11 +77,30 @@ def test_judged_answers(spark):
         def embed(self, texts):
             return []
 
-    from engramspark.seams import judged
+    from engramspark.seams import answered, judged
 
     rows = spark.createDataFrame([("p", "", "t")], "full string, memory string, truth string")
-    got = judged(rows, {"full": "full", "memory": "memory"}, "truth", Client).first()
-    assert (got.full_answer, got.full_score, got.memory_answer) == ("an answer", 0.5, "")
+    for m in ("full", "memory"):
+        rows = judged(answered(rows, m, m, Client), m, "truth", Client)
+    got = rows.first()
+    assert (got.full_answer, got.full_judge_score, got.memory_answer, got.memory_judge_score, got.memory_latency_ms) == ("an answer", 0.5, "", None, 0.0)
+    assert got.full_latency_ms == got.full_ttft_ms >= 0
+
+
+def test_boundaries_by_a_client():
+    from engramspark.seams import boundary_detector
+
+    class Client:
+        def chat(self, messages, **options):
+            text = messages[-1]["content"]
+            if "boom" in text:
+                raise RuntimeError
+            return "Sure: [9, 2, 1]" if text.startswith("1. [user]: a\n2. [user]: b") else "never"
+
+    detect = boundary_detector(Client)
+    assert detect([(0, "narrator", "a", None), (1, "user", "b", None)]) == [1, 2]
+    assert detect([]) == [] and detect([(0, "user", "boom", None)]) == [] and detect([(0, "user", "x", None)]) == []
+    assert detect([(0, "user", "x" * 9000, None)]) == [1] and detect([(0, "user", "x" * 3000, None)] * 3) == [2]
 
 
 def test_http_client():

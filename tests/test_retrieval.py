@@ -62,13 +62,16 @@ def test_neighbours(spark):
     assert [(r.cell_id, r.distance) for r in R.knn(q, v, 5).orderBy("rank").collect()] == [(1, 0.0), (2, sqrt(1024))]
     assert [r.cell_id for r in R.vector_route(q, v).collect()] == [1]
     assert R.knn(q.limit(0), v, 5).collect() == []
+    texts = spark.createDataFrame([("a", "x", [1.0, 2.0]), ("a", "y", None), ("b", "z", [0.0, 0.0])], "session_id string, cell_id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [0.0, 0.0]), ("r", None)], "query_id string, embedding array<float>")
+    assert sorted((r.session_id, r.query_id, r.cell_id) for r in R.knn(asked, texts, 3).collect()) == [("a", "q", "x"), ("b", "q", "z")]
 
 
 def test_query_blocks_give_the_same(spark, monkeypatch):
     v = spark.createDataFrame([(i % 2, i, [float(i * k % 7) for k in range(4)]) for i in range(60)], "session_id long, cell_id long, embedding array<float>")
     q = v.withColumnRenamed("cell_id", "query_id")
     one = sorted(map(tuple, R.knn(q, v, 3).collect()))
-    monkeypatch.setattr(R, "QUERY_BLOCK_NUMBERS", 20)
+    monkeypatch.setattr(R, "BLOCK", 7)
     assert sorted(map(tuple, R.knn(q, v, 3).collect())) == one
 
 
@@ -110,6 +113,8 @@ def test_metas(spark):
     rows = spark.createDataFrame([("s", 1, 1, "C_001", "A", ["k1", "k2"], ["e1"]), ("s", 2, 2, "C_002", "", ["k2"], []), ("s", 2, 3, "C_003", "C", ["k3", "k2"], ["e2"])], "session_id string, flush_id long, cell_seq long, cell_id string, summary string, keywords array<string>, entities array<string>")
     got = C.meta_versions(rows).orderBy("version").collect()
     assert [(r.meta_id, r.status, r.linked_cells, r.raw_text, r.keywords, r.entities) for r in got] == [("M_001", "archived", ["C_001"], "A", ["k1", "k2"], ["e1"]), ("M_002", "active", ["C_001", "C_002", "C_003"], "A C", ["k2", "k3"], ["e2"])]
+    with pytest.raises(ValueError, match="needs cells"):
+        C.digests_of(rows.limit(0))
     assert [r.version for r in C.active_meta(C.meta_versions(rows)).collect()] == [2]
 
 
