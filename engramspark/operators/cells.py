@@ -27,9 +27,9 @@ def with_fallbacks(rows: DataFrame, text_col: str, keys: list[str]) -> DataFrame
 
 def from_replies(rows: DataFrame, reply_col: str) -> DataFrame:
     """``rows`` (with fallbacks) overridden by an extractor's JSON replies; confidence 0.3 where nothing parses."""
-    v = lenient_json(F.col(reply_col))
-    parsed = F.from_json(F.to_json(v), REPLY)
-    empty = v.isNull() | (F.to_json(v).isin("{}", "[]"))
+    # A column each, so that a reply is parsed once.
+    rows = rows.withColumn("json_", F.to_json(lenient_json(F.col(reply_col)))).withColumn("parsed_", F.from_json("json_", REPLY))
+    parsed, empty = F.col("parsed_"), F.col("json_").isNull() | F.col("json_").isin("{}", "[]")
 
     def given(name: str) -> Column:
         x = parsed[name]
@@ -39,7 +39,7 @@ def from_replies(rows: DataFrame, reply_col: str) -> DataFrame:
     out["cell_type"] = F.when(empty, "fact").otherwise(cell_type(parsed["cell_type"]))
     out["confidence"] = F.when(empty, 0.3).otherwise(F.coalesce(parsed["confidence"].try_cast("double"), F.lit(0.5)))
     out["causal_deps"] = F.coalesce(parsed["causal_deps"], F.array().cast("array<string>"))
-    return rows.withColumns(out)
+    return rows.withColumns(out).drop("json_", "parsed_")
 
 
 def entity_links(cells: DataFrame) -> DataFrame:

@@ -64,7 +64,6 @@ def test_engine_with_models_and_store(spark, tmp_path):
     engine = fill(spark, tmp_path / "m", client=Model, embed=embed)
     before = {(r.session_id, r.cell_id): (r.summary, r.cell_type, r.confidence) for r in engine.cells().collect()}
     engine.save()
-    engine.save()  # nothing new
     assert before and engine.tables["cells"].read().count() == len(before) == engine.tables["vectors"].read().count()
     engine.client = None
     assert {(r.session_id, r.cell_id): (r.summary, r.cell_type, r.confidence) for r in engine.cells().collect()} == before
