@@ -30,8 +30,8 @@ DIVISOR, REMAINDER = 7, 2
 STATES, OWN, SHARED, DICTIONARY = 12, 2048, 1024, 1 << 18
 #: Training ends when a round gains less than TOLERANCE of the log-likelihood; ROUNDS only stops one that never does.
 ROUNDS, TOLERANCE, SEED = 200, 1e-5, 7
-#: Documents of more than WHOLE tokens are computed in windows, BATCH of them at a time; the counts do not depend on it.
-WINDOW, BATCH, WHOLE = 64, 512, 1024
+#: Documents of more than WHOLE tokens are computed in windows; CELLS tokens at a time.  The counts do not depend on these.
+WINDOW, CELLS, WHOLE = 64, 1 << 17, 1024
 END = 0  # the id of the end; words have their 64-bit hash
 _CLASSES = OWN + SHARED
 
@@ -145,7 +145,7 @@ def _products(model: Model, windows: np.ndarray) -> np.ndarray:
     return m / m.max((1, 2), keepdims=True)
 
 
-def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = CELLS // WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, transitions and emissions, and the log-likelihood, of whole sequences.
 
     ``windows`` are rows of classes, padded with the number of classes; ``first`` marks those that open a
@@ -197,7 +197,7 @@ def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WIND
     return out, first
 
 
-def batched(sequences: list[np.ndarray], cells: int = BATCH * WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batched(sequences: list[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows of sequences of like length: short ones whole, a row each; those beyond WHOLE classes cut."""
     long = [s for s in sequences if len(s) > WHOLE]
     if long:
@@ -237,7 +237,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
 
             def add() -> None:
                 for windows, first in batched(held):
-                    out.__iadd__(_packed(*expected(model, windows, first, max(1, BATCH * WINDOW // windows.shape[1]))))
+                    out.__iadd__(_packed(*expected(model, windows, first, max(1, CELLS // windows.shape[1]))))
 
             for b in batches:
                 for x in b.column(0).to_pylist():
