@@ -107,42 +107,57 @@ def _within(model: Model, windows: np.ndarray, x: np.ndarray, end: np.ndarray):
     n, steps = windows.shape
     k, classes = len(model.start), len(model.emit) - 1
     move, ones = model.move.astype(np.float32), np.ones(k, np.float32)
-    flat = windows.T.ravel()
-    emit = model.emit.astype(np.float32)[flat].reshape(steps, n, k)
-    alpha, scale = np.empty_like(emit), np.empty((steps, n), np.float32)
-    x = x.astype(np.float32)
+    back, table = np.ascontiguousarray(move.T), np.ascontiguousarray(model.emit.T, np.float32)
+    said = np.ascontiguousarray(windows.T)
+    # States before windows, so that every operation runs along the windows.
+    emit, alpha = np.empty((steps, k, n), np.float32), np.empty((steps, k, n), np.float32)
+    scale = np.empty((steps, n), np.float32)
+    x = np.ascontiguousarray(x.T, np.float32)
     for t in range(steps):
-        x = x * emit[t]
-        scale[t] = x @ ones
-        x /= scale[t][:, None]
-        alpha[t] = x
-        x = x @ move
-    emit /= scale[:, :, None]
-    beta = np.empty_like(emit)
-    beta[-1] = end / ((alpha[-1] * end) @ ones)[:, None]
+        e, a, s = emit[t], alpha[t], scale[t]
+        np.take(table, said[t], axis=1, out=e, mode="clip")
+        np.multiply(x, e, out=a)
+        np.matmul(ones, a, out=s)
+        r = 1 / s
+        a *= r
+        e *= r
+        np.matmul(back, a, out=x)
+    last = alpha[-1].T.copy()
+    beta = np.ascontiguousarray(end.T, np.float32)
+    beta = beta / (ones @ (alpha[-1] * beta))
+    trans = np.zeros((k, k))
+    padded = said >= classes
+    some = padded.any(1)
     for t in range(steps - 1, 0, -1):
-        emit[t] *= beta[t]
-        np.matmul(emit[t], move.T, out=beta[t - 1])
-    opening, last = emit[0] * beta[0], alpha[-1].copy()
-    emit[(windows >= classes).T] = 0
-    trans = (alpha[:-1].reshape(-1, k).T @ emit[1:].reshape(-1, k)).astype(float)
-    alpha *= beta  # now the states' probabilities
-    weights = alpha.reshape(-1, k)
-    emissions = np.stack([np.bincount(flat, weights[:, j], classes + 1)[:classes] for j in range(k)], 1)
-    return alpha[0], trans, emissions, float(np.log(scale, dtype=np.float64).sum()), last, opening
+        e = emit[t]
+        e *= beta
+        alpha[t] *= beta  # now the states' probabilities
+        beta = move @ e
+        if some[t]:
+            e[:, padded[t]] = 0
+        trans += alpha[t - 1] @ e.T
+    opening = (emit[0] * beta).T
+    alpha[0] *= beta
+    flat = said.ravel()
+    emissions = np.stack([np.bincount(flat, alpha[:, j].ravel(), classes + 1)[:classes] for j in range(k)], 1)
+    return alpha[0].T, trans, emissions, float(np.log(scale, dtype=np.float64).sum()), last, opening
 
 
 def _products(model: Model, windows: np.ndarray) -> np.ndarray:
     """For each window the product of its emissions and transitions, a matrix of states before and after, to any scale."""
     n, steps = windows.shape
     k = len(model.start)
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    m = np.broadcast_to(np.eye(k, dtype=np.float32), (n, k, k))
+    back, table = np.ascontiguousarray(model.move.T, np.float32), np.ascontiguousarray(model.emit.T, np.float32)
+    said = np.ascontiguousarray(windows.T)
+    m = np.ascontiguousarray(np.broadcast_to(np.eye(k, dtype=np.float32)[:, :, None], (k, k, n)))  # after, before, window
+    out = np.empty_like(m)
     for t in range(steps):
-        m = ((m * emit[windows[:, t]][:, None, :]).reshape(-1, k) @ move).reshape(n, k, k)
+        m *= table[:, said[t]][:, None, :]
+        np.matmul(back, m.reshape(k, -1), out=out.reshape(k, -1))
+        m, out = out, m
         if t % 4 == 3:
-            m /= m.max((1, 2), keepdims=True)
-    return m / m.max((1, 2), keepdims=True)
+            m /= m.max((0, 1))
+    return np.ascontiguousarray((m / m.max((0, 1))).transpose(2, 1, 0))
 
 
 def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = CELLS // WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

@@ -17,7 +17,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from functools import cache
+from itertools import islice, product
 from operator import itemgetter
 
 import numpy as np
@@ -36,7 +37,10 @@ TRAIN_ROWS = 20_000
 SMOOTHING, LEAST_WEIGHT = 2.0, 1.0
 SHORT, LONGEST = 3, 64  # tokens of up to SHORT characters in a row are decoded as one lattice; longer words than LONGEST are read in pieces
 RUN, RUN_OVERLAP = 256, 64
+#: Runs of up to so many plain tokens, read in as many ways, are decoded only if a word they can hold is evidence; the results are the same.
+PLAIN_RUN = 6
 LETTERS = 27  # 0 is the word's edge
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 #: What a character may stand for.
 STANDS_FOR = {
@@ -54,7 +58,10 @@ _OUTER = "".join(c for c in _EDGES if c not in STANDS_FOR and c not in _ANY)
 _MAYBE = re.compile(f"[{re.escape(''.join(c for c in _EDGES if c not in _OUTER))}]")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1+")
+_OTHER_SCRIPT, _LATIN = re.compile("[Ͱ-ԯ]"), re.compile("[a-z]")
+_ROW = re.compile(r"(.)\1*")
 _BAR = re.compile(r"[*#]{4,}")
+_SHORT_RUN = re.compile(rb"\x01{2,}")
 _HASH = (1 << 62) - 1
 _WILDCARD = [(chr(96 + k), k, _WILD) for k in range(1, LETTERS)]
 #: Readings of one character: letter or nothing, its folded number, cost.
@@ -63,6 +70,11 @@ Arcs = list[tuple[str, int, float]]
 Path = tuple[float, int, tuple | None]
 
 
+def single(word: str) -> str:
+    """A word without letters like the one before."""
+    return "".join([c for c, before in zip(word, "\n" + word) if c != before])
+
+
 def _cheapest(paths: list[Path], best: int) -> list[Path]:
     """The cheapest paths of different texts."""
     if best == 1:
@@ -76,6 +88,7 @@ def _cheapest(paths: list[Path], best: int) -> list[Path]:
     return list(out.values())
 
 
+@cache  # one entry a character
 def fold(c: str) -> int:
     """1 to 26 for a letter under any accent, 0 for anything else."""
     x = ord(unicodedata.normalize("NFKD", c)[0])
@@ -331,13 +344,15 @@ class Restorer:
             return [r for k in range(0, len(word) - LONGEST // 2, LONGEST // 2) for r in self.readings(word[k : k + LONGEST])]
         core = word.strip(_EDGES)
         if core.isascii() and core.isalpha():
-            odd = len(core) < len(word) and _MAYBE.search(word) or _TRIPLE.search(core)
+            doubled = _DOUBLE.search(core)
+            odd = len(core) < len(word) and _MAYBE.search(word) or doubled and _TRIPLE.search(core)
         else:
             plain = unicodedata.normalize("NFKC", _HIDDEN.sub("", word))
-            if any("Ͱ" <= c <= "ԯ" for c in plain) and any("a" <= c <= "z" for c in plain):
+            if _OTHER_SCRIPT.search(plain) and _LATIN.search(plain):
                 plain = plain.translate(LOOK_ALIKE)
             core = plain.strip(_EDGES)
-            odd = (not core.isalpha() or _TRIPLE.search(core) or _MAYBE.search(plain)) and (any(map(fold, core)) or len(_MAYBE.findall(plain)) > 2)
+            doubled = _DOUBLE.search(core)
+            odd = (not core.isalpha() or doubled and _TRIPLE.search(core) or _MAYBE.search(plain)) and (any(map(fold, core)) or len(_MAYBE.findall(plain)) > 2)
             word = plain
         out = [core]
         if odd:
@@ -345,9 +360,9 @@ class Restorer:
             word = word.strip(_OUTER)
             for masked in (False, True) if not _ANY.isdisjoint(word) else (False,):
                 out += self.tail(core, word, masked)
-            out += [_DOUBLE.sub(r"\1", x) for x in out[1:]]
-        elif _DOUBLE.search(core):
-            out.append(_DOUBLE.sub(r"\1", core))
+            out += map(single, out[1:])
+        elif doubled:
+            out.append(single(core))
         return out
 
     def words(self, text: str) -> Iterator[list[str]]:
@@ -359,18 +374,13 @@ class Restorer:
             yield self.run(tokens)
 
 
-class _Cores(dict):
+def _core(word: str) -> str:
     """A word without the marks at its ends that are no letters, if it is short; else nothing."""
+    core = word.strip(_OUTER) or word
+    return core if len(core) <= SHORT or len(core.strip(_EDGES) or core) <= SHORT else ""
 
-    def __missing__(self, word: str) -> str:
-        core = word.strip(_OUTER) or word
-        x = core if len(core.strip(_EDGES) or core) <= SHORT else ""
-        if len(word) <= 64:
-            self[word] = x
-        return x
 
-
-_CORES = _Cores()
+_CORES: dict[str, str] = {}
 
 
 def short_runs(words: list[str]) -> set[tuple[str, ...]]:
@@ -381,17 +391,46 @@ def short_runs(words: list[str]) -> set[tuple[str, ...]]:
     if len(_CORES) > 300_000:
         _CORES.clear()
     out = set()
-    for short, cores in groupby(map(_CORES.__getitem__, words), bool):
-        whole = tuple(cores) if short else ()
+    cores = list(map(_CORES.get, words))
+    if None in cores:
+        for k, w in enumerate(words):
+            if cores[k] is None:
+                cores[k] = _core(w)
+                if len(w) <= LONGEST:
+                    _CORES[w] = cores[k]
+    for m in _SHORT_RUN.finditer(bytes(map(bool, cores))):
+        whole = tuple(cores[m.start() : m.end()])
         for k in range(0, max(1, len(whole) - RUN_OVERLAP), RUN - RUN_OVERLAP):
             run = whole[k : k + RUN]
-            if len(run) > 1 and any(map(fold, "".join(run))):
+            if len(run) > 1 and run not in out and ("a" <= run[0][0] <= "z" or any(map(fold, "".join(run)))):
                 out.add(run)
-                # Marks at the ends may be letters, or only marks.
-                out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
+                if run[0][0] in _EDGES or run[-1][-1] in _EDGES:  # marks at the ends may be letters, or only marks
+                    out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
     return out
 
 
+def plain_words(run: tuple[str, ...]) -> list[str] | None:
+    """Every word that the lattice of a run can hold, if its tokens are few and letters alone; else None.
+
+    Such a lattice only chooses where words end, and which of like letters in a row count, so what none of
+    these words tells, its decoding cannot tell.
+    """
+    if len(run) > PLAIN_RUN or not "".join(run).isalpha():
+        return None
+    runs = [run]
+    if any(map(_DOUBLE.search, run)):
+        runs = list(islice(product(*map(_said, run)), PLAIN_RUN + 1))
+        if len(runs) > PLAIN_RUN:
+            return None
+    return ["".join(r[a:b]) for r in runs for a in range(len(r)) for b in range(a + 1, len(r) + 1)]
+
+
+def _said(token: str) -> list[str]:
+    """A token with each row of like letters at every length from one."""
+    rows = [[m[0][:n] for n in range(1, len(m[0]) + 1)] for m in _ROW.finditer(token)]
+    return ["".join(x) for x in product(*rows)]
+
+
 def spaced(words: list[str], least: int = 4) -> list[str]:
     """Runs of ``least`` or more words of one character each (the last may carry marks), joined; also without an end."""
     one = np.fromiter(map(len, words), np.int64, len(words)) == 1
@@ -413,24 +452,58 @@ def features(readings: list[str]) -> list[int]:
     for r in readings:
         if r:
             out.append(xxhash.xxh3_64_intdigest(r) - (1 << 63))
-            out += [xxhash.xxh3_64_intdigest("^" + r[:n]) - (1 << 63) for n in (4, 5, 6, 7, 8) if len(r) >= n]
+            out += beginnings(r)
     return out
 
 
+def beginnings(reading: str) -> list[int]:
+    return [xxhash.xxh3_64_intdigest("^" + reading[:n]) - (1 << 63) for n in BEGINNINGS if len(reading) >= n]
+
+
 class Scorer:
     """Scores of texts; remembers the weights of words seen, in two generations."""
 
-    def __init__(self, costs: np.ndarray, weights: dict[int, float], beta: np.ndarray | None, most: int = 300_000):
-        self.restorer, self.weights, self.beta, self.most = Restorer(costs), weights, beta, most
+    def __init__(self, costs: np.ndarray, weights: dict[int, float], beta: np.ndarray | None, most: int = 600_000):
+        self.restorer, self.beta, self.most = Restorer(costs), beta, most
+        self.weight = {f + (1 << 63): w for f, w in weights.items()}
+        self.heads: dict[str, float] = {}  # the greatest weight of a word's beginnings
         self.young: dict[str | tuple[str, ...], float] = {}
         self.old: dict[str | tuple[str, ...], float] = {}
 
+    def strongest(self, readings: list[str]) -> float:
+        """The greatest weight that any feature of ``readings`` has; 0 without evidence."""
+        best, weight, heads, digest = 0.0, self.weight.get, self.heads, xxhash.xxh3_64_intdigest
+        for r in readings:
+            if not r:
+                continue
+            x = weight(digest(r))
+            if x is not None and x > best:
+                best = x
+            if len(r) >= BEGINNINGS[0]:
+                head = "^" + r[: BEGINNINGS[-1]]
+                x = heads.get(head)
+                if x is None:
+                    if len(heads) > self.most // 2:
+                        heads.clear()
+                    x = heads[head] = max([weight(digest(head[: n + 1]), 0.0) for n in BEGINNINGS if n < len(head)])
+                if x > best:
+                    best = x
+        return best
+
     def found(self, word: str | tuple[str, ...]) -> float:
         """The weight of a word, or of the strongest word in a run of short tokens; 0 without evidence."""
         x = self.old.get(word)
         if x is None:
-            readings = self.restorer.readings(word) if isinstance(word, str) else self.restorer.run(word)
-            x = max((self.weights.get(f, 0.0) for f in features(readings)), default=0.0)
+            if isinstance(word, str):
+                core = word.strip(_OUTER) or word  # read alike, if not in pieces
+                if core == word or len(word) > LONGEST:
+                    x = self.strongest(self.restorer.readings(word))
+                else:
+                    x = self.young.get(core)
+                    x = self.found(core) if x is None else x
+            else:
+                plain = plain_words(word)
+                x = 0.0 if plain and not self.strongest(plain) else self.strongest(self.restorer.run(word))
         if len(word) <= LONGEST:
             self.young[word] = x
         return x
@@ -442,13 +515,11 @@ class Scorer:
             self.old, self.young = self.young, {}
         words, young = text.lower().split(), self.young
         different = set(words)
-        hits = []
-        for w in (*different, *spaced(words), *short_runs(words)):
-            x = young.get(w)
-            if x is None:
-                x = self.found(w)
-            if x > 0:
-                hits.append(x)
+        asked = [*different, *spaced(words), *short_runs(words)]
+        got = list(map(young.get, asked))
+        hits = [x for x in got if x]
+        if None in got:
+            hits += [x for x in (self.found(w) for w, x in zip(asked, got, strict=True) if x is None) if x]
         p = float(1 / (1 + np.exp(-np.clip(summary(hits, len(different)) @ self.beta, -30, 30))))
         return p if hits else p / 2  # no evidence, no verdict
 
@@ -494,7 +565,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
             if x:
                 found += x
         for tokens in short_runs(words):
-            found += pick(features(restorer.run(tokens)))
+            plain = plain_words(tokens)
+            if plain is None or pick(features(plain)):
+                found += pick(features(restorer.run(tokens)))
         return len(different), found
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
