@@ -95,7 +95,7 @@ def fold(c: str) -> int:
     return x - 96 if 97 <= x <= 122 else 19 if c == "ß" else 0
 
 
-_CODES = np.zeros(256, np.int64)
+_CODES = np.zeros(256, np.int32)
 _CODES[97:123] = np.arange(1, 27)
 
 
@@ -105,11 +105,13 @@ def letter_counts(texts: list[bytes]) -> np.ndarray:
     if not joined.isascii():
         joined = unicodedata.normalize("NFKD", joined.decode("utf-8", "replace").lower().replace("ß", "s")).encode("ascii", "ignore")
     d = _CODES[np.frombuffer(joined, np.uint8)]
-    c, b, a = np.r_[0, d[:-1]], np.r_[0, 0, d[:-2]], np.r_[0, 0, 0, d[:-3]]
-    b = np.where(c > 0, b, 0)
-    a = np.where(b > 0, a, 0)
-    used = (d > 0) | (c > 0)
-    return np.bincount((((a * LETTERS + b) * LETTERS + c) * LETTERS + d)[used], minlength=LETTERS**4)
+    c, b, a = np.zeros_like(d), np.zeros_like(d), np.zeros_like(d)
+    c[1:], b[2:], a[3:] = d[:-1], d[:-2], d[:-3]
+    b *= c > 0
+    a *= b > 0
+    counts = np.bincount(((a * LETTERS + b) * LETTERS + c) * LETTERS + d, minlength=LETTERS**4)
+    counts[0] = 0  # between words
+    return counts
 
 
 def count_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -565,9 +567,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
             if x:
                 found += x
         for tokens in short_runs(words):
-            plain = plain_words(tokens)
-            if plain is None or pick(features(plain)):
-                found += pick(features(restorer.run(tokens)))
+            x = young.get(tokens)
+            if x is None:
+                plain = plain_words(tokens)
+                x = pick(features(restorer.run(tokens))) if plain is None or pick(features(plain)) else []
+                if len(tokens) <= LONGEST:
+                    young[tokens] = x
+            found += x
         return len(different), found
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
