@@ -568,12 +568,14 @@ def stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.ingest import ingest
 
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    # A pattern, since a stream takes a single file only by one; where the table is a folder, it stands for its files.
+    c = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")
     turns = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_idx"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("ts_raw"))
     path = scratch(spark, "stream")
-    out = ingest(turns, detector=lambda buffer: [len(buffer)]).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    cells = ingest(turns, detector=lambda buffer: [len(buffer)])
+    out = cells.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     out.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("session_id", "cell_seq", "cell_id", "reason", "cell_type", "n_turns", "first_turn", "token_count", F.md5("raw_text").alias("digest"), "linked_prev")
+    return spark.read.schema(cells.schema).parquet(f"{path}/out").select("session_id", "cell_seq", "cell_id", "reason", "cell_type", "n_turns", "first_turn", "token_count", F.md5("raw_text").alias("digest"), "linked_prev")
 
 
 # More of the fold

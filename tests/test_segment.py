@@ -106,3 +106,16 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, batch.select(got.columns).collect()), key=repr)
+
+
+def test_stream_cells_of_a_file_a_folder_and_an_empty_table(spark, tmp_path):
+    from engramspark.plans.queries import QUERIES
+
+    rows = spark.createDataFrame([(1 + k % 3, k, "user", "x" * 900) for k in range(30)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/conversations.parquet")
+    rows.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one/conversations.parquet")
+    want, *got = (sorted(map(tuple, QUERIES[q](spark, f"{tmp_path}/{d}").collect()), key=repr) for q, d in (("segment_cells", "many"), ("stream_cells", "many"), ("stream_cells", "one")))
+    assert want and got == [want, want]
+    assert not QUERIES["stream_cells"](spark, f"{tmp_path}/none").collect()
