@@ -67,13 +67,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/engramspark/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, a folder for each value of its last columns ``by``, and read it again.
 
     Cuts the lineage: what follows survives lost executors without computing ``df`` anew.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

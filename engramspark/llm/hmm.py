@@ -8,11 +8,13 @@ the words beyond a fixed dictionary are joined.
 
 Baum-Welch starts from a seeded random model around the counts of all training documents; every round runs
 over all of them until it converges: partitions sum expected counts of states, transitions and emissions of
-whole documents.  Scoring is exact: the scaled forward recursion over the whole sequence, end included, times the words' probabilities in their classes.
+whole documents.  A round goes block by block (by a hash of the document), and the model is fitted anew after
+each block to the latest counts of all blocks (incremental EM), which takes fewer rounds.  Scoring is exact: the scaled forward recursion over the whole sequence, end included, times the words' probabilities in their classes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +31,9 @@ from .training import partition_sum
 DIVISOR, REMAINDER = 7, 2
 STATES, OWN, SHARED, DICTIONARY = 12, 2048, 1024, 1 << 18
 #: Training ends when a round gains less than TOLERANCE of the log-likelihood; ROUNDS only stops one that never does.
-ROUNDS, TOLERANCE, SEED = 200, 1e-5, 7
-#: Documents of more than WHOLE tokens are computed in windows; CELLS tokens at a time.  The counts do not depend on these.
-WINDOW, CELLS, WHOLE = 64, 1 << 17, 1024
+ROUNDS, TOLERANCE, SEED, BLOCKS = 200, 1e-5, 7, 8
+#: Documents are computed in windows of WINDOW tokens, WIDE documents in step, HELD tokens at a time.  The counts do not depend on these.
+WINDOW, WIDE, HELD = 32, 2048, 4_000_000
 END = 0  # the id of the end; words have their 64-bit hash
 _CLASSES = OWN + SHARED
 
@@ -96,114 +98,111 @@ class Model:
         return Model(start, move, np.r_[emit / emit.sum(0), np.ones((1, emit.shape[1]))])
 
 
-def _within(model: Model, windows: np.ndarray, x: np.ndarray, end: np.ndarray):
-    """Forward and backward over windows (rows of classes, padded with the number of classes).
+def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, transitions and emissions, and the log-likelihood, of whole sequences.
+
+    ``windows`` are rows of classes, padded with the number of classes; ``first`` marks those that open a
+    sequence (all of them if None), the others go on where the row before ends.  ``chunk`` sequences of like
+    length go in step.  The forward pass keeps the states' distribution before each window alone; the backward
+    one computes a window's forward vectors again from it, so memory is that of one window of ``chunk``
+    sequences and one small vector for each other window, and the counts are those of the uncut sequences.
+    """
+    n, k, classes = len(windows), len(model.start), len(model.emit) - 1
+    heads = np.arange(n) if first is None else np.flatnonzero(first)
+    sizes = np.diff(np.r_[heads, n])
+    order = np.argsort(-sizes, kind="stable")
+    # Each class's emissions are divided by the largest, so that two steps never leave the range of 32 bits.
+    most = model.emit.max(1)
+    move, table = np.ascontiguousarray(model.move, np.float32), np.ascontiguousarray((model.emit / most[:, None]).T, np.float32)
+    start, trans, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes + 1)), 0.0
+    for a in range(0, len(order), chunk):
+        some = order[a : a + chunk]
+        s, t, e, ll = _in_step(model.start, move, table, windows, heads[some], sizes[some])
+        start += s
+        trans += t
+        emissions += e
+        likelihood += ll
+    emissions = np.ascontiguousarray(emissions[:, :classes].T)
+    return start, trans * model.move, emissions, likelihood + float(emissions.sum(1) @ np.log(most[:classes]))
+
 
-    ``x``: the state's distribution before each window's first class; ``end``: the likelihood of all that
-    follows its last class, to any scale.  Gives the states' probabilities at the first class, expected
-    transitions and emissions, the log-likelihood, the forward vector at the last class, and the backward
-    one at the first with its emission.
+def _forward(x: np.ndarray, emit: np.ndarray, alpha: np.ndarray, back: np.ndarray, factor: np.ndarray | None = None) -> np.ndarray:
+    """The forward recursion through a window, from ``x`` (states x sequences): what comes after it.
+
+    ``emit`` and ``alpha`` are states x steps x sequences; every second ``alpha`` and the last are scaled to a
+    sum of 1, and ``factor`` (steps x sequences) gets by what.
     """
-    n, steps = windows.shape
-    k, classes = len(model.start), len(model.emit) - 1
-    move, ones = model.move.astype(np.float32), np.ones(k, np.float32)
-    back, table = np.ascontiguousarray(move.T), np.ascontiguousarray(model.emit.T, np.float32)
-    said = np.ascontiguousarray(windows.T)
-    # States before windows, so that every operation runs along the windows.
-    emit, alpha = np.empty((steps, k, n), np.float32), np.empty((steps, k, n), np.float32)
-    scale = np.empty((steps, n), np.float32)
-    x = np.ascontiguousarray(x.T, np.float32)
+    steps = emit.shape[1]
+    x, ones = x.copy(), np.ones(len(x), np.float32)
     for t in range(steps):
-        e, a, s = emit[t], alpha[t], scale[t]
-        np.take(table, said[t], axis=1, out=e, mode="clip")
-        np.multiply(x, e, out=a)
-        np.matmul(ones, a, out=s)
-        r = 1 / s
-        a *= r
-        e *= r
+        a = alpha[:, t]
+        np.multiply(x, emit[:, t], out=a)
+        if t % 2 or t == steps - 1:
+            r = 1 / (ones @ a)
+            a *= r
+            if factor is not None:
+                factor[t] = r
         np.matmul(back, a, out=x)
-    last = alpha[-1].T.copy()
-    beta = np.ascontiguousarray(end.T, np.float32)
-    beta = beta / (ones @ (alpha[-1] * beta))
-    trans = np.zeros((k, k))
-    padded = said >= classes
-    some = padded.any(1)
-    for t in range(steps - 1, 0, -1):
-        e = emit[t]
-        e *= beta
-        alpha[t] *= beta  # now the states' probabilities
-        beta = move @ e
-        if some[t]:
-            e[:, padded[t]] = 0
-        trans += alpha[t - 1] @ e.T
-    opening = (emit[0] * beta).T
-    alpha[0] *= beta
-    flat = said.ravel()
-    emissions = np.stack([np.bincount(flat, alpha[:, j].ravel(), classes + 1)[:classes] for j in range(k)], 1)
-    return alpha[0].T, trans, emissions, float(np.log(scale, dtype=np.float64).sum()), last, opening
-
-
-def _products(model: Model, windows: np.ndarray) -> np.ndarray:
-    """For each window the product of its emissions and transitions, a matrix of states before and after, to any scale."""
-    n, steps = windows.shape
-    k = len(model.start)
-    back, table = np.ascontiguousarray(model.move.T, np.float32), np.ascontiguousarray(model.emit.T, np.float32)
-    said = np.ascontiguousarray(windows.T)
-    m = np.ascontiguousarray(np.broadcast_to(np.eye(k, dtype=np.float32)[:, :, None], (k, k, n)))  # after, before, window
-    out = np.empty_like(m)
-    for t in range(steps):
-        m *= table[:, said[t]][:, None, :]
-        np.matmul(back, m.reshape(k, -1), out=out.reshape(k, -1))
-        m, out = out, m
-        if t % 4 == 3:
-            m /= m.max((0, 1))
-    return np.ascontiguousarray((m / m.max((0, 1))).transpose(2, 1, 0))
+    return x
 
 
-def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = CELLS // WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, transitions and emissions, and the log-likelihood, of whole sequences.
+def _in_step(opening: np.ndarray, move: np.ndarray, table: np.ndarray, windows: np.ndarray, heads: np.ndarray, sizes: np.ndarray):
+    """The counts of some sequences: ``heads`` are their first windows, ``sizes`` how many they have, most first.
 
-    ``windows`` are rows of classes, padded with the number of classes; ``first`` marks those that open a
-    sequence (all of them if None), the others go on where the row before ends.  The states at the seams
-    come from products of the windows' matrices, so the counts are those of the uncut sequences, while
-    memory is that of ``chunk`` windows and one small matrix for each.
+    States before sequences, so that every operation runs along the sequences.
     """
-    n, k = len(windows), len(model.start)
-    first = np.ones(n, bool) if first is None else first
-    x, end = np.tile(model.start, (n, 1)), np.ones((n, k), np.float32)
-    if not first.all():
-        product = np.concatenate([_products(model, windows[a : a + chunk]) for a in range(0, n, chunk)])
-        heads = np.flatnonzero(first)
-        sizes = np.diff(np.r_[heads, n])
-        for j in range(1, sizes.max()):  # the j-th window of all sequences that have one
-            w = heads[sizes > j] + j
-            v = np.einsum("ni,nij->nj", x[w - 1], product[w - 1])
-            x[w] = v / v.sum(1, keepdims=True)
-        ahead = np.ones((n, k))
-        for j in range(1, sizes.max()):  # from the ends
-            w = (heads + sizes - j)[sizes > j]
-            v = np.einsum("nij,nj->ni", product[w], ahead[w])
-            ahead[w - 1] = v / v.max(1, keepdims=True)
-        inner = np.r_[~first[1:], False]
-        end[inner] = ahead[inner] @ model.move.T
-    start, trans, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit) - 1, k)), 0.0
-    before = None
-    for a in range(0, n, chunk):
-        p, t, e, ll, last, opening = _within(model, windows[a : a + chunk], x[a : a + chunk], end[a : a + chunk])
-        opens = first[a : a + chunk]
-        start += p[opens].sum(0, dtype=float)
-        seams = np.r_[last[:1] if before is None else before[None, :], last[:-1]]
-        trans += t + seams[~opens].T @ opening[~opens]
-        emissions += e
-        likelihood += ll
-        before = last[-1]
-    return start, trans * model.move, emissions, likelihood
+    k, steps, pad = len(move), windows.shape[1], table.shape[1] - 1
+    back, ones = np.ascontiguousarray(move.T), np.ones(k, np.float32)
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # how many have a window j
+    start, trans, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, pad + 1)), 0.0
+    space = [np.empty(k * steps * active[0], np.float32) for _ in range(3)]
+
+    def said(j: int) -> tuple[np.ndarray, ...]:
+        """The classes of window j, steps x sequences, and states x steps x sequences: their emissions, room for two more."""
+        n = active[j]
+        out = np.ascontiguousarray(windows[heads[:n] + j].T, np.intp)
+        e, *free = (x[: k * steps * n].reshape(k, steps, n) for x in space)
+        return out, np.take(table, out, axis=1, out=e, mode="clip"), *free
+
+    before = [np.repeat(opening.astype(np.float32)[:, None], active[0], 1)]
+    for j in range(sizes[0] - 1):
+        _, emit, alpha, _ = said(j)
+        x = _forward(before[-1], emit, alpha, back)
+        before.append(np.ascontiguousarray(x[:, : active[j + 1]]))
+    after, seam = np.ones((k, 0), np.float32), np.ones((k, 0), np.float32)
+    for j in range(sizes[0] - 1, -1, -1):
+        n = active[j]
+        classes, emit, alpha, beta = said(j)
+        factor = np.ones((steps, n), np.float32)
+        _forward(before.pop(), emit, alpha, back, factor)
+        emit *= factor
+        trans += alpha[:, -1, : seam.shape[1]] @ seam.T
+        beta[:, -1] = np.concatenate([after, np.ones((k, n - after.shape[1]), np.float32)], 1)
+        beta[:, -1] /= ones @ (alpha[:, -1] * beta[:, -1])
+        for t in range(steps - 1, 0, -1):
+            np.multiply(emit[:, t], beta[:, t], out=emit[:, t])
+            np.matmul(move, emit[:, t], out=beta[:, t - 1])
+        emit[:, 0] *= beta[:, 0]
+        after = move @ emit[:, 0]
+        padded = classes == pad
+        if padded.any():
+            emit *= ~padded
+        trans += alpha[:, :-1].reshape(k, -1) @ emit[:, 1:].reshape(k, -1).T
+        seam = emit[:, 0].copy()
+        alpha *= beta  # now the states' probabilities
+        if j == 0:
+            start += alpha[:, 0].sum(1, dtype=float)
+        flat = classes.ravel()
+        for state in range(k):
+            emissions[state] += np.bincount(flat, alpha[state].ravel(), pad + 1)
+        likelihood -= float(np.log(factor, dtype=np.float64).sum())
+    return start, trans, emissions, likelihood
 
 
 def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Sequences cut to padded windows, and which of them open a sequence."""
     many = [-(-len(s) // window) for s in sequences]
-    out, first = np.full((sum(many), window), classes, np.int64), np.zeros(sum(many), bool)
+    out, first = np.full((sum(many), window), classes, np.uint16), np.zeros(sum(many), bool)
     k = 0
     for s, m in zip(sequences, many, strict=True):
         out[k : k + m].ravel()[: len(s)] = s
@@ -212,16 +211,10 @@ def cut(sequences: list[np.ndarray], classes: int = _CLASSES, window: int = WIND
     return out, first
 
 
-def batched(sequences: list[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of sequences of like length: short ones whole, a row each; those beyond WHOLE classes cut."""
-    long = [s for s in sequences if len(s) > WHOLE]
-    if long:
-        yield cut(long)
-    short = sorted((s for s in sequences if len(s) <= WHOLE), key=len, reverse=True)
-    while short:
-        m = max(1, cells // len(short[0]))
-        yield cut(short[:m], window=len(short[0]))
-        short = short[m:]
+def batched(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of whole sequences, the longest first, so that those in step have like lengths."""
+    if sequences:
+        yield cut(sorted(sequences, key=len, reverse=True))
 
 
 def _packed(start, move, emit, likelihood: float) -> np.ndarray:
@@ -236,14 +229,17 @@ def first_model(unigram: np.ndarray, states: int, seed: int) -> Model:
 
 
 def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """``encoded`` has classes (little-endian 16 bits) of the training documents, ``unigram`` their counts.
+    """``encoded`` has classes (little-endian 16 bits) and blocks of the training documents, ``unigram`` the classes' counts.
 
     Every round runs over all of them, until the log-likelihood gains less than TOLERANCE of itself.
     """
     model, before = first_model(unigram, states, seed), -np.inf
-    rows = encoded.select("classes")
+    rows = [encoded.filter(F.col("block") == k).select("classes") for k in range(BLOCKS)]
     shape = (2 + states + _CLASSES, states)
-    for _ in range(rounds):
+    # Before a block's turn its counts are its share of those of the first model.
+    each = unigram.sum() / states
+    parts = [_packed(model.start * unigram[0], model.move * each, model.emit[:-1] * each, 0.0) / BLOCKS] * BLOCKS
+    for turn in range(rounds * BLOCKS):
 
         def of(batches, model=model) -> np.ndarray:
             out = np.zeros(shape)
@@ -252,25 +248,27 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
 
             def add() -> None:
                 for windows, first in batched(held):
-                    out.__iadd__(_packed(*expected(model, windows, first, max(1, CELLS // windows.shape[1]))))
+                    out.__iadd__(_packed(*expected(model, windows, first)))
 
             for b in batches:
                 for x in b.column(0).to_pylist():
-                    held.append(np.frombuffer(x, "<u2").astype(np.int64))
+                    held.append(np.frombuffer(x, "<u2"))
                     size += len(held[-1])
-                    if size > 500_000:
+                    if size > HELD:
                         add()
                         held.clear()
                         size = 0
             add()
             return out
 
-        s = partition_sum(rows, shape, of)
-        likelihood = s[-1, 0]
+        parts[turn % BLOCKS] = partition_sum(rows[turn % BLOCKS], shape, of)
+        s = np.sum(parts, 0)
         model = Model.from_counts(s[0], s[1 : 1 + states], s[1 + states : -1])
-        if likelihood - before <= TOLERANCE * abs(likelihood):
-            break
-        before = likelihood
+        if turn % BLOCKS == BLOCKS - 1:
+            likelihood = s[-1, 0]
+            if likelihood - before <= TOLERANCE * abs(likelihood):
+                break
+            before = likelihood
     return model
 
 
@@ -296,12 +294,12 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, dictionary: tuple[np.ndarray, np.ndarray, np.ndarray], divisor: int, remainder: int) -> DataFrame:
-    """Each document as classes; sums over its dictionary words; its other words, each once with its count.  Materialised.
+    """Each document as classes; sums over its dictionary words; its other words, each once with its count; its block (-1 if held out).  Materialised, a folder for each block.
 
     ``dictionary``: ids, counts and classes of the most frequent words, by id.
     """
     ids, counts, classes = dictionary
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_all double, log_shared double, classes binary, rare array<long>, times array<int>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_all double, log_shared double, classes binary, rare array<long>, times array<int>, block int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(w): k for k, w in enumerate(ids)}
@@ -321,7 +319,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, dictionary: tuple[np.nda
 
         cache = Places()
         for b in batches:
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in range(11)]
             for doc_id, text, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if len(cache) > 300_000:
                     cache.clear()
@@ -336,13 +334,13 @@ def encode(docs: DataFrame, id_col: str, text_col: str, dictionary: tuple[np.nda
                 rare = np.fromiter((word_id(words[i]) for i in np.flatnonzero(~known).tolist()), np.int64)
                 rare, times = np.unique(rare, return_counts=True)
                 uid += 1
-                for col, x in zip(out, (uid, doc_id, held, len(cls), len(kk) + end_known, float(log[kk].sum()) + end_log, float(log[kk][classes[kk] >= OWN].sum()), cls.tobytes(), rare, times.astype(np.int32)), strict=True):
+                for col, x in zip(out, (uid, doc_id, held, len(cls), len(kk) + end_known, float(log[kk].sum()) + end_log, float(log[kk][classes[kk] >= OWN].sum()), cls.tobytes(), rare, times.astype(np.int32), -1 if held else zlib.crc32(cls.tobytes()) % BLOCKS), strict=True):
                     col.append(x)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=[x.strip().split(" ")[0] for x in schema.split(",")])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), held_out(F.col(f"`{id_col}`"), divisor, remainder).alias("held"))
-    return materialize(src.mapInArrow(lean(run), schema), "hmm-encoded")
+    return materialize(src.mapInArrow(lean(run), schema), "hmm-encoded", "block")
 
 
 def most_frequent(words: DataFrame, most: int):
@@ -392,7 +390,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     log_mass = np.where(np.arange(_CLASSES) < OWN, 0.0, np.log10(mass))
 
     encoded = encode(docs, id_col, text_col, (ids, counts, classes), divisor, remainder)
-    model = train(encoded.filter(~F.col("held_out")), unigram, states, rounds)
+    model = train(encoded, unigram, states, rounds)
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_all double, log_classes double"
 
@@ -405,7 +403,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
                 got = forward(model, seq) - under + b.column(6).to_numpy()
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(got)], names=[x.strip().split(" ")[0] for x in schema.split(",")])
 
-    main = encoded.drop("rare", "times").mapInArrow(lean(run), schema)
+    main = encoded.drop("rare", "times", "block").mapInArrow(lean(run), schema)
     asked = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     sums = asked.join(words.select("word", "n"), "word").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("times").alias("rare_known"))
     rare = F.coalesce("rare_log", F.lit(0.0))

@@ -531,3 +531,17 @@ def test_long_words_and_runs_are_read_whole():
     r = toxicity.Restorer(toxicity.letter_costs(toxicity.letter_counts([b"you idiot and a fool"] * 50)))
     assert "idiot" in {x for y in r.words("q " * 500 + "zzz y o u i d i o t") for x in y}
     assert any("idiot" in x for x in r.readings("z" * 100 + "1d10t"))
+
+
+def test_single_windows_and_rounds_over_all_blocks(spark):
+    rng = np.random.default_rng(6)
+    k = 3
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), np.r_[rng.dirichlet(np.ones(hmm._CLASSES), k).T, np.ones((1, k))])
+    seqs = [rng.integers(0, hmm._CLASSES, n) for n in (200, 31, 90)]
+    want = hmm.expected(model, *hmm.cut(seqs))
+    for wide in (1, 2):  # one window at a time could not be written to
+        for x, y in zip(hmm.expected(model, *hmm.cut(seqs), wide), want, strict=True):
+            assert np.allclose(x, y, rtol=1e-3, atol=1e-3)
+    rows = [(i, " ".join(rng.choice(["der", "die", "das"] if i % 2 else ["the", "and", "of"], 12))) for i in range(600)]
+    one, more = ([r.score for r in hmm.score(frame(spark, rows), states=3, rounds=n).orderBy("doc_id").collect()] for n in (1, 4))
+    assert sum(more) > sum(one)
