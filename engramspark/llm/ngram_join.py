@@ -280,6 +280,25 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, ids: np.ndarray, component:
                 yield ids[left[i]], ids[right[j]]
 
 
+class Seen:
+    """Pairs that a task has put out, as sorted arrays: 16 bytes a pair, where a set of tuples takes about 200."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most = most
+        self.u = self.v = np.zeros(0, np.int64)
+
+    def fresh(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that were not here before, each once.  Beyond ``most`` the older ones are forgotten, and may come again."""
+        u, v, new = np.r_[self.u, u], np.r_[self.v, v], np.r_[np.zeros(len(self.u), bool), np.ones(len(u), bool)]
+        order = np.lexsort((new, v, u))
+        u, v, new = u[order], v[order], new[order]
+        one = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.zeros(0, bool)
+        u, v, new = u[one], v[one], new[one]
+        out = u[new], v[new]
+        self.u, self.v = (u, v) if len(u) <= self.most else out
+        return out
+
+
 # DataFrames
 
 
@@ -534,16 +553,12 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
     dealt = with_bits.unionByName(plain).repartition(parts, "key").sortWithinPartitions("key", "kind", "token", "x", "y", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # pairs meet at many tokens
+        seen = Seen()  # pairs meet at many tokens
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def out(us: list, vs: list) -> pa.RecordBatch:
-            new = set(zip(np.concatenate(us).tolist(), np.concatenate(vs).tolist(), strict=True)) - seen
-            if len(seen) + len(new) > 1_000_000:
-                seen.clear()
-            seen.update(new)
-            u, v = zip(*new, strict=True) if new else ((), ())
+            u, v = seen.fresh(np.concatenate(us), np.concatenate(vs))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:

@@ -545,3 +545,25 @@ def test_single_windows_and_rounds_over_all_blocks(spark):
     rows = [(i, " ".join(rng.choice(["der", "die", "das"] if i % 2 else ["the", "and", "of"], 12))) for i in range(600)]
     one, more = ([r.score for r in hmm.score(frame(spark, rows), states=3, rounds=n).orderBy("doc_id").collect()] for n in (1, 4))
     assert sum(more) > sum(one)
+
+
+def test_pairs_seen_are_held_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    u, v = rng.integers(-9, 9, 4000), rng.integers(-9, 9, 4000)
+    seen, got = ngram_join.Seen(), []
+    for k in range(0, 4000, 500):
+        got += zip(*(x.tolist() for x in seen.fresh(u[k : k + 500], v[k : k + 500])), strict=True)
+    assert len(got) == len(set(got)) and set(got) == set(zip(u.tolist(), v.tolist(), strict=True))
+    few, got = ngram_join.Seen(50), set()
+    for k in range(0, 4000, 500):
+        got |= set(zip(*(x.tolist() for x in few.fresh(u[k : k + 500], v[k : k + 500])), strict=True))
+    assert got == set(zip(u.tolist(), v.tolist(), strict=True))
+    tracemalloc.start()
+    seen = ngram_join.Seen()
+    for k in range(5):
+        seen.fresh(np.arange(200_000), np.full(200_000, k))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(seen.u) == 1_000_000 and held < 32 << 20
