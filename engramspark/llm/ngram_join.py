@@ -15,7 +15,9 @@
    Two tying rounds look at an eighth of the tokens each and take, for every component, the candidate with
    the most common bits; they tie large groups of near copies together without listing their pairs.  The
    last round takes all tokens and all candidates that are left, so no link is missed.
-5. Candidates of every round are verified on their full sets.
+5. Bitmaps of one width are full for large sets, so candidates of two large sets are tested again by bitmaps
+   of at least two bits a shingle.
+6. Candidates of every round that are left are verified on their full sets.
 
 Classes of one token are cut into blocks; trees of two blocks are traversed against each other, so memory
 is bounded and nothing is left out.  Tokens that the sketch calls very frequent are dealt over salts.
@@ -40,6 +42,8 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 3, 4
 SKETCH_BITS, BITMAP_WORDS, FAN_OUT, BLOCK = 20, 64, 8, 4096
 TYING_ROUNDS, TYING_PARTS, GATHERED = 2, 8, 4096
 HOT_TOKEN, SALTS, BROADCAST_BYTES = 200_000, 32, 24 << 20
+#: Postings name a token by its upper bits; tokens that share them only add candidates.
+TOKEN_SHIFT = np.uint64(16)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,6 +136,25 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """Two to four bits for each shingle, a power of two in all; None where ``bitmap`` has as many."""
+    if 2 * len(s) <= 64 * BITMAP_WORDS:
+        return None
+    width = 1 << (2 * len(s) - 1).bit_length()
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def most_common(x: bytes, x_size: int, y: bytes, y_size: int) -> int:
+    """The largest overlap that two sets with these wide bitmaps can have; the wider one is folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    width = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, width), 0) for v in (a, b))
+    excess = min(x_size - int(np.bitwise_count(a).sum(dtype=np.int64)), y_size - int(np.bitwise_count(b).sum(dtype=np.int64)))
+    return min(int(np.bitwise_count(a & b).sum(dtype=np.int64)) + excess, x_size, y_size)
+
+
 # Signature trees
 
 
@@ -303,16 +326,16 @@ class Seen:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """doc_id, n, hi, lo (128 bits that name the set), cls (64 bits of them), bits of each row; last in each
-    partition a row with the partition's sketch of shingle counts.  Materialised."""
-    schema = "doc_id long, n long, hi long, lo long, cls long, bits binary, sketch binary"
+    """doc_id, n, hi, lo (128 bits that name the set), cls (64 bits of them), bits, wide of each row (wide where the
+    partition has the set first); last in each partition a row with the partition's sketch of shingle counts.  Materialised."""
+    schema = "doc_id long, n long, hi long, lo long, cls long, bits binary, wide binary, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         shingler, seen = Shingler(), set()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         names = [x.strip().split(" ")[0] for x in schema.split(",")]
         for b in batches:
             out: list[list] = [[] for _ in types]
@@ -320,16 +343,18 @@ def sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
             for doc_id, s in zip(b.column(0).to_pylist(), shingler.many(b.column(1).to_pylist()), strict=True):
                 name = xxhash.xxh3_128_digest(s.tobytes())
                 hi, lo = np.frombuffer(name, np.int64).tolist()
+                wide = None
                 if name not in seen:
                     seen.add(name)
                     held.append(s)
-                for col, v in zip(out, (doc_id, len(s), hi, lo, class_id(name, seed), bitmap(s).tobytes(), None), strict=True):
+                    wide = wide_bitmap(s)
+                for col, v in zip(out, (doc_id, len(s), hi, lo, class_id(name, seed), bitmap(s).tobytes(), wide, None), strict=True):
                     col.append(v)
             if held:
                 sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
         if sketch.any():
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, None, zlib.compress(sketch.astype("<u4").tobytes(), 1)), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, None, None, zlib.compress(sketch.astype("<u4").tobytes(), 1)), types, strict=True)], names=names)
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     return materialize(src.mapInArrow(lean(run), schema), "ngram-sets")
@@ -380,7 +405,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, seed: int, counts: np.
                 t, o = np.concatenate(tokens), np.concatenate(owners)
                 salt = np.where(is_hot[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], o % salts + 1, 0).astype(np.int32)
                 for k in range(0, len(t), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(t[k : k + 200_000].view(np.int64)), pa.array(salt[k : k + 200_000]), pa.array(o[k : k + 200_000])], names=["token", "salt", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array((t[k : k + 200_000] >> TOKEN_SHIFT).view(np.int64)), pa.array(salt[k : k + 200_000]), pa.array(o[k : k + 200_000])], names=["token", "salt", "cls"])
 
     text = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     rows = text.mapInArrow(lean(run), "token long, salt int, cls long")
@@ -519,6 +544,30 @@ def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "u long, v long")
 
 
+def wide_possible(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs (u, v) that wide bitmaps leave a link possible, those of two sets without any among them; materialised.
+
+    ``wide``: cls, n, wide of the large sets.  ``pairs`` is a stored table.
+    """
+    asked = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    if 16 * pairs.count() <= BROADCAST_BYTES:  # only the bitmaps that are asked for are sent
+        asked = F.broadcast(asked)
+    wide = wide.join(asked, "cls", "left_semi")
+    u, v = (wide.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in ("u", "v"))
+    rows = pairs.join(v, "v", "left").join(u, "u", "left").select("u", "v", "u_n", "v_n", "u_wide", "v_wide")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            us, vs, *columns = b.columns
+            keep = []
+            for n, m, x, y in zip(*(c.to_pylist() for c in columns), strict=True):
+                keep.append(x is None or y is None or most_common(x, n, y, m) >= -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([us.filter(keep), vs.filter(keep)], names=["u", "v"])
+
+    return materialize(rows.mapInArrow(lean(run), "u long, v long"), "ngram-possible")
+
+
 def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: DataFrame, tying: bool) -> DataFrame:
     """u, v: pairs of classes of different components from the signature trees of the tokens, without those tested.
 
@@ -540,12 +589,15 @@ def candidates(posted: DataFrame, labels: DataFrame, bits: DataFrame, tested: Da
     mixed = mixed.join(load, "main", "left").withColumn("main", F.when(F.col("parts") > 1, F.xxhash64("main", F.pmod(F.xxhash64("token"), F.col("parts")))).otherwise(F.col("main"))).drop("n", "m", "parts")
     single = rows.join(mixed.filter("whole"), "token").select(F.col("main").alias("key"), "token", zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"), "cls", "component")
     # A token in one block is one group.  Of several blocks, each meets each, unless both are of one component.
-    several = rows.join(mixed.filter("NOT whole").select("token"), "token")
+    # Such tokens are few or none, and the rows are not shuffled for them.
+    parted = mixed.filter("NOT whole").select("token")
+    many = parted.count()
+    several = rows.join(F.broadcast(parted) if 8 * many <= BROADCAST_BYTES else parted, "token")
     blocks = several.groupBy("token", "block").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     x, y = F.least("block", "other"), F.greatest("block", "other")
     meets = blocks.join(blocks.select("token", F.col("block").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2")), "token").filter("a <> b OR a2 <> b2 OR a <> a2").select("token", "block", "other")
     several = several.join(meets, ["token", "block"]).select(F.xxhash64("token", x, y).alias("key"), "token", x.alias("x"), y.alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cls", "component")
-    dealt = materialize(single.unionByName(several), "ngram-dealt")
+    dealt = materialize(single.unionByName(several) if many else single, "ngram-dealt")
     null = F.lit(None)
     with_bits = dealt.select("key", "cls").distinct().join(bits, "cls").select("key", F.lit(0).alias("kind"), zero.alias("token"), zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"), "cls", zero.alias("component"), "n", "bits")
     plain = dealt.select("key", F.lit(1).alias("kind"), "token", "x", "y", "side", "cls", "component", zero.alias("n"), null.cast("binary").alias("bits"))
@@ -634,13 +686,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A class has its bits once, whatever the number of its documents.
     bits = members.filter("n > 0").join(posted.select("cls").distinct(), "cls", "left_semi").groupBy("cls", "n", "bits").agg(F.count(F.lit(1)).alias("c")).drop("c")
     bits = materialize(bits, "ngram-bits")
-    done = verified(docs, id_col, text_col, seed, materialize(possible(first, bits), "ngram-first"), owners)
+    wide = materialize(members.filter("wide IS NOT NULL").dropDuplicates(["cls"]).select("cls", "n", "wide"), "ngram-wide")
+    done = verified(docs, id_col, text_col, seed, wide_possible(materialize(possible(first, bits), "ngram-first"), wide), owners)
     labels = connected(done.filter("linked").select("u", "v"))
     for k in range(TYING_ROUNDS + 1):
         tying = k < TYING_ROUNDS
         part = posted.filter(F.pmod(F.xxhash64("token"), F.lit(TYING_PARTS)) == k) if tying else posted
         tested = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         found = materialize(candidates(part, labels.select(F.col("node").alias("cls"), "component"), bits, tested, tying), "ngram-candidates")
+        found = wide_possible(found, wide)
         if found.isEmpty():
             continue
         more = verified(docs, id_col, text_col, seed, found, owners)

@@ -567,3 +567,27 @@ def test_pairs_seen_are_held_in_little_memory():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert len(seen.u) == 1_000_000 and held < 32 << 20
+
+
+def test_large_sets_that_share_a_passage_are_told_apart_before_their_sets_are_sent(spark, monkeypatch):
+    """Bitmaps of one width are full for them; near copies among them are still linked."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(i, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 5000 + 150 * (i % 4)))) for i in range(12)]
+    rows += [(20, rows[3][1] + " one more end"), (21, rows[4][1].replace("p5", "q5"))]
+    asked, was = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda docs, i, t, seed, pairs, owners, **more: asked.append(pairs.count()) or was(docs, i, t, seed, pairs, owners, **more))
+    got = {r.doc_id: r.component_id for r in ngram_join.components(frame(spark, rows)).collect()}
+    assert got == {i: i for i in range(12)} | {20: 3, 21: 4}
+    assert sum(asked) == 2
+
+
+def test_wide_bitmaps_never_rule_out_a_common_shingle():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 9000, np.uint64)
+    for n, m in ((2050, 2500), (4000, 5000), (4096, 4097), (8000, 6100)):
+        x, y = np.sort(pool[:n]), np.sort(pool[9000 - m :])
+        a, b = ngram_join.wide_bitmap(x), ngram_join.wide_bitmap(y)
+        assert len(np.intersect1d(x, y)) <= ngram_join.most_common(a, n, b, m) <= min(n, m)
+        assert ngram_join.most_common(a, n, ngram_join.wide_bitmap(x[1:]), n - 1) == n - 1
+    assert ngram_join.wide_bitmap(pool[:2048]) is None
