@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +48,12 @@ def shared_class(word: bytes) -> int:
     return OWN + xxhash.xxh32_intdigest(word[-3:]) % SHARED
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        x = word_id(word), shared_class(word)
-        if len(word) <= 64:
-            self[word] = x
-        return x
+def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_id`` and ``shared_class`` of each word."""
+    ids = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+    ids[ids == 0] = 1
+    ends = np.fromiter(map(xxhash.xxh32_intdigest, [w[-3:] for w in words]), np.int64, len(words))
+    return ids.view(np.int64), OWN + ends % SHARED
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -64,10 +65,13 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = [(word_id(w), shared_class(w), c) for w, c in counts.items() if w]
-            rows += [(END, 0, counts[b""])] if counts[b""] else []
+            ends = counts.pop(b"", 0)
+            ids, shared = hashed(list(counts))
+            n = np.fromiter(counts.values(), np.int64, len(counts))
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["word", "class", "n"])
+            if ends:
+                ids, shared, n = np.r_[ids, END], np.r_[shared, 0], np.r_[n, ends]
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shared.astype(np.int32)), pa.array(n)], names=["word", "class", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -302,42 +306,77 @@ def encode(docs: DataFrame, id_col: str, text_col: str, dictionary: tuple[np.nda
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_all double, log_shared double, classes binary, rare array<long>, times array<int>, block int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {int(w): k for k, w in enumerate(ids)}
+        by_id = np.argsort(ids)
+        in_order = ids[by_id]
         log = np.log10(counts + 1.0)
-        end = place.get(END)
-        end_log, end_known = (log[end], 1) if end is not None else (0.0, 0)
+        end = np.flatnonzero(ids == END)
+        end_log, end_known = (float(log[end[0]]), 1) if len(end) else (0.0, 0)
+        # The number of a word: its place in the dictionary, or beyond it a place in ``others``, which holds what ``cache`` has.
         cache: dict[bytes, int] = {}
+        others = np.zeros(0, np.int64), np.zeros(0, np.int64)
         uid = TaskContext.get().partitionId() << 40
 
-        class Places(dict):
-            def __missing__(self, word: bytes) -> int:
-                k = place.get(word_id(word))
-                x = k if k is not None else -1 - shared_class(word)
-                if len(word) <= 64:
-                    self[word] = x
-                return x
+        def numbers(words: list[bytes]) -> np.ndarray:
+            nonlocal others
+            if len(cache) > 300_000:
+                cache.clear()
+                others = others[0][:0], others[1][:0]
+            got = np.fromiter(map(cache.get, words, repeat(-1)), np.int64, len(words))
+            missed = np.flatnonzero(got < 0).tolist()
+            if missed:
+                new = list({words[i]: None for i in missed})
+                found, shared = hashed(new)
+                at = np.minimum(np.searchsorted(in_order, found), max(0, len(ids) - 1))
+                inside = in_order[at] == found if len(ids) else np.zeros(len(new), bool)
+                number = np.empty(len(new), np.int64)
+                number[inside] = by_id[at[inside]]
+                number[~inside] = len(ids) + len(others[0]) + np.arange((~inside).sum())
+                others = np.r_[others[0], found[~inside]], np.r_[others[1], shared[~inside]]
+                cache.update(zip(new, number.tolist(), strict=True))
+                got[missed] = np.fromiter((cache[words[i]] for i in missed), np.int64, len(missed))
+                for w in new:
+                    if len(w) > 64:
+                        del cache[w]
+            return got
+
+        def encoded(doc_ids: list, held: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+            nonlocal uid
+            many, lengths = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+            number = numbers(list(chain.from_iterable(texts)))
+            doc = np.repeat(np.arange(many), lengths)
+            known = number < len(ids)
+            cls = np.zeros(len(number) + many, "<u2")  # the end of each document is 0
+            cls[np.arange(len(number)) + doc] = np.r_[classes, others[1]][number]
+            ends = np.r_[0, np.cumsum(lengths + 1)]
+            data = memoryview(cls).cast("B")
+            block = [-1 if h else zlib.crc32(data[2 * a : 2 * b]) % BLOCKS for h, a, b in zip(held, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            k, of = number[known], doc[known]
+            under = classes[k] >= OWN
+            log_all = np.bincount(of, log[k], many) + end_log
+            log_shared = np.bincount(of[under], log[k[under]], many) + 0.0  # whole numbers where nothing is counted
+            # Other words by document and id, each once with its count.
+            rare, of = others[0][number[~known] - len(ids)], doc[~known]
+            order = np.lexsort((rare, of))
+            rare, of = rare[order], of[order]
+            at = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])]) if len(rare) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[at, len(rare)]).astype(np.int32)
+            offsets = pa.array(np.searchsorted(of[at], np.arange(many + 1)).astype(np.int32))
+            columns = [
+                pa.array(uid + 1 + np.arange(many)), pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths + 1), pa.array(np.bincount(doc[known], minlength=many) + end_known), pa.array(log_all), pa.array(log_shared),
+                pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(cls)]), pa.ListArray.from_arrays(offsets, pa.array(rare[at])), pa.ListArray.from_arrays(offsets, pa.array(times)), pa.array(block, pa.int32()),
+            ]
+            uid += many
+            return pa.RecordBatch.from_arrays(columns, names=[x.strip().split(" ")[0] for x in schema.split(",")])
 
-        cache = Places()
         for b in batches:
-            out: list[list] = [[] for _ in range(11)]
-            for doc_id, text, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(cache) > 300_000:
-                    cache.clear()
-                words = text.lower().split()
-                k = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-                known = k >= 0
-                kk = k[known]
-                cls = np.empty(len(k) + 1, "<u2")
-                cls[:-1][known] = classes[kk]
-                cls[:-1][~known] = -1 - k[~known]
-                cls[-1] = 0
-                rare = np.fromiter((word_id(words[i]) for i in np.flatnonzero(~known).tolist()), np.int64)
-                rare, times = np.unique(rare, return_counts=True)
-                uid += 1
-                for col, x in zip(out, (uid, doc_id, held, len(cls), len(kk) + end_known, float(log[kk].sum()) + end_log, float(log[kk][classes[kk] >= OWN].sum()), cls.tobytes(), rare, times.astype(np.int32), -1 if held else zlib.crc32(cls.tobytes()) % BLOCKS), strict=True):
-                    col.append(x)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=[x.strip().split(" ")[0] for x in schema.split(",")])
+            doc_ids, texts, held = (c.to_pylist() for c in b.columns)
+            a, size, words = 0, 0, []
+            for i, text in enumerate(texts):
+                words.append(text.lower().split())
+                size += len(words[-1]) + 1
+                if size > 50_000 or i == len(texts) - 1:
+                    yield encoded(doc_ids[a : i + 1], held[a : i + 1], words)
+                    a, size, words = i + 1, 0, []
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), held_out(F.col(f"`{id_col}`"), divisor, remainder).alias("held"))
     return materialize(src.mapInArrow(lean(run), schema), "hmm-encoded", "block")

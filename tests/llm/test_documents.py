@@ -591,3 +591,20 @@ def test_wide_bitmaps_never_rule_out_a_common_shingle():
         assert len(np.intersect1d(x, y)) <= ngram_join.most_common(a, n, b, m) <= min(n, m)
         assert ngram_join.most_common(a, n, ngram_join.wide_bitmap(x[1:]), n - 1) == n - 1
     assert ngram_join.wide_bitmap(pool[:2048]) is None
+
+
+def test_words_are_hashed_together_and_counted_beyond_the_dictionary(spark, monkeypatch):
+    words = [b"a", b"xyz" * 30, "é日本".encode(), b"!"]
+    ids, classes = hmm.hashed(words)
+    assert ids.tolist() == [hmm.word_id(w) for w in words] and classes.tolist() == [hmm.shared_class(w) for w in words]
+    assert [len(x) for x in hmm.hashed([])] == [0, 0]
+    monkeypatch.setattr(hmm, "DICTIONARY", 100)
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{x}" + "y" * (70 * (x % 5 == 0)) for x in rng.zipf(1.3, rng.integers(0, 60)) % 5000)) for i in range(300)] + [(900, None)]
+    counts, texts = Counter(), {i: (t or "").split() + [None] for i, t in rows}
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(t)
+    for r in hmm.score(frame(spark, rows), states=3, rounds=1).collect():
+        assert r.n_known == sum(counts[w] > 0 for w in texts[r.doc_id]) and r.n_tokens == len(texts[r.doc_id])
+        assert r.base_score == pytest.approx(sum(log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in texts[r.doc_id]))
