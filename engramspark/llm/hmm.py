@@ -33,8 +33,8 @@ DIVISOR, REMAINDER = 7, 2
 STATES, OWN, SHARED, DICTIONARY = 12, 2048, 1024, 1 << 18
 #: Training ends when a round gains less than TOLERANCE of the log-likelihood; ROUNDS only stops one that never does.
 ROUNDS, TOLERANCE, SEED, BLOCKS = 200, 1e-5, 7, 8
-#: Documents are computed in windows of WINDOW tokens, WIDE documents in step, HELD tokens at a time.  The counts do not depend on these.
-WINDOW, WIDE, HELD = 32, 2048, 4_000_000
+#: Documents are computed in windows of WINDOW tokens, WIDE documents in step, HELD tokens at a time; vectors of KEPT tokens are kept.  The counts do not depend on these.
+WINDOW, WIDE, HELD, KEPT = 32, 2048, 4_000_000, 1 << 20
 END = 0  # the id of the end; words have their 64-bit hash
 _CLASSES = OWN + SHARED
 
@@ -102,26 +102,30 @@ class Model:
         return Model(start, move, np.r_[emit / emit.sum(0), np.ones((1, emit.shape[1]))])
 
 
-def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None, chunk: int = WIDE, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of starts, transitions and emissions, and the log-likelihood, of whole sequences.
 
     ``windows`` are rows of classes, padded with the number of classes; ``first`` marks those that open a
     sequence (all of them if None), the others go on where the row before ends.  ``chunk`` sequences of like
-    length go in step.  The forward pass keeps the states' distribution before each window alone; the backward
-    one computes a window's forward vectors again from it, so memory is that of one window of ``chunk``
-    sequences and one small vector for each other window, and the counts are those of the uncut sequences.
+    length go in step.  The forward pass keeps its vectors of ``kept`` tokens, and of the windows beyond only
+    the states' distribution before each; the backward one computes those windows' vectors again from it.  So
+    memory is bounded but for one small vector for each window, and the counts are those of the uncut sequences.
     """
-    n, k, classes = len(windows), len(model.start), len(model.emit) - 1
+    n, k, classes, steps = len(windows), len(model.start), len(model.emit) - 1, windows.shape[1]
     heads = np.arange(n) if first is None else np.flatnonzero(first)
     sizes = np.diff(np.r_[heads, n])
     order = np.argsort(-sizes, kind="stable")
     # Each class's emissions are divided by the largest, so that two steps never leave the range of 32 bits.
     most = model.emit.max(1)
-    move, table = np.ascontiguousarray(model.move, np.float32), np.ascontiguousarray((model.emit / most[:, None]).T, np.float32)
+    move, table = np.ascontiguousarray(model.move, np.float32), np.ascontiguousarray(model.emit / most[:, None], np.float32)
     start, trans, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes + 1)), 0.0
-    for a in range(0, len(order), chunk):
-        some = order[a : a + chunk]
-        s, t, e, ll = _in_step(model.start, move, table, windows, heads[some], sizes[some])
+    room = [np.zeros(0, np.float32)] * 4
+    tokens, a = np.r_[0, np.cumsum(sizes[order])] * steps, 0
+    while a < len(order):
+        # As many as can be kept, but not so few that steps are short.
+        some = order[a : a + min(chunk, max(chunk // 4, int(np.searchsorted(tokens, tokens[a] + kept, side="right")) - 1 - a, 1))]
+        a += len(some)
+        s, t, e, ll = _in_step(model.start, move, table, windows, heads[some], sizes[some], room, kept)
         start += s
         trans += t
         emissions += e
@@ -130,76 +134,91 @@ def expected(model: Model, windows: np.ndarray, first: np.ndarray | None = None,
     return start, trans * model.move, emissions, likelihood + float(emissions.sum(1) @ np.log(most[:classes]))
 
 
-def _forward(x: np.ndarray, emit: np.ndarray, alpha: np.ndarray, back: np.ndarray, factor: np.ndarray | None = None) -> np.ndarray:
-    """The forward recursion through a window, from ``x`` (states x sequences): what comes after it.
+def _forward(x: np.ndarray, emit: np.ndarray, alpha: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward recursion through a window, from ``x`` (states x sequences): what comes after it, and the factors.
 
-    ``emit`` and ``alpha`` are states x steps x sequences; every second ``alpha`` and the last are scaled to a
-    sum of 1, and ``factor`` (steps x sequences) gets by what.
+    ``emit`` and ``alpha`` are steps x states x sequences; every second ``alpha`` and the last are scaled to a
+    sum of 1, that of step t by factor t // 2.
     """
-    steps = emit.shape[1]
-    x, ones = x.copy(), np.ones(len(x), np.float32)
+    steps = len(emit)
+    x, ones, factor = x.copy(), np.ones(len(x), np.float32), np.empty((-(-steps // 2), x.shape[1]), np.float32)
     for t in range(steps):
-        a = alpha[:, t]
-        np.multiply(x, emit[:, t], out=a)
+        a = alpha[t]
+        np.multiply(x, emit[t], out=a)
         if t % 2 or t == steps - 1:
-            r = 1 / (ones @ a)
+            r = factor[t // 2]
+            np.dot(ones, a, out=r)
+            np.reciprocal(r, out=r)
             a *= r
-            if factor is not None:
-                factor[t] = r
-        np.matmul(back, a, out=x)
-    return x
+        np.dot(back, a, out=x)
+    return x, factor
 
 
-def _in_step(opening: np.ndarray, move: np.ndarray, table: np.ndarray, windows: np.ndarray, heads: np.ndarray, sizes: np.ndarray):
+def _in_step(opening: np.ndarray, move: np.ndarray, table: np.ndarray, windows: np.ndarray, heads: np.ndarray, sizes: np.ndarray, room: list[np.ndarray], kept: int):
     """The counts of some sequences: ``heads`` are their first windows, ``sizes`` how many they have, most first.
 
-    States before sequences, so that every operation runs along the sequences.
+    Steps before states before sequences, so that every operation runs along the sequences through memory in
+    one piece.  ``room`` is memory to use again.
     """
-    k, steps, pad = len(move), windows.shape[1], table.shape[1] - 1
+    k, steps, pad = len(move), windows.shape[1], len(table) - 1
     back, ones = np.ascontiguousarray(move.T), np.ones(k, np.float32)
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # how many have a window j
     start, trans, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, pad + 1)), 0.0
-    space = [np.empty(k * steps * active[0], np.float32) for _ in range(3)]
-
-    def said(j: int) -> tuple[np.ndarray, ...]:
-        """The classes of window j, steps x sequences, and states x steps x sequences: their emissions, room for two more."""
+    # The first window's place is used again for those that are not kept.
+    place = np.cumsum(active) * k * steps
+    keep = max(1, int(np.searchsorted(place, kept * k, side="right")))
+    place -= active * k * steps
+    for i, size in enumerate((place[keep - 1] + active[keep - 1] * k * steps,) * 2 + (active[0] * k * steps,) * 2):
+        if len(room[i]) < size:
+            room[i] = np.empty(size, np.float32)
+
+    def through(j: int, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Window j from ``x``: what comes after it, its classes (steps x sequences), emissions, forward vectors, factors."""
         n = active[j]
-        out = np.ascontiguousarray(windows[heads[:n] + j].T, np.intp)
-        e, *free = (x[: k * steps * n].reshape(k, steps, n) for x in space)
-        return out, np.take(table, out, axis=1, out=e, mode="clip"), *free
-
-    before = [np.repeat(opening.astype(np.float32)[:, None], active[0], 1)]
-    for j in range(sizes[0] - 1):
-        _, emit, alpha, _ = said(j)
-        x = _forward(before[-1], emit, alpha, back)
-        before.append(np.ascontiguousarray(x[:, : active[j + 1]]))
+        at = place[j] if j < keep else 0
+        emit, alpha = (r[at : at + k * steps * n].reshape(steps, k, n) for r in room[:2])
+        classes = np.ascontiguousarray(windows[heads[:n] + j].T, np.intp)
+        spoken = room[2][: k * steps * n].reshape(steps, n, k)
+        emit[:] = np.take(table, classes, axis=0, out=spoken, mode="clip").transpose(0, 2, 1)
+        x, factor = _forward(x, emit, alpha, back)
+        return x, classes, emit, alpha, factor
+
+    x = np.repeat(opening.astype(np.float32)[:, None], active[0], 1)
+    before, held = [], []
+    for j in range(sizes[0]):
+        before.append(np.ascontiguousarray(x[:, : active[j]]))
+        if j < keep or j + 1 < sizes[0]:
+            x, *rest = through(j, before[j])
+            if j < keep:
+                held.append(rest)
     after, seam = np.ones((k, 0), np.float32), np.ones((k, 0), np.float32)
     for j in range(sizes[0] - 1, -1, -1):
-        n = active[j]
-        classes, emit, alpha, beta = said(j)
-        factor = np.ones((steps, n), np.float32)
-        _forward(before.pop(), emit, alpha, back, factor)
-        emit *= factor
-        trans += alpha[:, -1, : seam.shape[1]] @ seam.T
-        beta[:, -1] = np.concatenate([after, np.ones((k, n - after.shape[1]), np.float32)], 1)
-        beta[:, -1] /= ones @ (alpha[:, -1] * beta[:, -1])
+        n, m = active[j], after.shape[1]
+        # Window 0 is computed again if others have used its place.
+        classes, emit, alpha, factor = held.pop() if j < keep and (j or keep == sizes[0]) else through(j, before[j])[1:]
+        trans += alpha[-1, :, :m] @ seam.T
+        emit[1::2] *= factor[: steps // 2, None]
+        if steps % 2:
+            emit[-1] *= factor[-1]
+        beta = room[2][: k * steps * n].reshape(steps, k, n)
+        beta[-1] = np.concatenate([after, np.ones((k, n - m), np.float32)], 1)
+        beta[-1] /= ones @ (alpha[-1] * beta[-1])
         for t in range(steps - 1, 0, -1):
-            np.multiply(emit[:, t], beta[:, t], out=emit[:, t])
-            np.matmul(move, emit[:, t], out=beta[:, t - 1])
-        emit[:, 0] *= beta[:, 0]
-        after = move @ emit[:, 0]
-        padded = classes == pad
-        if padded.any():
-            emit *= ~padded
-        trans += alpha[:, :-1].reshape(k, -1) @ emit[:, 1:].reshape(k, -1).T
-        seam = emit[:, 0].copy()
-        alpha *= beta  # now the states' probabilities
+            np.multiply(emit[t], beta[t], out=emit[t])
+            np.dot(move, emit[t], out=beta[t - 1])
+        emit[0] *= beta[0]
+        states = room[3][: k * steps * n].reshape(k, steps, n)  # their probabilities
+        np.multiply(alpha, beta, out=states.transpose(1, 0, 2))
+        after, seam = move @ emit[0], emit[0].copy()
+        emit[:, :, m:] *= (classes[:, m:] != pad)[:, None]  # those that end here
+        trans += np.matmul(alpha[:-1], emit[1:].transpose(0, 2, 1)).sum(0, dtype=float)
         if j == 0:
-            start += alpha[:, 0].sum(1, dtype=float)
+            start += states[:, 0].sum(1, dtype=float)
         flat = classes.ravel()
         for state in range(k):
-            emissions[state] += np.bincount(flat, alpha[state].ravel(), pad + 1)
-        likelihood -= float(np.log(factor, dtype=np.float64).sum())
+            emissions[state] += np.bincount(flat, states[state].ravel(), pad + 1)
+        # Eight factors of 32 bits do not leave the range of 64.
+        likelihood -= float(np.log(np.multiply.reduceat(factor.astype(float), np.arange(0, len(factor), 8))).sum())
     return start, trans, emissions, likelihood
 
 

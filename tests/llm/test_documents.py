@@ -389,6 +389,21 @@ def test_counts_of_long_documents_do_not_depend_on_windows():
         assert np.allclose(x, y, rtol=2e-3, atol=2e-3)
 
 
+def test_forward_vectors_are_kept_and_computed_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    k, through = 5, []
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), np.r_[rng.dirichlet(np.ones(hmm._CLASSES), k).T, np.ones((1, k))])
+    seqs = [rng.integers(0, hmm._CLASSES, n) for n in (400, 33, 32, 170, 1)]
+    forward = hmm._forward
+    monkeypatch.setattr(hmm, "_forward", lambda *x: through.append(1) or forward(*x))
+    want = hmm.expected(model, *hmm.cut(seqs))
+    assert len(through) == 13  # the windows of the longest; all were computed twice
+    for steps in (1, 7, 32):
+        for kept in (1, 100, 250, 1000):  # what is not kept is computed again
+            for x, y in zip(hmm.expected(model, *hmm.cut(seqs, window=steps), kept=kept), want, strict=True):
+                assert np.allclose(x, y, rtol=1e-4, atol=1e-4), (steps, kept)
+
+
 def test_hmm_training_does_not_depend_on_the_partitioning(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(["der", "die", "das"] if i % 2 else ["the", "and", "of"], 12))) for i in range(1200)]
