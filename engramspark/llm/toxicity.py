@@ -18,12 +18,11 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import islice, product
+from itertools import islice, product, repeat
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +38,8 @@ SHORT, LONGEST = 3, 64  # tokens of up to SHORT characters in a row are decoded
 RUN, RUN_OVERLAP = 256, 64
 #: Runs of up to so many plain tokens, read in as many ways, are decoded only if a word they can hold is evidence; the results are the same.
 PLAIN_RUN = 6
+#: Letters of a feature that are looked at before a word is decoded; what is longer may be there.
+DEPTH = 12
 LETTERS = 27  # 0 is the word's edge
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -60,8 +61,11 @@ _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1+")
 _OTHER_SCRIPT, _LATIN = re.compile("[Ͱ-ԯ]"), re.compile("[a-z]")
 _ROW = re.compile(r"(.)\1*")
+#: Words of Latin letters that compatibility forms leave alone, none like the one before: read as they are.
+_PLAIN = re.compile(r"(?:([a-zß-öø-ÿ])(?!\1))+")
+_SURE = re.compile(r"(?:([a-zß-öø-ÿ])(?!\1)){5,9}")
 _BAR = re.compile(r"[*#]{4,}")
-_SHORT_RUN = re.compile(rb"\x01{2,}")
+_SHORT_RUN = re.compile(rb"[\x01\x02]{2,}")
 _HASH = (1 << 62) - 1
 _WILDCARD = [(chr(96 + k), k, _WILD) for k in range(1, LETTERS)]
 #: Readings of one character: letter or nothing, its folded number, cost.
@@ -70,6 +74,85 @@ Arcs = list[tuple[str, int, float]]
 Path = tuple[float, int, tuple | None]
 
 
+class Evidence:
+    """Features with a value each, and which lattices can hold any of them.
+
+    A feature is a whole word, or ``^`` and a word's beginning.
+    """
+
+    def __init__(self, values: dict[str, float]):
+        self.values = values
+        #: Beginnings of features: 1 if the word is a feature should it end there, 2 if it is one whatever follows, else 0.
+        self.ways: dict[str, int] = {"": 0}
+        self.begin = {f[1:]: x for f, x in values.items() if f[0] == "^"}
+        for f in values:
+            part, kind = (f[1:], 2) if f[0] == "^" else (f, 1)
+            if len(part) > DEPTH:
+                part, kind = part[:DEPTH], 2
+            self.ways[part] = self.ways.get(part, 0) | kind
+            n = len(part) - 1
+            while part[:n] not in self.ways:
+                self.ways[part[:n]] = 0
+                n -= 1
+
+    def of(self, readings: list[str]) -> list[float]:
+        """The values of all features of some readings."""
+        out, ways, values, begin = [], self.ways, self.values, self.begin
+        for r in readings:
+            for n in BEGINNINGS:
+                if n > len(r):
+                    if r in values:
+                        out.append(values[r])
+                    break
+                part = r[:n]
+                kind = ways.get(part)
+                if kind is None:  # no feature begins so
+                    break
+                if kind & 2:
+                    out.append(begin[part])
+            else:
+                if r in values:
+                    out.append(values[r])
+        return out
+
+    def hopeless(self, word: str) -> bool:
+        """Whether the letters that all readings of a word begin with, whatever follows, rule out every feature."""
+        sure = _SURE.match(word)
+        if sure and len(word) <= LONGEST:
+            for n in range(BEGINNINGS[0], sure.end()):  # the last letter may yet take an accent
+                kind = self.ways.get(word[:n])
+                if kind is None:
+                    return True
+                if kind & 2:
+                    break
+        return False
+
+    def reachable(self, columns: list[Arcs]) -> bool:
+        """Whether any reading of a lattice, or one without letters like the one before, may have a feature; False is certain."""
+        ways, at = self.ways, {""}
+        for arcs in columns:
+            if not arcs:
+                if any(ways[p] & 1 for p in at):
+                    return True
+                at = at | {""}
+                continue
+            after = set()
+            for letter, _, _ in arcs:
+                if not letter:
+                    after |= at
+                    continue
+                for p in at:
+                    kind = ways.get(p + letter)
+                    if kind is not None:
+                        if kind & 2:
+                            return True
+                        after.add(p + letter)
+                    if p[-1:] == letter:
+                        after.add(p)
+            at = after
+        return any(ways[p] & 1 for p in at)
+
+
 def single(word: str) -> str:
     """A word without letters like the one before."""
     return "".join([c for c, before in zip(word, "\n" + word) if c != before])
@@ -207,6 +290,8 @@ class Restorer:
         for ((_, f, _),) in columns[:plain]:
             key = key % 729 * LETTERS + f
         head = "".join(arcs[0][0] for arcs in columns[:plain])
+        if best == 1 and stop == len(columns):
+            return [head + self._cheapest_text(columns[plain:], key)]
         states: dict[int, list[Path]] = {key: [(0.0, 0, None)]}
         for arcs in columns[plain:stop]:
             after: dict[int, list[Path]] = {}
@@ -233,6 +318,34 @@ class Restorer:
             out.append(head + "".join(reversed(text)))
         return out
 
+    def _cheapest_text(self, columns: list[Arcs], key: int) -> str:
+        """``search`` for one reading, without wildcards, behind the letters that ``key`` stands for."""
+        costs = self.costs
+        states: dict[int, tuple[float, tuple | None]] = {key: (0.0, None)}
+        for arcs in columns:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for key, (t, path) in states.items():
+                at = key * LETTERS
+                if not arcs:
+                    if key not in after or t < after[key][0]:
+                        after[key] = t, path
+                    c = t + costs[at]
+                    if 0 not in after or c < after[0][0]:
+                        after[0] = c, (path, " ")
+                for letter, f, c in arcs:
+                    if letter:
+                        k, c = key % 729 * LETTERS + f, t + (c + costs[at + f])
+                        if k not in after or c < after[k][0]:
+                            after[k] = c, (path, letter)
+                    elif key not in after or t + c < after[key][0]:
+                        after[key] = t + c, path
+            states = after
+        path, text = min([(t + costs[key * LETTERS], path) for key, (t, path) in states.items()], key=itemgetter(0))[1], []
+        while path:
+            path, letter = path
+            text.append(letter)
+        return "".join(reversed(text))
+
     def _masked_ends(self, states: dict[int, list[Path]], columns: list[Arcs], best: int) -> list[Path]:
         """The paths with the wildcards of ``columns`` behind: how many are letters, and the first of these, in every way."""
         skips = sorted(min((c for x, _, c in arcs if not x), default=np.inf) for arcs in columns)
@@ -312,24 +425,34 @@ class Restorer:
             out.append(head + "".join(reversed(text)))
         return list(dict.fromkeys(out))[:best]
 
-    def run(self, tokens: list[str] | tuple[str, ...]) -> list[str]:
+    def run(self, tokens: list[str] | tuple[str, ...], evidence: Evidence | None = None) -> list[str]:
         """Words of a run of short tokens: one lattice in which a word may end, or go on, between any two tokens.
 
-        Masks at the ends of a token that holds something else are decoration.
+        Masks at the ends of a token that holds something else are decoration.  With ``evidence``: none if no
+        word that the lattice can hold has a feature.
         """
+        if evidence:
+            plain = plain_words(tokens)
+            if plain and not evidence.of(plain):
+                return []
         columns: list[Arcs] = []
         for n, token in enumerate(tokens):
             columns += [[]] * (n > 0) + self.lattice(token.strip("*#") or token)
+        if evidence and not plain and not evidence.reachable(columns):
+            return []
         return self.search(columns, 1)[0].split()
 
-    def decode(self, word: str, best: int = 3, masked: bool = False) -> list[str]:
-        """The cheapest readings, best first."""
-        return self.search(self.lattice(word, masked), best)
+    def decode(self, word: str, best: int = 3, masked: bool = False, evidence: Evidence | None = None) -> list[str]:
+        """The cheapest readings, best first; with ``evidence``: none if no reading of the lattice has a feature."""
+        columns = self.lattice(word, masked)
+        return self.search(columns, best) if not evidence or evidence.reachable(columns) else []
 
-    def tail(self, core: str, word: str, masked: bool) -> list[str]:
+    def tail(self, core: str, word: str, masked: bool, evidence: Evidence | None = None) -> list[str]:
         """``decode``; what marks behind plain letters are read as depends on the last three letters alone, and is remembered."""
         if not (word.startswith(core) and core.isascii() and core.isalpha()) or _DOUBLE.search(core) or len(word) > len(core) + 8:
-            return self.decode(word, masked=masked)
+            return self.decode(word, masked=masked, evidence=evidence)
+        if evidence and core[: BEGINNINGS[0]] not in evidence.ways:  # every reading begins with these letters
+            return []
         key = word[max(0, len(core) - 3) :], masked
         if key not in self.tails:
             if len(self.tails) > 100_000:
@@ -337,13 +460,16 @@ class Restorer:
             self.tails[key] = self.decode(key[0], masked=masked)
         return [core[:-3] + x for x in self.tails[key]]
 
-    def readings(self, word: str) -> list[str]:
+    def readings(self, word: str, evidence: Evidence | None = None) -> list[str]:
         """The restored words that a lower-case word may count as; its plain form unless it looks written around.
 
         Words of more than LONGEST characters are read in pieces of that length, which overlap by half.
+        With ``evidence`` readings are left out if none that the word can have has a feature.
         """
         if len(word) > LONGEST:
-            return [r for k in range(0, len(word) - LONGEST // 2, LONGEST // 2) for r in self.readings(word[k : k + LONGEST])]
+            return [r for k in range(0, len(word) - LONGEST // 2, LONGEST // 2) for r in self.readings(word[k : k + LONGEST], evidence)]
+        if _PLAIN.fullmatch(word):
+            return [word]
         core = word.strip(_EDGES)
         if core.isascii() and core.isalpha():
             doubled = _DOUBLE.search(core)
@@ -361,7 +487,7 @@ class Restorer:
             # Marks around the word are cut unless they may be letters of it.
             word = word.strip(_OUTER)
             for masked in (False, True) if not _ANY.isdisjoint(word) else (False,):
-                out += self.tail(core, word, masked)
+                out += self.tail(core, word, masked, evidence)
             out += map(single, out[1:])
         elif doubled:
             out.append(single(core))
@@ -401,16 +527,20 @@ def short_runs(words: list[str]) -> set[tuple[str, ...]]:
                 if len(w) <= LONGEST:
                     _CORES[w] = cores[k]
     for m in _SHORT_RUN.finditer(bytes(map(bool, cores))):
-        whole = tuple(cores[m.start() : m.end()])
-        for k in range(0, max(1, len(whole) - RUN_OVERLAP), RUN - RUN_OVERLAP):
-            run = whole[k : k + RUN]
-            if len(run) > 1 and run not in out and ("a" <= run[0][0] <= "z" or any(map(fold, "".join(run)))):
-                out.add(run)
-                if run[0][0] in _EDGES or run[-1][-1] in _EDGES:  # marks at the ends may be letters, or only marks
-                    out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
+        run_pieces(tuple(cores[m.start() : m.end()]), out)
     return out
 
 
+def run_pieces(whole: tuple[str, ...], out: set[tuple[str, ...]]) -> None:
+    """Adds to ``out`` how a whole run of short tokens is read: at most RUN at once, marks at the ends as letters and as marks."""
+    for k in range(0, max(1, len(whole) - RUN_OVERLAP), RUN - RUN_OVERLAP):
+        run = whole[k : k + RUN]
+        if len(run) > 1 and run not in out and ("a" <= run[0][0] <= "z" or any(map(fold, "".join(run)))):
+            out.add(run)
+            if run[0][0] in _EDGES or run[-1][-1] in _EDGES:
+                out.add((run[0].lstrip(_EDGES) or run[0], *run[1:-1], run[-1].rstrip(_EDGES) or run[-1]))
+
+
 def plain_words(run: tuple[str, ...]) -> list[str] | None:
     """Every word that the lattice of a run can hold, if its tokens are few and letters alone; else None.
 
@@ -448,80 +578,101 @@ def spaced(words: list[str], least: int = 4) -> list[str]:
     return out
 
 
-def features(readings: list[str]) -> list[int]:
-    """64-bit hashes of a word's readings and their beginnings."""
+def features(readings: list[str]) -> list[str]:
+    """Readings of a word, and their beginnings, which are marked."""
     out = []
     for r in readings:
         if r:
-            out.append(xxhash.xxh3_64_intdigest(r) - (1 << 63))
-            out += beginnings(r)
+            out.append(r)
+            out += ["^" + r[:n] for n in BEGINNINGS if len(r) >= n]
     return out
 
 
-def beginnings(reading: str) -> list[int]:
-    return [xxhash.xxh3_64_intdigest("^" + reading[:n]) - (1 << 63) for n in BEGINNINGS if len(reading) >= n]
-
-
 class Scorer:
-    """Scores of texts; remembers the weights of words seen, in two generations."""
-
-    def __init__(self, costs: np.ndarray, weights: dict[int, float], beta: np.ndarray | None, most: int = 600_000):
-        self.restorer, self.beta, self.most = Restorer(costs), beta, most
-        self.weight = {f + (1 << 63): w for f, w in weights.items()}
-        self.heads: dict[str, float] = {}  # the greatest weight of a word's beginnings
-        self.young: dict[str | tuple[str, ...], float] = {}
-        self.old: dict[str | tuple[str, ...], float] = {}
-
-    def strongest(self, readings: list[str]) -> float:
-        """The greatest weight that any feature of ``readings`` has; 0 without evidence."""
-        best, weight, heads, digest = 0.0, self.weight.get, self.heads, xxhash.xxh3_64_intdigest
-        for r in readings:
-            if not r:
-                continue
-            x = weight(digest(r))
-            if x is not None and x > best:
-                best = x
-            if len(r) >= BEGINNINGS[0]:
-                head = "^" + r[: BEGINNINGS[-1]]
-                x = heads.get(head)
-                if x is None:
-                    if len(heads) > self.most // 2:
-                        heads.clear()
-                    x = heads[head] = max([weight(digest(head[: n + 1]), 0.0) for n in BEGINNINGS if n < len(head)])
-                if x > best:
-                    best = x
-        return best
-
-    def found(self, word: str | tuple[str, ...]) -> float:
-        """The weight of a word, or of the strongest word in a run of short tokens; 0 without evidence."""
-        x = self.old.get(word)
-        if x is None:
-            if isinstance(word, str):
-                core = word.strip(_OUTER) or word  # read alike, if not in pieces
-                if core == word or len(word) > LONGEST:
-                    x = self.strongest(self.restorer.readings(word))
-                else:
-                    x = self.young.get(core)
-                    x = self.found(core) if x is None else x
+    """Scores of texts; remembers words seen: those without evidence in two generations, those with it by weight."""
+
+    def __init__(self, costs: np.ndarray, weights: dict[str, float], beta: np.ndarray | None, most: int = 600_000):
+        self.restorer, self.evidence, self.beta, self.most = Restorer(costs), Evidence(weights), beta, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: set[str | tuple[str, ...]] = set()
+        self.old: set[str | tuple[str, ...]] = set()
+        self.weight: dict[str | tuple[str, ...], float] = {}
+        self.kinds: dict[str, int] = {}  # of words seen: 2 for one character, 1 for others that are short
+        self.runs: set[tuple[str, ...]] = set()  # whole runs of words seen without evidence
+        self.passing: list[str] = []  # long words in ``kinds``
+
+    def learn(self, word: str | tuple[str, ...]) -> float:
+        """The weight of a word, or of the strongest word in a run of short tokens, not seen before; 0 without evidence."""
+        evidence, restorer = self.evidence, self.restorer
+        if isinstance(word, str) and evidence.hopeless(word):
+            x = 0.0
+        elif isinstance(word, str):
+            short = _core(word)
+            core = short or word.strip(_OUTER) or word  # read alike, if not in pieces
+            if core == word or len(word) > LONGEST:
+                x = max(evidence.of(restorer.readings(word, evidence)), default=0.0)
             else:
-                plain = plain_words(word)
-                x = 0.0 if plain and not self.strongest(plain) else self.strongest(self.restorer.run(word))
+                x = self.weight.get(core)
+                if x is None:
+                    x = 0.0 if core in self.young else self.learn(core)
+            if short:
+                self.kinds[word] = 1 + (len(word) == 1)
+                if len(word) > LONGEST:
+                    self.passing.append(word)
+        else:
+            x = max(evidence.of(restorer.run(word, evidence)), default=0.0)
         if len(word) <= LONGEST:
-            self.young[word] = x
+            if x:
+                self.weight[word] = x
+            else:
+                self.young.add(word)
         return x
 
+    def found(self, asked: set[str] | set[tuple[str, ...]]) -> list[float]:
+        """The weights of those words or runs that are evidence."""
+        rest = asked - self.young
+        if self.old:
+            again = rest & self.old
+            self.young |= again
+            rest -= again
+        out = []
+        for w in rest:
+            x = self.weight.get(w)
+            if x is None:
+                x = self.learn(w)
+            if x:
+                out.append(x)
+        return out
+
     def score(self, text: str) -> float:
         if self.beta is None:
             return 0.0
+        if max(len(self.kinds), len(self.weight), len(self.runs)) > self.most // 2:
+            self.forget()
         if len(self.young) > self.most // 2:
-            self.old, self.young = self.young, {}
-        words, young = text.lower().split(), self.young
+            self.old, self.young = self.young, set()
+        words = text.lower().split()
         different = set(words)
-        asked = [*different, *spaced(words), *short_runs(words)]
-        got = list(map(young.get, asked))
-        hits = [x for x in got if x]
-        if None in got:
-            hits += [x for x in (self.found(w) for w, x in zip(asked, got, strict=True) if x is None) if x]
+        hits = self.found(different)
+        kinds = bytes(map(self.kinds.get, words, repeat(0)))
+        whole = {tuple(words[m.start() : m.end()]) for m in _SHORT_RUN.finditer(kinds)} - self.runs
+        if whole:
+            runs: set[tuple[str, ...]] = set()
+            for run in whole:
+                read: set[tuple[str, ...]] = set()
+                run_pieces(tuple(map(_core, run)), read)
+                found = self.found(read - runs)
+                if not found and len(run) <= LONGEST and runs.isdisjoint(read):
+                    self.runs.add(run)
+                hits += found
+                runs |= read
+        if b"\2\2\2" in kinds:
+            for w in spaced(words):
+                hits += self.found({w})
+        while self.passing:
+            self.kinds.pop(self.passing.pop(), None)
         p = float(1 / (1 + np.exp(-np.clip(summary(hits, len(different)) @ self.beta, -30, 30))))
         return p if hits else p / 2  # no evidence, no verdict
 
@@ -542,7 +693,7 @@ def weigh(pos: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
     return np.log(low / (1 - low)) - np.log(prior / (1 - prior))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows_bound: int) -> tuple[np.ndarray, dict[int, float], np.ndarray | None]:
+def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows_bound: int) -> tuple[np.ndarray, dict[str, float], np.ndarray | None]:
     """Costs of letters, weights of features, the logistic model (None where labels of both classes are missing)."""
     costs = letter_costs(count_letters(docs, text_col))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), DIVISOR, REMAINDER)).groupBy("doc_id").agg(F.max(F.col(label) > 0).cast("int").alias("y"))
@@ -552,8 +703,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     known = known.withColumnRenamed("doc_id", "label_id")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).drop("label_id")
 
-    def hashed(text: str, restorer: Restorer, young: dict, pick: Callable[[list[int]], list[int]]) -> tuple[int, list[int]]:
-        """How many different words a text has; what ``pick`` takes of the features of each, and of each run of short tokens."""
+    def read(text: str, restorer: Restorer, young: dict, pick: Callable[[list[str]], list], evidence: Evidence | None = None) -> tuple[int, list]:
+        """How many different words a text has; what ``pick`` takes of the readings of each, and of each run of short tokens."""
         words = (text or "").lower().split()
         different, found = set(words), []
         if len(young) > 200_000:
@@ -561,7 +712,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
         for w in (*different, *spaced(words)):
             x = young.get(w)
             if x is None:
-                x = pick(features(restorer.readings(w)))
+                x = pick(restorer.readings(w, evidence))
                 if len(w) <= LONGEST:
                     young[w] = x
             if x:
@@ -569,8 +720,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
         for tokens in short_runs(words):
             x = young.get(tokens)
             if x is None:
-                plain = plain_words(tokens)
-                x = pick(features(restorer.run(tokens))) if plain is None or pick(features(plain)) else []
+                x = pick(restorer.run(tokens, evidence))
                 if len(tokens) <= LONGEST:
                     young[tokens] = x
             found += x
@@ -580,7 +730,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
         restorer, young = Restorer(costs), {}
         for b in batches:
             for text in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(list(set(hashed(text, restorer, young, list)[1])), pa.int64())], names=["f"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(set(read(text, restorer, young, features)[1])), pa.string())], names=["f"])
 
     counted = {int(r.y): r["count"] for r in rows.groupBy("y").count().collect()}
     total, positive = sum(counted.values()), counted.get(1, 0)
@@ -589,18 +739,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     prior = (positive + 1) / (total + 2)
     # Features that would have too little weight even if no clean row held them need not be counted.
     least = next(k for k in range(1, 64) if weigh(np.array(k), np.array(k), prior) >= LEAST_WEIGHT or k == 63)
-    seen = rows.filter("y = 1").select("text").mapInArrow(lean(listed), "f long").groupBy("f").count().filter(F.col("count") >= least)
+    seen = rows.filter("y = 1").select("text").mapInArrow(lean(listed), "f string").groupBy("f").count().filter(F.col("count") >= least)
     index = {f: k for k, f in enumerate(sorted(r.f for r in seen.select("f").collect()))}
     m = max(1, len(index))
 
-    def marked(found: list[int]) -> list[int]:
-        own = sorted({index[f] for f in found if f in index})
-        return [*own[:-1], -1 - own[-1]] if own else own  # the last of a word is marked
-
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, young = Restorer(costs), {}
+        restorer, young, evidence = Restorer(costs), {}, Evidence(index)
+
+        def marked(readings: list[str]) -> list[int]:
+            own = sorted(set(evidence.of(readings)))
+            return [*own[:-1], -1 - own[-1]] if own else own  # the last of a word is marked
+
         for b in batches:
-            got = [hashed(text, restorer, young, marked) for text in b.column(0).to_pylist()]
+            got = [read(text, restorer, young, marked, evidence) for text in b.column(0).to_pylist()]
             sizes, kept = [n for n, _ in got], [np.array(x, "<i4").tobytes() for _, x in got]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())], names=["y", "n", "f"])
 

@@ -623,3 +623,43 @@ def test_words_are_hashed_together_and_counted_beyond_the_dictionary(spark, monk
     for r in hmm.score(frame(spark, rows), states=3, rounds=1).collect():
         assert r.n_known == sum(counts[w] > 0 for w in texts[r.doc_id]) and r.n_tokens == len(texts[r.doc_id])
         assert r.base_score == pytest.approx(sum(log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in texts[r.doc_id]))
+
+
+def test_only_what_can_be_evidence_is_decoded(monkeypatch):
+    """Words and runs that no feature can come from are not decoded; scores are those of decoding all."""
+    costs = toxicity.letter_costs(toxicity.letter_counts([b"you are an idiot and a clown the ass of them stupid trash"] * 50))
+    weights = {"idiot": 4.0, "^idio": 3.0, "ass": 2.5, "^clow": 2.0, "^clown": 3.5, "^stupidit": 2.0, "bäd": 1.5, "^" + "trash": 2.25, "a" * 20: 1.25}
+    beta, reader = np.array([-3.0, 1.0, -0.1]), toxicity.Restorer(costs)
+
+    def strongest(readings):
+        return max((weights.get(f, 0.0) for f in toxicity.features(readings)), default=0.0)
+
+    def plainly(text):
+        words = text.lower().split()
+        found = [strongest(reader.readings(w)) for w in (*set(words), *toxicity.spaced(words))] + [strongest(reader.run(x)) for x in toxicity.short_runs(words)]
+        hits = [x for x in found if x]
+        p = 1 / (1 + np.exp(-toxicity.summary(hits, len(set(words))) @ beta))
+        return (p if hits else p / 2), len(hits)
+
+    rng = np.random.default_rng(8)
+    bad = ["idiot", "1d10t", "id iot", "i d i o t", "y o u i d i o t", "'i d i o t!", "(lown", "clówn", "cloown!", "$tupidity", "a$$", "a s s", "bäd", "bäd", "tras#", "x" * 70 + "1diot", "a" * 20, "a " * 20, ".......ass......." * 5]
+    letters = list("abcdiloostuwnä1035$|(!.,*#'\u0301\u200b\u0430")
+    texts = []
+    for k in range(300):
+        words = ["".join(rng.choice(letters, rng.integers(1, 10))) for _ in range(12)] + ["of", "the", "an"]
+        words.insert(int(rng.integers(0, 12)), bad[k % len(bad)])
+        rng.shuffle(words)
+        texts.append(" ".join(w for w in words if w.count("*") + w.count("#") < 4))
+    want = [plainly(x) for x in texts]
+    for most in (600_000, 60):  # also where little is remembered
+        scorer = toxicity.Scorer(costs, weights, beta, most)
+        for _ in range(2):
+            assert np.allclose([scorer.score(x) for x in texts], [p for p, _ in want], rtol=1e-12)
+    assert 100 < sum(n > 0 for _, n in want)
+
+    calls, search = [], toxicity.Restorer.search
+    monkeypatch.setattr(toxicity.Restorer, "search", lambda self, columns, best: calls.append(columns) or search(self, columns, best))
+    scorer = toxicity.Scorer(costs, weights, beta)
+    scorer.score("w0rd5 pr1ce$ l33t, (lumsy gr8!! x-y-z of!! the o f t h e m niño$ " + "h*t " + "zzz000 " * 3)
+    assert not calls
+    assert scorer.score("1d10t") > 0.5 and len(calls) == 1
